@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import bind, col
 
 KERNELS = ("linear", "sigmoid", "rbf")
 
@@ -52,4 +52,4 @@ def unit(vector: Column | str) -> Column:
     """L2-normalised copy; a zero vector stays zero."""
     values = F.transform(col(vector), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)
+    return bind(norm, lambda n: F.transform(values, lambda x: F.when(n > 0, x / n).otherwise(x)))

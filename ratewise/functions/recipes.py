@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, literal_array, strip
+from .text import bind, col, literal_array, strip
 
 # Allergen words. A flag is set when a word occurs anywhere in the ingredients.
 PEANUT_WORDS = ["peanut"]
@@ -108,12 +108,12 @@ def count_words(text: Column, words: list[str], match: str = "substring") -> Col
     ``match='word'`` asks for whole words, so that "eggplant" no longer counts as "egg".
     """
     if match == "word":
-        hit = lambda w: F.regexp_like(text, F.concat(F.lit(r"(?<![a-z])"), w, F.lit(r"(?![a-z])")))
+        hit = lambda hay, w: F.regexp_like(hay, F.concat(F.lit(r"(?<![a-z])"), w, F.lit(r"(?![a-z])")))
     elif match == "substring":
-        hit = lambda w: F.contains(text, w)
+        hit = lambda hay, w: F.contains(hay, w)
     else:
         raise ValueError("match must be 'substring' or 'word'")
-    return F.size(F.filter(literal_array(words), hit))
+    return bind(text, lambda hay: F.size(F.filter(literal_array(words), lambda w: hit(hay, w))))
 
 
 def allergen_flags(ingredients: Column | str, match: str = "substring") -> list[Column]:
@@ -150,13 +150,17 @@ def expand_avoid_terms(terms: Column | str, enable: bool = True) -> Column:
     base = F.filter(cleaned, lambda t: F.length(t) > 0)
     if not enable:
         return base
-    extra = F.concat(
-        *[
-            F.when(F.arrays_overlap(base, literal_array(triggers)), literal_array(words)).otherwise(empty)
-            for triggers, words in AVOID_SYNONYMS
-        ]
-    )
-    return F.concat(base, F.array_except(extra, base))
+
+    def expanded(asked: Column) -> Column:
+        extra = F.concat(
+            *[
+                F.when(F.arrays_overlap(asked, literal_array(triggers)), literal_array(words)).otherwise(empty)
+                for triggers, words in AVOID_SYNONYMS
+            ]
+        )
+        return F.concat(asked, F.array_except(extra, asked))
+
+    return bind(base, expanded)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -30,6 +30,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    An expression inside a higher-order function is evaluated for every element, and separate
+    projections are merged again by the optimizer; a lambda variable is neither.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(value: Column | str) -> Column:
     """Trim any white space, line breaks included."""
     return F.regexp_replace(col(value), r"^\s+|\s+$", "")
@@ -47,8 +56,10 @@ def split_terms(raw: Column | str) -> Column:
 
 def contains_any(text: Column | str, terms: Column) -> Column:
     """Does any term occur in the text, ignoring case? No terms means no."""
-    haystack = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.coalesce(F.exists(terms, lambda t: F.contains(haystack, F.lower(t))), F.lit(False))
+    return bind(
+        F.lower(F.coalesce(col(text), F.lit(""))),
+        lambda hay: F.coalesce(F.exists(terms, lambda t: F.contains(hay, F.lower(t))), F.lit(False)),
+    )
 
 
 def words(text: Column | str) -> Column:
@@ -68,28 +79,35 @@ def tokens(text: Column | str, stop_words=None) -> Column:
     return found
 
 
+def _grams_of(tokens_: Column, n: int) -> Column:
+    starts = F.when(F.size(tokens_) >= n, F.sequence(F.lit(0), F.size(tokens_) - n)).otherwise(
+        F.array().cast("array<int>")
+    )
+    # element access, not slice: a slice copies the whole array each time
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens_, i + d) for d in range(n)]))
+
+
 def ngrams(token_array: Column, longest: int) -> Column:
     """All 1..longest-grams, joined by one blank."""
-    grams = token_array
-    for n in range(2, longest + 1):
-        starts = F.when(
-            F.size(token_array) >= n, F.sequence(F.lit(1), F.size(token_array) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        grams = F.concat(
-            grams,
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(token_array, i, n), " ")),
-        )
-    return grams
+    if longest < 2:
+        return token_array
+    return bind(
+        token_array, lambda t: F.concat(t, *[_grams_of(t, n) for n in range(2, longest + 1)])
+    )
 
 
 def keyword_overlap(query: Column | str, text: Column | str, first: int = 20) -> Column:
     """Share of the query's first words that occur in the text as substrings."""
-    terms = F.slice(words(query), 1, first)
-    haystack = F.lower(F.coalesce(col(text), F.lit("")))
-    hits = F.size(F.filter(terms, lambda t: F.contains(haystack, t)))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(
-        hits.cast("double") / F.greatest(F.size(terms), F.lit(1))
-    )
+    def share(terms: Column) -> Column:
+        hits = bind(
+            F.lower(F.coalesce(col(text), F.lit(""))),
+            lambda hay: F.size(F.filter(terms, lambda t: F.contains(hay, t))),
+        )
+        return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(
+            hits.cast("double") / F.greatest(F.size(terms), F.lit(1))
+        )
+
+    return bind(F.slice(words(query), 1, first), share)
 
 
 def query_time_limit(query: Column | str) -> Column:

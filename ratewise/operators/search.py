@@ -132,6 +132,8 @@ def _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries, n
     i_blocks = max(1, -(-n_items // ITEM_BLOCK))
     if q_blocks * i_blocks < 8:
         q_blocks = -(-8 // i_blocks)
+    # own names for the query columns: both sides may stem from the same table
+    names = {c: f"_own_{c}" for c in queries.columns}
     left = queries.withColumn("_q", hash_bucket("q", q_blocks, "query_id"))
     left = left.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
     right = items.withColumn("_i", hash_bucket("i", i_blocks, "item_id"))
@@ -143,28 +145,34 @@ def _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries, n
             .agg(F.collect_set("item_id").alias("_skip"))
         )
         left = left.join(lists, ["query_id", "_i"], "left")
+        names["_skip"] = "_own_skip"
+    left = left.select(
+        F.col("_q").alias("_lq"), F.col("_i").alias("_li"), *[F.col(c).alias(a) for c, a in names.items()]
+    )
     right = right.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def run(query_block: pd.DataFrame, item_block: pd.DataFrame) -> pd.DataFrame:
+        if not len(query_block) or not len(item_block):
+            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
+        query_block = query_block.rename(columns={a: c for c, a in names.items()})
         query_ids = query_block["query_id"].to_numpy()
         best = _Best(len(query_block), k, above)
-        if len(query_block) and len(item_block):
-            item_block = item_block.sort_values("item_id", ignore_index=True)
-            ids = item_block["item_id"].to_numpy()
-            skip_item = skip_query = np.zeros(0, dtype=np.int64)
-            if "_skip" in query_block:
-                lists = [x if x is not None else [] for x in query_block["_skip"]]
-                skip_query = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                flat = pd.Index(ids).get_indexer([v for x in lists for v in x])
-                skip_query, skip_item = skip_query[flat >= 0], flat[flat >= 0]
-            packed = _pack_queries(kind, query_block)
-            for start, scores in _scores(kind, packed, item_block):
-                here = (skip_item >= start) & (skip_item < start + len(scores))
-                scores[skip_item[here] - start, skip_query[here]] = -np.inf
-                best.add(ids[start : start + len(scores)], scores)
+        item_block = item_block.sort_values("item_id", ignore_index=True)
+        ids = item_block["item_id"].to_numpy()
+        skip_item = skip_query = np.zeros(0, dtype=np.int64)
+        if "_skip" in query_block:
+            lists = [x if x is not None else [] for x in query_block["_skip"]]
+            skip_query = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            flat = pd.Index(ids).get_indexer([v for x in lists for v in x])
+            skip_query, skip_item = skip_query[flat >= 0], flat[flat >= 0]
+        packed = _pack_queries(kind, query_block)
+        for start, scores in _scores(kind, packed, item_block):
+            here = (skip_item >= start) & (skip_item < start + len(scores))
+            scores[skip_item[here] - start, skip_query[here]] = -np.inf
+            best.add(ids[start : start + len(scores)], scores)
         return best.rows(query_ids)
 
-    return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(run, schema)
+    return left.groupBy("_lq", "_li").cogroup(right.groupBy("_q", "_i")).applyInPandas(run, schema)
 
 
 def search_topk(

@@ -63,3 +63,9 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int = 64) -> Dat
     if rows * bytes_per_row <= broadcast_bytes(df.sparkSession):
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input of few splits; large inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
