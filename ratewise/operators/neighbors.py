@@ -137,11 +137,10 @@ def entity_stats(ratings: DataFrame, axis: str, n_context: int) -> DataFrame:
 
 
 def cosine(dot: Column, n_context: int, mean_a, mean_b, norm_a, norm_b) -> Column:
-    """Similarity from the sum of products; 0 where a norm is 0. Rounded to nine decimals."""
+    """Similarity from the sum of products; 0 where a norm is 0."""
     scale = F.sqrt(norm_a * norm_b)
-    return F.when(
-        scale > 0, stable((dot - F.lit(float(n_context)) * mean_a * mean_b) / F.nullif(scale, F.lit(0.0)))
-    ).otherwise(F.lit(0.0))
+    centred = dot - F.lit(float(n_context)) * mean_a * mean_b
+    return F.when(scale > 0, centred / F.nullif(scale, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def fit_neighbors(
@@ -213,13 +212,13 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
     )
     sim = F.when(F.col("i") == F.col("j"), F.when(F.col("qi") > 0, 1.0).otherwise(0.0)).otherwise(sim)
     scored = with_dot.select("c", "i", "j", sim.alias("sim"), (F.col("r") - F.col("mj")).alias("dev"))
-    nearest = top_k(scored, ["c", "i"], [F.desc("sim"), F.asc("j")], meta["n_neighbors"])
+    nearest = top_k(scored, ["c", "i"], [F.desc(stable("sim")), F.asc("j")], meta["n_neighbors"])
     weighted = nearest.groupBy("c", "i").agg(
         F.sum(F.col("sim") * F.col("dev")).alias("num"), F.sum(F.abs("sim")).alias("den")
     )
     prediction = F.when(
         F.col("mi").isNull() | F.col("_known").isNull(), F.lit(float(meta["global_mean"]))
-    ).otherwise(F.col("mi") + F.coalesce(F.try_divide("num", "den"), F.lit(0.0)))
+    ).otherwise(F.col("mi") + F.when(F.col("den") > 1e-9, F.col("num") / F.col("den")).otherwise(F.lit(0.0)))
     out = requests.join(weighted, ["c", "i"], "left").select(
         F.col("c").alias(context), F.col("i").alias(entity),
         model.bounded(prediction, bound).alias("rating_pred"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_bucket
 from ..session import broadcast_bytes
-from .ranking import top_k
+from .ranking import stable, top_k
 
 #: Queries and items per block of the two-sided search.
 QUERY_BLOCK = 1_000
@@ -75,13 +75,15 @@ class _Best:
 
     def __init__(self, n_queries: int, k: int, above: float):
         self.k, self.above = k, above
-        self.score = np.full((n_queries, 0), -np.inf)
+        self.score = np.full((n_queries, 0), -np.inf)  # rounded, for the order
+        self.sim = np.zeros((n_queries, 0))
         self.item = np.zeros((n_queries, 0), dtype=np.int64)
         self.ids: list = []
 
     def add(self, ids, scores: np.ndarray) -> None:
         """Take the scores (items x queries) of the next items."""
-        scores = np.round(scores.T, 9)
+        sims = scores.T
+        scores = np.round(sims, 9)
         scores[scores <= self.above] = -np.inf
         full = self.score.shape[1] >= self.k
         floor = self.score[:, -1:] if full else np.full((len(scores), 1), -np.inf)
@@ -91,9 +93,11 @@ class _Best:
         numbers = np.arange(len(self.ids), len(self.ids) + len(keep))
         self.ids.extend(np.asarray(ids)[keep].tolist())
         score = np.concatenate([self.score, scores[:, keep]], axis=1)
+        sim = np.concatenate([self.sim, sims[:, keep]], axis=1)
         item = np.concatenate([self.item, np.broadcast_to(numbers, (len(score), len(keep)))], axis=1)
         order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
         self.score = np.take_along_axis(score, order, axis=1)
+        self.sim = np.take_along_axis(sim, order, axis=1)
         self.item = np.take_along_axis(item, order, axis=1)
 
     def rows(self, query_ids) -> pd.DataFrame:
@@ -103,7 +107,7 @@ class _Best:
             {
                 "query_id": np.asarray(query_ids)[q],
                 "item_id": [ids[i] for i in self.item[q, place]],
-                "sim": self.score[q, place],
+                "sim": self.sim[q, place],
             }
         )
 
@@ -206,4 +210,4 @@ def search_topk(
         found = _search_blocks(
             queries, items, exclude, k, kind, above, schema, n_queries, items.count()
         )
-    return top_k(found, ["query_id"], [F.desc("sim"), F.asc("item_id")], k)
+    return top_k(found, ["query_id"], [F.desc(stable("sim")), F.asc("item_id")], k)
