@@ -74,8 +74,8 @@ def tokens(text: Column | str, stop_words=None) -> Column:
         F.lower(F.coalesce(col(text), F.lit(""))), F.lit(WORD + "{2,}"), F.lit(0)
     )
     if stop_words:
-        stop = literal_array(stop_words)
-        found = F.filter(found, lambda t: ~F.array_contains(stop, t))
+        # IN over literals becomes a hash lookup, array_contains would scan the list
+        found = F.filter(found, lambda t: ~t.isin(list(stop_words)))
     return found
 
 

@@ -67,30 +67,32 @@ def fit_bias(
     """
     if method not in ("sgd", "als"):
         raise ValueError("method must be 'sgd' or 'als'")
-    rows = as_ratings(ratings)
-    mean = rows.agg(F.avg("rating")).first()[0]
-    targets = rows.select("user_id", "item_id", (F.col("rating") - F.lit(mean)).alias("t")).persist()
+    rows = as_ratings(ratings).persist()
     try:
-        n_ratings, n_users, n_items = targets.agg(
-            F.count(F.lit(1)), F.countDistinct("user_id"), F.countDistinct("item_id")
-        ).first()
-        sizes = {"user_id": n_users, "item_id": n_items}
+        mean, n_ratings = rows.agg(F.avg("rating"), F.count(F.lit(1))).first()
+        targets = rows.select("user_id", "item_id", (F.col("rating") - F.lit(mean)).alias("t"))
+        # first step: users against items without bias, so each side's size is known in time
+        sizes: dict[str, int] = {}
         step = _new_bias(method, reg, lr)
         users = items = None
         history = []
         sgd = method == "sgd"
         for epoch in range(1, n_epochs + 1):
             users = _half_epoch(targets, "user_id", "item_id", users if sgd else None, items, sizes, step)
-            cut = sgd or epoch == n_epochs or epoch % checkpoint_every == 0
+            cut = sgd or epoch in (1, n_epochs) or epoch % checkpoint_every == 0
             if cut:
                 users = cut_lineage(users)
+            if epoch == 1:
+                sizes["user_id"] = n_users = users.count()
             items = _half_epoch(targets, "item_id", "user_id", items if sgd else None, users, sizes, step)
             if cut:
                 items = cut_lineage(items)
                 sse = items.agg(F.sum("sse")).first()[0]
                 history.append((epoch, (max(sse, 0.0) / n_ratings) ** 0.5))
+            if epoch == 1:
+                sizes["item_id"] = n_items = items.count()
     finally:
-        targets.unpersist()
+        rows.unpersist()
     meta = {
         "global_mean": mean, "n_users": n_users, "n_items": n_items, "reg": reg, "method": method,
         "min_rating": min_rating, "max_rating": max_rating,

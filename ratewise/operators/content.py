@@ -91,8 +91,6 @@ def recommend_content(
 ) -> DataFrame:
     """A user's score is the same for all items, so ties decide: the first unknown items by id."""
     scores = model.items().withColumn("score", F.lit(0.0))
-    if known is not None:
-        known = known.join(model.items(), "item_id", "left_semi")
     rows = first_unknown_items(users, scores, known, amount).drop("score")
     own = broadcast_if_small(model.users(), model.meta["n_users"], 32)
     rows = rows.join(own, "user_id", "left")

@@ -60,8 +60,6 @@ def recommend_bias(
 ) -> DataFrame:
     """Top-N by unbounded score; the ratings shown are bounded only afterwards."""
     scores = model.items().select("item_id", F.col("bias").alias("score"))
-    if known is not None:
-        known = known.join(model.items().select("item_id"), "item_id", "left_semi")
     rows = first_unknown_items(users, scores, known, amount)
     own = model.users().select("user_id", F.col("bias").alias("_bu"))
     rows = rows.join(broadcast_if_small(own, model.meta["n_users"], 32), "user_id", "left")

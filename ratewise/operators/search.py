@@ -95,6 +95,11 @@ class _Best:
         score = np.concatenate([self.score, scores[:, keep]], axis=1)
         sim = np.concatenate([self.sim, sims[:, keep]], axis=1)
         item = np.concatenate([self.item, np.broadcast_to(numbers, (len(score), len(keep)))], axis=1)
+        if score.shape[1] > 4 * self.k:
+            # drop columns that are below every query's k-th best score before sorting
+            kth = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+            useful = (score >= kth[:, None]).any(axis=0)
+            score, sim, item = score[:, useful], sim[:, useful], item[:, useful]
         order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
         self.score = np.take_along_axis(score, order, axis=1)
         self.sim = np.take_along_axis(sim, order, axis=1)
