@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..contracts import as_ratings
 from ..operators import bias, content, factors, neighbors
-from ..operators.filters import drop_known
-from ..operators.ranking import stable, top_k
 from ..operators.split import holdout_split
 from ..plans import train as T
 from .base import (
@@ -227,16 +224,33 @@ def _(spark, sf):
     "FROM both_ways QUALIFY rank <= 10",
 )
 def _(spark, sf):
-    edges = neighbors.similarity_edges(neighbors.fit_neighbors(ratings(spark, sf), "item"))
-    both = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("id_a").alias("item_id"), F.col("id_b").alias("neighbor"), "sim"),
-                F.struct(F.col("id_b").alias("item_id"), F.col("id_a").alias("neighbor"), "sim"),
-            )
-        )
+    model = neighbors.fit_neighbors(ratings(spark, sf), "item")
+    return neighbors.nearest_entities(model, 10).select(F.col("id").alias("item_id"), "neighbor", r6("sim"), "rank")
+
+
+@query(
+    "w1_top5_item_item",
+    with_(
+        *_neighbor_ctes("item"),
+        f"e AS (SELECT id_a, id_b, {_SIM.format(dot='dot')} AS sim FROM dots JOIN st sa ON sa.id = id_a JOIN st sb ON sb.id = id_b)",
+        "both_ways AS (SELECT id_a AS x, id_b AS y, sim FROM e UNION ALL SELECT id_b, id_a, sim FROM e)",
+        "near AS (SELECT x, y FROM both_ways QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(sim, 9) DESC, y) <= 2)",
+        "cand AS (SELECT DISTINCT user_id, y AS item_id FROM ratings JOIN near ON x = item_id ANTI JOIN ratings r2 ON r2.user_id = ratings.user_id AND r2.item_id = near.y)",
+        "pr AS (SELECT c.user_id, c.item_id AS i, r.item_id AS j, r.rating, least(c.item_id, r.item_id) AS lo, greatest(c.item_id, r.item_id) AS hi FROM cand c JOIN ratings r ON r.user_id = c.user_id)",
+        f"sc AS (SELECT user_id, i, j, sa.m AS mi, rating - sb.m AS dev, {_SIM.format(dot='coalesce(dot, 0)')} AS sim FROM pr LEFT JOIN dots ON id_a = lo AND id_b = hi "
+        "JOIN st sa ON sa.id = i JOIN st sb ON sb.id = j)",
+        "nn AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY round(sim, 9) DESC, j) <= 20)",
+        "w AS (SELECT user_id, i AS item_id, any_value(mi) + CASE WHEN sum(abs(sim)) > 1e-9 THEN sum(sim * dev) / sum(abs(sim)) ELSE 0 END AS p FROM nn GROUP BY 1, 2)",
     )
-    return top_k(both, ["item_id"], [F.desc(stable("sim")), F.asc("neighbor")], 10).select("item_id", "neighbor", r6("sim"), "rank")
+    + "SELECT user_id, item_id, round(least(5.0, greatest(0.0, p)), 6) AS rating_pred, "
+    "CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, item_id) AS INTEGER) AS rank FROM w QUALIFY rank <= 5",
+)
+def _(spark, sf):
+    rows = ratings(spark, sf)
+    model = neighbors.fit_neighbors(rows, "item", 20)
+    candidates = neighbors.neighbor_candidates(model, rows, 2)
+    out = T.recommend(model, rows, rows, 5, candidates=candidates)
+    return out.select("user_id", "item_id", r6("rating_pred"), "rank")
 
 
 @query(

@@ -4,6 +4,11 @@ Users and items are hashed to B blocks each. Stratum s pairs user block b with i
 (b + s) mod B: the pairs of a stratum share no user and no item, so B tasks can update their
 parameters at the same time without conflict (Gemulla et al., KDD 2011). An epoch is B strata.
 A user or item with very many ratings has them spread over the B cells of its block row.
+
+The number of strata follows the items only. User blocks that are too large for one task are cut
+into lanes: every lane steps its own users and a copy of the item block, and the copies are
+averaged by their number of ratings after the stratum (parallel SGD, Zinkevich et al. 2010). So a
+stratum runs B x lanes tasks, however many users there are.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +86,14 @@ def _sgd_pass(meta: dict, users, items, ratings, bu, bi, P, Q) -> None:
                 np.subtract.at(bias, ids, damp * (error + reg * bias[ids]))
 
 
-def _stratum(cells: DataFrame, params: DataFrame, s: int, blocks: int, meta: dict, seed: int) -> DataFrame:
-    names = list(params.columns)
+def _stratum(cells: DataFrame, params: DataFrame, s: int, blocks: int, lanes: int, meta: dict, seed: int) -> DataFrame:
+    names = [c for c in params.columns if c != "n"]
 
     def run(ratings: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
-            return pd.DataFrame({name: [] for name in names})
+            return pd.DataFrame({name: [] for name in [*names, "n"]})
         if not len(ratings):
-            return block[names]
+            return block[names].assign(n=0)
         side = block["user_id"].notna().to_numpy()
         users, items = block[side], block[~side]
         bu, bi = users["bias"].to_numpy(copy=True), items["bias"].to_numpy(copy=True)
@@ -96,19 +103,40 @@ def _stratum(cells: DataFrame, params: DataFrame, s: int, blocks: int, meta: dic
         u = pd.Index(users["user_id"].astype(ratings["_u"].dtype)).get_indexer(ratings["_u"])
         i = pd.Index(items["item_id"].astype(ratings["_i"].dtype)).get_indexer(ratings["_i"])
         _sgd_pass(meta, u, i, ratings["_r"].to_numpy(), bu, bi, P, Q)
-        users = users.assign(bias=bu, factors=list(P))
-        items = items.assign(bias=bi, factors=list(Q))
-        return pd.concat([users, items], ignore_index=True)[names]
+        users = users.assign(bias=bu, factors=list(P), n=0)
+        items = items.assign(bias=bi, factors=list(Q), n=np.bincount(i, minlength=len(items)))
+        return pd.concat([users, items], ignore_index=True)[[*names, "n"]]
 
     left = cells.filter(F.pmod(F.col("_ub") + s, F.lit(blocks)) == F.col("_ib"))
     # own names for the rating columns: both sides of the cogroup stem from the same table
     left = left.select(
-        F.col("_ub").alias("_cell"), F.col("user_id").alias("_u"), F.col("item_id").alias("_i"),
-        F.col("rating").alias("_r"), hash_order(f"{seed}", "user_id", "item_id").alias("_h"),
+        F.col("_ub").alias("_cell"), F.col("_lane").alias("_l"), F.col("user_id").alias("_u"),
+        F.col("item_id").alias("_i"), F.col("rating").alias("_r"),
+        hash_order(f"{seed}", "user_id", "item_id").alias("_h"),
+    )
+    is_user = F.col("user_id").isNotNull()
+    key = F.when(is_user, F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks)))
+    lane = F.when(is_user, F.array("lane")).otherwise(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    right = params.select(*names, key.alias("_key"), F.explode(lane).alias("_to"))
+    schema = f"{params.select(*names).schema.simpleString()[7:-1]}, n long"
+    stepped = left.groupBy("_cell", "_l").cogroup(right.groupBy("_key", "_to")).applyInPandas(run, schema)
+    if lanes == 1:
+        return stepped
+    stepped = cut_lineage(stepped)  # read twice below
+    items = stepped.filter(F.col("item_id").isNotNull())
+    # a copy without ratings of the item says nothing, unless no copy has any
+    weight = F.greatest(F.col("n").cast("double"), F.lit(1e-9))
+    averaged = (
+        items.select("item_id", "block", weight.alias("_w"), array_to_vector(F.concat(F.array("bias"), "factors")).alias("_v"))
+        .groupBy("item_id", "block")
+        .agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+        .select("item_id", "block", vector_to_array("_m").alias("_a"))
+    )
+    averaged = averaged.select(
+        F.lit(None).cast(params.schema["user_id"].dataType).alias("user_id"), "item_id", F.col("_a")[0].alias("bias"),
+        F.slice("_a", 2, meta["n_factors"]).alias("factors"), "block", F.lit(0).alias("lane"), F.lit(0).cast("long").alias("n"),
     )
-    key = F.when(F.col("user_id").isNotNull(), F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks)))
-    right = params.withColumn("_key", key)
-    return left.groupBy("_cell").cogroup(right.groupBy("_key")).applyInPandas(run, params.schema)
+    return stepped.filter(F.col("user_id").isNotNull()).unionByName(averaged)
 
 
 def fit_factors(
@@ -139,9 +167,13 @@ def fit_factors(
         "n_users": n_users, "n_items": n_items, "min_rating": min_rating, "max_rating": max_rating,
     }
     per_block = max(1, BLOCK_BYTES // (8 * (n_factors + 4)))
-    blocks = max(4, math.ceil(math.sqrt(n / CELL_RATINGS)), math.ceil(max(n_users, n_items) / per_block))
+    blocks = max(4, math.ceil(n_items / per_block))
+    lanes = max(1, math.ceil(n_users / (blocks * per_block)), math.ceil(n / (blocks * blocks * CELL_RATINGS)))
     cells = rows.withColumns(
-        {"_ub": hash_bucket("u", blocks, "user_id"), "_ib": hash_bucket("i", blocks, "item_id")}
+        {
+            "_ub": hash_bucket("u", blocks, "user_id"), "_ib": hash_bucket("i", blocks, "item_id"),
+            "_lane": hash_bucket("lane", lanes, "user_id"),
+        }
     ).persist()
 
     def start(key: str, other: str, salt: int) -> DataFrame:
@@ -150,6 +182,7 @@ def fit_factors(
             F.col(key), F.lit(None).cast(other_type).alias(other), F.lit(0.0).alias("bias"),
             random_normals(key, n_factors, init_mean, init_sd, seed + salt).alias("factors"),
             hash_bucket("u" if key == "user_id" else "i", blocks, key).alias("block"),
+            (hash_bucket("lane", lanes, key) if key == "user_id" else F.lit(0)).alias("lane"),
         )
 
     params = cut_lineage(start("user_id", "item_id", 0).unionByName(start("item_id", "user_id", 1)))
@@ -157,7 +190,7 @@ def fit_factors(
     try:
         for epoch in range(1, n_epochs + 1):
             for s in range(blocks):
-                params = _stratum(cells, params, s, blocks, meta, seed + epoch)
+                params = _stratum(cells, params, s, blocks, lanes, meta, seed + epoch)
             params = cut_lineage(params)
             if track_rmse or epoch == n_epochs:
                 model = _as_model(params, meta)

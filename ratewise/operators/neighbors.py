@@ -25,6 +25,10 @@ from .ranking import stable, top_k
 CELL_ROWS = 400_000
 EXPAND = 4_000_000
 MAX_ENTITY_BLOCKS = 64
+#: Longest history that is looked up row by row; longer ones are scored tile by tile.
+HEAVY = 2_000
+TILE = 1_000
+TILE_CONTEXTS = 64
 
 
 def _sides(axis: str) -> tuple[str, str]:
@@ -177,10 +181,128 @@ def similarity_edges(model: Model) -> DataFrame:
     return rows.select("id_a", "id_b", sim.alias("sim"))
 
 
+def nearest_entities(model: Model, k: int) -> DataFrame:
+    """``id, neighbor, sim, rank``: the k most similar entities with common raters, per entity."""
+    edges = similarity_edges(model)
+    both = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbor"), "sim"),
+                F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbor"), "sim"),
+            )
+        )
+    )
+    return top_k(both, ["id"], [F.desc(stable("sim")), F.asc("neighbor")], k)
+
+
+def neighbor_candidates(model: Model, users: DataFrame, per_item: int) -> DataFrame:
+    """``user_id, item_id``: the items among the ``per_item`` nearest of any item a user rated.
+
+    An opt-in shortcut for lists from an item-item model: items without a near rated item are not
+    scored. A rating brings at most ``per_item`` candidates, so the work is linear in the ratings.
+    """
+    if model.kind != "item_cf":
+        raise ValueError("neighbour candidates need an item-item model")
+    near = nearest_entities(model, per_item).select(F.col("id").alias("item_id"), F.col("neighbor").alias("_to"))
+    rated = model.tables["ratings"].filter(F.col("rating") > 0).join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return rated.join(near, "item_id").select("user_id", F.col("_to").alias("item_id")).distinct()
+
+
+def _score_tiles(
+    requests: DataFrame, rated: DataFrame, products: DataFrame, n_context: int, k: int, n_entities: int, n_contexts: int
+) -> DataFrame:
+    """``c, i, j, sim, dev`` of the k best candidates per request and tile, for long histories.
+
+    A request in a context with very many ratings would meet all of them as rows. Here a task
+    holds one block of targets, one block of rated entities, the products between the two, and
+    the requests and ratings of a few contexts. It builds the similarity tile as a small matrix
+    and returns k rows per request; the k best over all tiles are picked afterwards.
+    """
+    blocks = max(1, -(-n_entities // TILE))
+    context_blocks = max(1, -(-n_contexts // TILE_CONTEXTS))
+    asked = requests.withColumns({"_c": hash_bucket("t", context_blocks, "c"), "_a": hash_bucket("e", blocks, "i")})
+    given = rated.withColumns({"_c": hash_bucket("t", context_blocks, "c"), "_b": hash_bucket("e", blocks, "j")})
+    targets = asked.groupBy("_c").agg(F.collect_set("_a").alias("_as"))
+    sources = given.groupBy("_c").agg(F.collect_set("_b").alias("_bs"))
+    tiles = targets.join(sources, "_c").select("_c", F.explode("_as").alias("_a"), "_bs")
+    tiles = tiles.select("_c", "_a", F.explode("_bs").alias("_b"))
+    none = F.lit(None)
+    id_type = requests.schema["i"].dataType
+    context_type = requests.schema["c"].dataType
+    columns = ["_c", "_a", "_b", "kind", "c", "x", "y", "m", "q", "v"]
+    both_ways = products.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "dot"),
+                F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y"), "dot"),
+            )
+        )
+    ).withColumns({"_a": hash_bucket("e", blocks, "x"), "_b": hash_bucket("e", blocks, "y")})
+    rows = (
+        asked.join(sources, "_c").withColumn("_b", F.explode("_bs"))
+        .select("_c", "_a", "_b", F.lit(0).alias("kind"), "c", F.col("i").alias("x"), none.cast(id_type).alias("y"),
+                F.col("mi").alias("m"), F.col("qi").alias("q"), F.lit(0.0).alias("v"))
+        .unionByName(
+            given.join(targets, "_c").withColumn("_a", F.explode("_as"))
+            .select("_c", "_a", "_b", F.lit(1).alias("kind"), "c", none.cast(id_type).alias("x"), F.col("j").alias("y"),
+                    F.col("mj").alias("m"), F.col("qj").alias("q"), F.col("r").alias("v"))
+        )
+        .unionByName(
+            both_ways.join(tiles, ["_a", "_b"])
+            .select("_c", "_a", "_b", F.lit(2).alias("kind"), none.cast(context_type).alias("c"), "x", "y",
+                    F.lit(0.0).alias("m"), F.lit(0.0).alias("q"), F.col("dot").alias("v"))
+        )
+        .select(*columns)
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, given, dots = (pdf[pdf["kind"] == n] for n in (0, 1, 2))
+        if not len(asked) or not len(given):
+            return pd.DataFrame({"c": [], "i": [], "j": [], "sim": [], "dev": []})
+        x, x_ids = pd.factorize(asked["x"], sort=True)
+        y, y_ids = pd.factorize(given["y"], sort=True)
+        mx, qx, my, qy = np.zeros(len(x_ids)), np.zeros(len(x_ids)), np.zeros(len(y_ids)), np.zeros(len(y_ids))
+        mx[x], qx[x], my[y], qy[y] = asked["m"], asked["q"], given["m"], given["q"]
+        tile = np.zeros((len(x_ids), len(y_ids)))
+        px = pd.Index(x_ids).get_indexer(dots["x"].astype(asked["x"].dtype))
+        py = pd.Index(y_ids).get_indexer(dots["y"].astype(given["y"].dtype))
+        here = (px >= 0) & (py >= 0)
+        tile[px[here], py[here]] = dots["v"].to_numpy()[here]
+        scale = np.sqrt(np.outer(qx, qy))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tile = np.where(scale > 0, (tile - n_context * np.outer(mx, my)) / scale, 0.0)
+        tile[np.asarray(x_ids)[:, None] == np.asarray(y_ids)[None, :]] = -np.inf
+        deviation = (given["v"] - given["m"]).to_numpy()
+        out = []
+        for context, at in asked.groupby("c").indices.items():
+            mine = np.flatnonzero((given["c"] == context).to_numpy())
+            mine = mine[np.argsort(y[mine], kind="stable")]
+            if not len(mine):
+                continue
+            sims = tile[np.ix_(x[at], y[mine])]
+            best = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :k]
+            chosen = np.take_along_axis(sims, best, axis=1)
+            row, place = np.nonzero(np.isfinite(chosen))
+            picked = best[row, place]
+            out.append(
+                pd.DataFrame(
+                    {"c": context, "i": np.asarray(x_ids)[x[at][row]], "j": np.asarray(y_ids)[y[mine][picked]],
+                     "sim": chosen[row, place], "dev": deviation[mine][picked]}
+                )
+            )
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"c": [], "i": [], "j": [], "sim": [], "dev": []})
+
+    schema = (
+        f"c {context_type.simpleString()}, i {id_type.simpleString()}, j {id_type.simpleString()}, sim double, dev double"
+    )
+    return rows.groupBy("_c", "_a", "_b").applyInPandas(run, schema)
+
+
 def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> DataFrame:
     """Adds ``rating_pred``: mean of the target plus the weighted deviations of its k neighbours.
 
-    The neighbours of (user, item) are the k entities most similar to the target (by signed
+    Histories of at most HEAVY ratings are joined to the requests, so a request grows to HEAVY
+    rows at most; longer ones go through ``_score_tiles``. The neighbours of (user, item) are the k entities most similar to the target (by signed
     similarity) among those rated in the same context, the target itself excluded unless it is
     the only one. Unknown user or item: global mean; no raters or zero weight: target's mean.
     """
@@ -203,7 +325,8 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
     rated = rated.join(stats.select(F.col("id").alias("j"), F.col("mean").alias("mj"), F.col("norm2").alias("qj")), "j")
     lengths = rated.groupBy("c").agg(F.count(F.lit(1)).alias("_len"))
     known = requests.filter(F.col("mi").isNotNull() & F.col("_known")).drop("_known")
-    looked_up = known.join(lengths, "c").join(rated, "c")
+    n_heavy = lengths.filter(F.col("_len") > HEAVY).count()
+    looked_up = known.join(lengths.filter(F.col("_len") <= HEAVY), "c").join(rated, "c")
     looked_up = looked_up.filter((F.col("j") != F.col("i")) | (F.col("_len") == 1))
     looked_up = looked_up.withColumns({"id_a": F.least("i", "j"), "id_b": F.greatest("i", "j")})
     with_dot = looked_up.join(model.tables["products"], ["id_a", "id_b"], "left")
@@ -212,6 +335,13 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
     )
     sim = F.when(F.col("i") == F.col("j"), F.when(F.col("qi") > 0, 1.0).otherwise(0.0)).otherwise(sim)
     scored = with_dot.select("c", "i", "j", sim.alias("sim"), (F.col("r") - F.col("mj")).alias("dev"))
+    if n_heavy:
+        heavy = lengths.filter(F.col("_len") > HEAVY).select("c")
+        tiles = _score_tiles(
+            known.join(heavy, "c", "left_semi"), rated.join(heavy, "c", "left_semi"), model.tables["products"],
+            meta["n_context"], meta["n_neighbors"], n_entities, n_heavy,
+        )
+        scored = scored.unionByName(tiles)
     nearest = top_k(scored, ["c", "i"], [F.desc(stable("sim")), F.asc("j")], meta["n_neighbors"])
     weighted = nearest.groupBy("c", "i").agg(
         F.sum(F.col("sim") * F.col("dev")).alias("num"), F.sum(F.abs("sim")).alias("den")

@@ -37,6 +37,8 @@ def first_unknown_items(
     chunks = wanted.filter(F.col("places") > 0).withColumn(
         "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("places") - 1) / CHUNK)))
     )
+    if deepest > CHUNK:  # a user with a very long history must not be spelt out by one task
+        chunks = chunks.repartition("user_id", "_c")
     spelt = chunks.select(
         "user_id",
         F.explode(

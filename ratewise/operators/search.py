@@ -19,9 +19,10 @@ from ..functions.text import hash_bucket
 from ..session import broadcast_bytes
 from .ranking import stable, top_k
 
-#: Queries and items per block of the two-sided search.
+#: Queries and items per block of the two-sided search, and the vector entries of an item block.
 QUERY_BLOCK = 1_000
 ITEM_BLOCK = 50_000
+BLOCK_ENTRIES = 8_000_000
 #: Cells of one intermediate matrix.
 CELLS = 4_000_000
 
@@ -135,10 +136,13 @@ def _search_broadcast(queries: DataFrame, items: DataFrame, k: int, kind: str, a
     return items.sortWithinPartitions("item_id").mapInPandas(run, schema)
 
 
-def _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries, n_items):
+def _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries):
     """Any number of queries: every query block meets every item block in a task of its own."""
+    n_items, entries = items.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size(_columns(kind)[0])), F.lit(0))
+    ).first()
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    i_blocks = max(1, -(-n_items // ITEM_BLOCK))
+    i_blocks = max(1, -(-n_items // ITEM_BLOCK), -(-entries // BLOCK_ENTRIES))
     if q_blocks * i_blocks < 8:
         q_blocks = -(-8 // i_blocks)
     # own names for the query columns: both sides may stem from the same table
@@ -212,7 +216,5 @@ def search_topk(
     if exclude is None and n_queries <= QUERY_BLOCK and width * 16 <= broadcast_bytes(items.sparkSession):
         found = _search_broadcast(queries, items, k, kind, above, schema)
     else:
-        found = _search_blocks(
-            queries, items, exclude, k, kind, above, schema, n_queries, items.count()
-        )
+        found = _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries)
     return top_k(found, ["query_id"], [F.desc(stable("sim")), F.asc("item_id")], k)

@@ -60,7 +60,10 @@ def recommend(
     """
     if candidates is not None or model.kind in ("item_cf", "user_cf"):
         if candidates is None:
-            raise ValueError("a neighbourhood model needs a candidates table (user_id, item_id)")
+            raise ValueError(
+                "a neighbourhood model needs a candidates table (user_id, item_id), "
+                "for example from neighbors.neighbor_candidates"
+            )
         asked = candidates.join(users.select("user_id").distinct(), "user_id", "left_semi")
         if known is not None:
             asked = asked.join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

@@ -117,9 +117,12 @@ def dense_prediction(dense, u, i, k):
 
 
 @pytest.mark.parametrize("axis", ["item", "user"])
-@pytest.mark.parametrize("k", [3, 50])
-def test_neighbours_equal_dense_matrix(spark, random_ratings, axis, k):
+@pytest.mark.parametrize("k, heavy", [(3, 2000), (50, 2000), (3, 6), (4, 0)])
+def test_neighbours_equal_dense_matrix(spark, random_ratings, monkeypatch, axis, k, heavy):
     ratings, dense = random_ratings
+    monkeypatch.setattr(neighbors, "HEAVY", heavy)
+    monkeypatch.setattr(neighbors, "TILE", 7)
+    monkeypatch.setattr(neighbors, "TILE_CONTEXTS", 4)
     pairs = spark.createDataFrame([(u, i) for u in range(25) for i in range(18)], "user_id long, item_id long")
     model = neighbors.fit_neighbors(ratings, axis, k)
     got = {(r[0], r[1]): r["rating_pred"] for r in neighbors.predict_neighbors(model, pairs, bound=False).collect()}
@@ -190,6 +193,13 @@ def test_training_error_falls(random_ratings, kernel, lr):
     assert model.users().count() == 25 and model.items().count() == 18
 
 
+def test_lanes_average_the_items(random_ratings, monkeypatch):
+    monkeypatch.setattr(factors, "CELL_RATINGS", 5)
+    model = factors.fit_factors(random_ratings[0], "linear", 4, 4, 0.05, 0.02, min_rating=1, track_rmse=True)
+    errors = [e for _, e in model.history]
+    assert errors[-1] < errors[0] and model.users().count() == 25 and model.items().count() == 18
+
+
 def test_fit_is_repeatable(random_ratings, factor_model):
     again = factors.fit_factors(random_ratings[0], "linear", 4, 4, 0.05, 0.02, min_rating=1)
     a, b = (as_dict(m.users(), "user_id", "factors") for m in (factor_model, again))
