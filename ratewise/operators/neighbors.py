@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import as_ratings
 from ..functions.text import hash_bucket
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .model import Model
 from .ranking import stable, top_k
 
@@ -150,9 +150,13 @@ def cosine(dot: Column, n_context: int, mean_a, mean_b, norm_a, norm_b) -> Colum
 def fit_neighbors(
     ratings: DataFrame, axis: str = "item", n_neighbors: int = 50, min_rating: float = 0, max_rating: float = 5
 ) -> Model:
-    """Neighbourhood model. ``edges`` (pairs with common raters) and ``stats`` stay lazy tables."""
-    entity, context = _sides(axis)
-    rows = as_ratings(ratings)
+    """Neighbourhood model: its ratings, one row of statistics per entity, and the products.
+
+    Ratings and statistics are written once. ``products`` is by far the largest table and stays a
+    plan; ``cut_lineage`` it before scoring several batches with one model.
+    """
+    _sides(axis)
+    rows = cut_lineage(as_ratings(ratings))
     mean, n_users, n_items = rows.agg(
         F.avg("rating"), F.countDistinct("user_id"), F.countDistinct("item_id")
     ).first()
@@ -161,7 +165,7 @@ def fit_neighbors(
         "axis": axis, "global_mean": mean, "n_users": n_users, "n_items": n_items, "n_context": n_context,
         "n_neighbors": n_neighbors, "min_rating": min_rating, "max_rating": max_rating,
     }
-    stats = entity_stats(rows, axis, n_context)
+    stats = cut_lineage(entity_stats(rows, axis, n_context))
     tables = {"ratings": rows, "stats": stats, "products": common_products(rows, axis)}
     return Model(f"{axis}_cf", tables, meta)
 
@@ -323,7 +327,9 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
         F.col(context).alias("c"), F.col(entity).alias("j"), F.col("rating").alias("r")
     )
     rated = rated.join(stats.select(F.col("id").alias("j"), F.col("mean").alias("mj"), F.col("norm2").alias("qj")), "j")
-    lengths = rated.groupBy("c").agg(F.count(F.lit(1)).alias("_len"))
+    lengths = (
+        ratings.filter(F.col("rating") > 0).groupBy(F.col(context).alias("c")).agg(F.count(F.lit(1)).alias("_len"))
+    )
     known = requests.filter(F.col("mi").isNotNull() & F.col("_known")).drop("_known")
     n_heavy = lengths.filter(F.col("_len") > HEAVY).count()
     looked_up = known.join(lengths.filter(F.col("_len") <= HEAVY), "c").join(rated, "c")
