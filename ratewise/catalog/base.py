@@ -6,11 +6,14 @@ is written twice, as DataFrame code and as SQL text, independently of the librar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ensure_checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _SHARED: dict = {}
@@ -40,6 +43,11 @@ def forget_shared() -> None:
     _SHARED.clear()
 
 
+def scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A fresh folder next to the checkpoints, for queries that write and read back."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(value: Column | str, name: str | None = None) -> Column:
     column = F.col(value) if isinstance(value, str) else value
     return F.round(column, 6).alias(name or value)
@@ -61,6 +69,11 @@ RATINGS = """ratings AS (
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings contract table, written once per session as an ingest job would."""
+    return shared(spark, sf_dir, "ratings", lambda: cut_lineage(_ratings(spark, sf_dir)))
+
+
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item_id"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import bias, metrics
@@ -11,10 +9,9 @@ from ..operators.split import holdout_split, new_user_split, per_user_holdout
 from ..operators.stats import new_user_cohort, popular_items
 from ..plans import evaluate as E
 from ..plans import train as T
-from ..session import ensure_checkpoint_dir
 from ..streaming.foldin import UserFoldIn
 from .base import (
-    EMBEDDINGS, RATINGS, TRAIN_TEST, als_ctes, bucket_sql, embeddings, hash_sql, query, r6, ratings, shared, table, with_,
+    EMBEDDINGS, RATINGS, TRAIN_TEST, als_ctes, bucket_sql, embeddings, hash_sql, query, r6, ratings, scratch, shared, table, with_,
 )
 from .data import cohort_ctes
 from .models import als3, als_train2
@@ -193,18 +190,23 @@ def _(spark, sf):
     return out.select("n_recommended", r6("coverage"), r6("diversity"))
 
 
-def _cv_sql(folds: int) -> str:
-    ctes, parts = [RATINGS], []
+def _cv_ctes(folds: int, epochs: int, reg: float, name: str) -> list[str]:
+    """``cv{name}(fold, n, rmse)`` of the bias model; every relation carries the name."""
+    ctes, parts = [], []
+    bucket = bucket_sql("fold42", folds, "user_id", "item_id")
     for f in range(folds):
-        b = bucket_sql("fold42", folds, "user_id", "item_id")
-        ctes += [f"tr{f} AS MATERIALIZED (SELECT * FROM ratings WHERE {b} <> {f})", f"te{f} AS (SELECT * FROM ratings WHERE {b} = {f})"]
-        fitted = als_ctes(2, source=f"tr{f}")
-        ctes += [c.replace("mu AS", f"mu{f} AS").replace("FROM mu)", f"FROM mu{f})").replace("bu1", f"bu1_{f}").replace("bi1", f"bi1_{f}").replace("bu2", f"bu2_{f}").replace("bi2", f"bi2_{f}") for c in fitted]
+        tag = f"{name}_{f}"
+        ctes += [f"tr{tag} AS MATERIALIZED (SELECT * FROM ratings WHERE {bucket} <> {f})", f"te{tag} AS (SELECT * FROM ratings WHERE {bucket} = {f})"]
+        for cte in als_ctes(epochs, reg, source=f"tr{tag}"):
+            cte = cte.replace("mu AS", f"mu{tag} AS").replace("FROM mu)", f"FROM mu{tag})")
+            for e in range(1, epochs + 1):
+                cte = cte.replace(f"bu{e} ", f"bu{tag}_{e} ").replace(f"bi{e} ", f"bi{tag}_{e} ")
+            ctes.append(cte)
         parts.append(
-            f"SELECT {f} AS fold, count(*) AS n, round(sqrt(avg(pow(rating - least(5.0, greatest(0.0, (SELECT m FROM mu{f}) + coalesce(bu, 0) + coalesce(bi, 0))), 2))), 6) AS rmse "
-            f"FROM te{f} LEFT JOIN bu2_{f} USING (user_id) LEFT JOIN bi2_{f} USING (item_id)"
+            f"SELECT {f} AS fold, count(*) AS n, sqrt(avg(pow(rating - least(5.0, greatest(0.0, (SELECT m FROM mu{tag}) + coalesce(bu, 0) + coalesce(bi, 0))), 2))) AS rmse "
+            f"FROM te{tag} LEFT JOIN bu{tag}_{epochs} USING (user_id) LEFT JOIN bi{tag}_{epochs} USING (item_id)"
         )
-    return with_(*ctes) + " UNION ALL ".join(parts)
+    return [*ctes, f"cv{name} AS ({' UNION ALL '.join(parts)})"]
 
 
 def _folds(spark, sf):
@@ -213,19 +215,39 @@ def _folds(spark, sf):
     )
 
 
-@query("e10_cross_validation", _cv_sql(3))
+@query("e10_cross_validation", with_(RATINGS, *_cv_ctes(3, 2, 1.0, "x")) + "SELECT fold, n, round(rmse, 6) AS rmse FROM cvx")
 def _(spark, sf):
     return _folds(spark, sf).select("fold", "n", r6("rmse"))
 
 
-@query("e10_cross_validation_summary")
+@query(
+    "e10_cross_validation_summary",
+    with_(RATINGS, *_cv_ctes(3, 2, 1.0, "x"))
+    + "SELECT round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std, round(avg(rmse) - 1.96 * stddev_pop(rmse), 6) AS ci_low, "
+    "round(avg(rmse) + 1.96 * stddev_pop(rmse), 6) AS ci_high FROM cvx",
+)
 def _(spark, sf):
-    return E.cv_summary(_folds(spark, sf))
+    out = E.cv_summary(_folds(spark, sf))
+    return out.select(*[r6(c) for c in out.columns])
+
+
+_GRID = [(f"g{e}{i}", e, reg) for i, reg in enumerate((0.02, 1.0)) for e in (1, 2)]
 
 
-@query("e11_grid_search")
+@query(
+    "e11_grid_search",
+    with_(
+        RATINGS, *[cte for name, e, reg in _GRID for cte in _cv_ctes(2, e, reg, name)],
+        "gr AS (" + " UNION ALL ".join(
+            f"SELECT '{{\"n_epochs\": {e}, \"reg\": {reg}}}' AS params, avg(rmse) AS m, stddev_pop(rmse) AS s FROM cv{name}" for name, e, reg in _GRID
+        ) + ")",
+    )
+    + "SELECT params, round(m, 6) AS rmse_mean, round(s, 6) AS rmse_std, CAST(row_number() OVER (ORDER BY round(m, 9), params) AS INTEGER) AS rank FROM gr",
+)
 def _(spark, sf):
-    return E.grid_search(ratings(spark, sf), "baseline", {"reg": [0.02, 1.0], "n_epochs": [1, 2]}, folds=2, method="als")
+    grid = {"reg": [0.02, 1.0], "n_epochs": [1, 2]}
+    out = E.grid_search(ratings(spark, sf), "baseline", grid, folds=2, method="als")
+    return out.select("params", r6("rmse_mean"), r6("rmse_std"), "rank")
 
 
 _ARM = f"CASE WHEN {bucket_sql('arm42', 10000, 'user_id', 'item_id')} < 5000 THEN 'a' ELSE 'b' END"
@@ -341,7 +363,7 @@ def _(spark, sf):
             (1 + F.col("event_id") % 5).cast("double").alias("rating"),
         )
     )
-    folder = f"{ensure_checkpoint_dir(spark)}/foldin-{uuid.uuid4().hex}"
+    folder = scratch(spark, sf, "foldin")
     job = UserFoldIn(als3(spark, sf), folder, lr=0.01, n_epochs=20)
     started = job.start(stream, f"{folder}/stream")
     started.awaitTermination()

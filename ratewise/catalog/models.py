@@ -8,7 +8,7 @@ from ..operators import bias, content, factors, neighbors
 from ..operators.split import holdout_split
 from ..plans import train as T
 from .base import (
-    FEATURES, RATINGS, REQUESTS, TRAIN_TEST, als_ctes, features, query, r6, ratings, requests, shared, table, with_,
+    FEATURES, RATINGS, REQUESTS, TRAIN_TEST, als_ctes, features, query, r6, ratings, requests, scratch, shared, table, with_,
 )
 
 
@@ -463,19 +463,21 @@ def _(spark, sf):
     return T.update_users(_trained(spark, sf, "linear"), changed, 0.01, 20).users()
 
 
-@query("m16_train_dispatcher")
+@query(
+    "m16_train_dispatcher",
+    with_(RATINGS, REQUESTS, *_sgd_ctes(2, 0.02, 0.01))
+    + f"SELECT user_id, item_id, round({_PREDICT}, 6) AS rating_pred, bu IS NOT NULL AND bi IS NOT NULL AS prediction_possible "
+    "FROM requests LEFT JOIN bu2 USING (user_id) LEFT JOIN bi2 USING (item_id)",
+)
 def _(spark, sf):
     model = T.fit_model("baseline", ratings(spark, sf), n_epochs=2)
-    return T.predict(model, requests(spark, sf))
+    return T.predict(model, requests(spark, sf)).select("user_id", "item_id", r6("rating_pred"), "prediction_possible")
 
 
-@query("s13_model_round_trip")
+@query("s13_model_round_trip", with_(RATINGS, *als_ctes(3)) + "SELECT user_id, round(bu, 6) AS bias FROM bu3")
 def _(spark, sf):
-    from pathlib import Path
-
     from ..operators.model import Model
-    from ..session import ensure_checkpoint_dir
 
-    path = f"{ensure_checkpoint_dir(spark)}/model-als3-{Path(sf).name}"
+    path = scratch(spark, sf, "model")
     als3(spark, sf).save(path)
-    return Model.load(spark, path).users()
+    return Model.load(spark, path).users().select("user_id", r6("bias"))

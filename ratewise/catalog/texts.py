@@ -16,10 +16,10 @@ from ..operators.search import search_topk
 from ..operators.textindex import encode, fit_tfidf, keyword_enrichment, load_index, postings, search
 from ..plans.evaluate import case_reports
 from ..plans.retrieve import answer_questionnaires, recommend_free_text
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage
 from .base import (
-    DOC_ITEMS, EMBEDDINGS, RATINGS, RECIPES, als_ctes, benchmark_queries, doc_items, embeddings, query, r6, recipes,
-    shared, table, with_,
+    DOC_ITEMS, RATINGS, RECIPES, als_ctes, benchmark_queries, bucket_sql, doc_items, embeddings, query, r6, recipes,
+    scratch, shared, table, with_,
 )
 from .data import _META_CTES, _PHRASES
 from .models import als3
@@ -210,21 +210,46 @@ def _(spark, sf):
     return search(doc_index(spark, sf), asked, 5).select("query_id", "item_id", r6("sim"), "rank")
 
 
-@query("s14_index_round_trip")
+@query(
+    "s14_index_round_trip",
+    with_(
+        RECIPES, "qs AS (SELECT item_id AS query_id, text FROM recipes)", *tfidf_ctes("recipes"), *encoded_ctes("qs"), *found_ctes(3)
+    )
+    + "SELECT query_id, item_id, round(sim, 6) AS sim, rank FROM found",
+)
 def _(spark, sf):
-    from pathlib import Path
-
-    path = f"{ensure_checkpoint_dir(spark)}/index-{Path(sf).name}"
+    path = scratch(spark, sf, "index")
     recipe_index(spark, sf).save(path)
     index = load_index(spark, path)
     asked = recipes(spark, sf).select(F.col("item_id").alias("query_id"), "text")
-    return search(index, asked, 3)
+    return search(index, asked, 3).select("query_id", "item_id", r6("sim"), "rank")
 
 
 # --- weak supervision and reranking --------------------------------------------------------------
 
 
-@query("r1_generated_queries")
+def _pick_sql(choices: list, salt: str) -> str:
+    quoted = ", ".join(repr(c) for c in choices)
+    return f"([{quoted}])[1 + {bucket_sql(salt, len(choices), 'item_id')}]"
+
+
+_GENERATED = [
+    *_META_CTES,
+    "ph AS (SELECT item_id, phrase, row_number() OVER (PARTITION BY item_id ORDER BY md5(concat_ws(':', '42', CAST(item_id AS VARCHAR), phrase)), phrase) AS rk "
+    "FROM (SELECT item_id, unnest(ing) AS phrase FROM phrases) WHERE length(phrase) BETWEEN 2 AND 24 QUALIFY rk <= 2)",
+    "pk AS (SELECT item_id, string_agg(phrase, ' and ' ORDER BY rk) AS words FROM ph GROUP BY 1)",
+    f"bs AS (SELECT r.item_id, {_pick_sql(rerank.GOALS, 'goal42').replace('CAST(item_id', 'CAST(r.item_id')} || ' ' || "
+    f"{_pick_sql(rerank.MEALS, 'meal42').replace('CAST(item_id', 'CAST(r.item_id')} || coalesce(' with ' || words, '') AS base, "
+    f"CASE WHEN time_min IS NULL THEN {_pick_sql(rerank.MINUTES, 'minutes42').replace('CAST(item_id', 'CAST(r.item_id')} WHEN time_min <= 30 THEN 30 "
+    "WHEN time_min <= 45 THEN 45 ELSE 60 END AS t, has_dairy, has_tree_nuts OR has_peanut AS nuts FROM recipes r JOIN meta ON meta.item_id = CAST(r.item_id AS VARCHAR) "
+    "LEFT JOIN pk ON pk.item_id = r.item_id)",
+    "gq AS (SELECT item_id, 1 AS query_no, base AS query FROM bs UNION ALL SELECT item_id, 2, base || ' under ' || t || ' minutes' FROM bs UNION ALL "
+    "SELECT item_id, 3, base || ' no dairy' FROM bs WHERE has_dairy UNION ALL "
+    "SELECT item_id, CASE WHEN has_dairy THEN 4 ELSE 3 END, base || ' no nuts' FROM bs WHERE nuts)",
+]
+
+
+@query("r1_generated_queries", with_(*_GENERATED) + "SELECT item_id, query_no, query FROM gq")
 def _(spark, sf):
     return rerank.generate_queries(recipes(spark, sf))
 
@@ -242,9 +267,21 @@ def _(spark, sf):
     return rerank.dedup_queries(rows)
 
 
-@query("r2_hard_negatives")
+@query(
+    "r2_hard_negatives",
+    with_(
+        *_GENERATED, "qs AS (SELECT item_id || '#' || query_no AS query_id, query AS text, item_id AS seed_id FROM gq)",
+        *tfidf_ctes("recipes"), *encoded_ctes("qs"), *found_ctes(80),
+        "lb AS (SELECT f.query_id, text AS query, seed_id, item_id, sim FROM found f JOIN qs USING (query_id))",
+        "pos AS (SELECT * FROM lb WHERE item_id = seed_id)",
+        "neg AS (SELECT * FROM lb SEMI JOIN pos USING (query_id) WHERE item_id <> seed_id "
+        "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5(concat_ws(':', '42', query_id, CAST(item_id AS VARCHAR))), item_id) <= 10)",
+    )
+    + "SELECT query_id, query, seed_id, item_id, round(sim, 6) AS sim, 1 AS label FROM pos UNION ALL SELECT query_id, query, seed_id, item_id, round(sim, 6), 0 FROM neg",
+)
 def _(spark, sf):
-    return rerank.hard_negatives(recipe_index(spark, sf), rerank.generate_queries(recipes(spark, sf)), 80, 10)
+    pairs = rerank.hard_negatives(recipe_index(spark, sf), rerank.generate_queries(recipes(spark, sf)), 80, 10)
+    return pairs.withColumn("sim", r6("sim"))
 
 
 _PAIRS = [
@@ -459,15 +496,19 @@ def _(spark, sf):
     return out.select("case_id", "n_retrieved", "n_after_filter", r6("diversity"), r6("avg_relevance"), r6("violation_rate"))
 
 
-@query("s12_report_sink")
+@query(
+    "s12_report_sink",
+    with_(*_CASES)
+    + "SELECT query_id AS case_id, query, round(coalesce(avg_relevance, 0), 6) AS avg_relevance, CAST(coalesce(n_after_filter, 0) AS INTEGER) AS n_items "
+    "FROM cs LEFT JOIN agg USING (query_id)",
+)
 def _(spark, sf):
-    from pathlib import Path
-
     from ..sources.readers import write_report
 
-    path = f"{ensure_checkpoint_dir(spark)}/report-{Path(sf).name}"
+    path = scratch(spark, sf, "report")
     write_report(case_reports(_cases(spark, sf), recipe_index(spark, sf)), path)
-    return spark.read.json(path).select("case_id", "query", "avg_relevance", F.size("items").alias("n_items"))
+    n_items = F.coalesce(F.size("items"), F.lit(0))
+    return spark.read.json(path).select("case_id", "query", r6("avg_relevance"), n_items.alias("n_items"))
 
 
 @query(
