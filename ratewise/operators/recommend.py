@@ -24,7 +24,7 @@ def first_unknown_items(
     known pairs, never users x items.
     """
     ranked = rank_rows(item_scores, [], [F.desc(stable("score")), F.asc("item_id")], "place")
-    n_items = ranked.agg(F.count(F.lit(1))).first()[0]
+    n_items = item_scores.count()
     wanted = users.select("user_id").distinct()
     if known is None:
         wanted = wanted.withColumn("places", F.lit(min(amount, n_items)).cast("long"))
