@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from ..session import broadcast_if_small
+from . import chat, mixing, quality, shards, urls
 from .registry import query, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -38,3 +39,86 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & quality.passes("prose-1")).alias("kept"),
     )
+
+
+SIZE_SQL = f"len({WORDS_SQL})::BIGINT"
+
+
+@query("op4_source_mix", rf"""
+WITH d AS (SELECT doc_id, source, {SIZE_SQL} AS size,
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
+    ([3.0::DOUBLE, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
+f AS (SELECT *, row_number() OVER r AS i, coalesce(sum(cap) OVER before, 0) AS gone, sum(w) OVER after AS free FROM w
+  WINDOW r AS (ORDER BY cap / w, source NULLS LAST), before AS (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+t AS (SELECT sum(source_size) * 1.5::DOUBLE AS goal FROM s),
+stop AS (SELECT min(i) AS i FROM f, t WHERE cap * free >= (goal - gone) * w),
+level AS (SELECT f.i, goal - gone AS rest, free FROM f JOIN stop USING (i), t),
+target AS (SELECT source, source_size, CASE WHEN f.i < level.i THEN cap ELSE rest * w / level.free END AS target FROM f, level),
+p AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN target ON d.source IS NOT DISTINCT FROM target.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE
+  budget // source_size * size + least(size, greatest(budget % source_size - before, 0)) END)::BIGINT AS taken FROM p""")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, ['user', 'assistant'][k + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) r(k))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
+'))
+    + length(replace(replace(text, '', '\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    segments, _ = chat.format_chat(rows.unionByName(more))
+    back = chat.read_back(segments)
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op8_extendible_shards", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
+    ('0x' || substr(md5(coalesce('k' || CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h FROM documents),
+levels AS (SELECT *, h >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(0, 61))::INT AS depth)),
+fit AS (SELECT depth, prefix FROM levels GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES} OR count(*) = 1),
+leaf AS (SELECT r, min(depth) AS depth FROM levels JOIN fit USING (depth, prefix) GROUP BY r),
+s AS (SELECT d.*, leaf.depth, h >> (60 - leaf.depth) AS prefix FROM d JOIN leaf USING (r))
+SELECT doc_id, bytes, depth, prefix, 0::BIGINT AS run, bytes > {SHARD_BYTES} AS oversize,
+  sum(bytes) OVER (PARTITION BY depth, prefix)::BIGINT AS shard_bytes FROM s""")
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = shards.assign(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
+    sizes = shards.directory(placed).select("depth", "prefix", "run", F.col("bytes").alias("shard_bytes"))
+    return placed.join(broadcast_if_small(sizes, sizes.count()), ["depth", "prefix", "run"])
+
+
+@query("op9_url_verdicts")
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.fit(urls.label_by_rules(pages, urls.RULES))
+    return urls.judge(pages, model, urls.RULES, ["page_id"])
