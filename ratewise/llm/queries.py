@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import chat, mixing, quality, shards, urls
+from . import chat, mixing, quality, shards, tokens, urls, warc
 from .registry import query, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -122,3 +122,17 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = urls.fit(urls.label_by_rules(pages, urls.RULES))
     return urls.judge(pages, model, urls.RULES, ["page_id"])
+
+
+@query("op1_warc_derivatives")
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")), ["page_id"])
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+@query("op3_token_shards")
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
