@@ -26,13 +26,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .arrowtext import mix, slices, texts
 from .components import components
 from .shingles import shingles
+from .textkeys import text_key, texts_of
 
 SIMILARITY = 0.8
 RECALL = 0.999
@@ -104,10 +105,6 @@ def sets_of(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "doc_id long, text_key binary, k binary, n long, sketch binary, nodes array<long>"))
 
 
-def text_key() -> Column:
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-
-
 # --- nodes ---------------------------------------------------------------------------------------
 
 
@@ -308,7 +305,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     groups = components(cut_lineage(candidates.distinct()))
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = cut_lineage(groups.join(sizes, "label").join(sets.select(F.col("k").alias("node"), "text_key", "w"), "node"))
-    found = _texts(docs, wanted).select(F.col("node").alias("k"), "label", "size", "w", "text")
+    found = texts_of(docs, wanted.select("text_key").distinct(), wanted.count()).join(wanted, "text_key").select(F.col("node").alias("k"), "label", "size", "w", "text")
     exact = cut_lineage(dealt(in_blocks(found, "label", "size", block)).mapInArrow(
         partial(exact_links, similarity=similarity), "a binary, b binary, links long"
     ))
@@ -321,11 +318,3 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
         "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key",
     )
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` with one text for each ``text_key``; copies of a text are collapsed before they meet."""
-    keys = wanted.select("text_key").distinct()
-    keyed = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    some = keyed.join(broadcast_if_small(keys, wanted.count(), 32), "text_key", "left_semi")
-    return some.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import chat, mixing, quality, shards, tokens, urls, warc
+from . import chat, leaks, mixing, nearjoin, quality, shards, tokens, urls, warc
 from .registry import query, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -136,3 +136,40 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_chosen_path_join", rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS ws FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(ws[p:p + 4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+met AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM g x JOIN g y USING (s) WHERE x.r < y.r GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+low AS (SELECT a AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = b GROUP BY a),
+links AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, c) AS class_id, coalesce(links.n, 0)::BIGINT AS n_links FROM d LEFT JOIN low USING (r) LEFT JOIN links USING (r)""")
+def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+PLAIN_SQL = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query("op10_simhash_windows", rf"""
+WITH i AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), 5) AS k FROM (SELECT item_id, {PLAIN_SQL} AS ws FROM benchmark) WHERE len(ws) > 0),
+ig AS (SELECT item_id, n, k, p, array_to_string(ws[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)),
+ks AS (SELECT DISTINCT k FROM i),
+d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_SQL} AS ws FROM documents),
+dg AS (SELECT r, k, len(ws) AS m, p, array_to_string(ws[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks)),
+w AS (SELECT DISTINCT r, k, greatest(1, least(dg.p - ig.p + 1, m - least(m, n) + 1)) AS f, least(m, n) AS z FROM dg JOIN ig USING (k, s)),
+wg AS (SELECT w.*, s, count(*) AS c FROM w JOIN dg USING (r, k) WHERE p BETWEEN f AND f + z - k GROUP BY ALL),
+ic AS (SELECT item_id, n, k, s, count(*) AS c FROM ig GROUP BY ALL),
+sim AS (SELECT r, f, z, k, item_id, sum(least(wg.c, ic.c)) AS t, n FROM wg JOIN ic USING (k, s) GROUP BY ALL),
+leak AS (SELECT r, item_id, max(t / ((z - k + 1) + (n - k + 1) - t)) AS similarity FROM sim GROUP BY ALL HAVING similarity >= 0.8 - 1e-9),
+best AS (SELECT r, count(*) AS n, arg_max(item_id, (similarity, -item_id)) AS item_id, max(similarity) AS similarity FROM leak GROUP BY r)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, item_id, round(similarity, 6) AS similarity FROM d LEFT JOIN best USING (r)""")
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = leaks.matches(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.flag(docs, found, ["doc_id"]).withColumn("similarity", F.round("similarity", 6))
