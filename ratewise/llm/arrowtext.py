@@ -31,14 +31,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    """The column as strings; null counts as empty."""
-    return batch.column(name).cast(pa.large_string()).fill_null("")
+    """The column as strings with buffers of their own (not all kernels heed a slice's); null counts as empty."""
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()).fill_null("")
 
 
 class Words:
     """Words of a slice: ``codes`` into ``vocabulary``, row i at ``codes[starts[i]:starts[i + 1]]``."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
         lists = pc.ascii_split_whitespace(column)
         flat = lists.flatten()
         row = pc.list_parent_indices(lists).to_numpy()
@@ -48,6 +50,9 @@ class Words:
         encoded = flat.dictionary_encode()
         self.vocabulary: pa.Array = encoded.dictionary
         self.codes = encoded.indices.to_numpy().astype(np.int64)
+        if lower:  # A-Z, on the distinct words only
+            again = pc.ascii_lower(self.vocabulary).dictionary_encode()
+            self.vocabulary, self.codes = again.dictionary, again.indices.to_numpy().astype(np.int64)[self.codes]
         self.row = row.astype(np.int64)
         self.counts = np.bincount(self.row, minlength=len(column)).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)

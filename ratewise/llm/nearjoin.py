@@ -276,7 +276,7 @@ def exact_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
     """Per place and set: the documents it links to there, and its leader there."""
     for table in places(batches):
         place, side, w = (table[c].to_numpy() for c in ("place", "side", "w"))
-        column, k = texts(table, "text").combine_chunks() if table.num_rows else None, table["k"].combine_chunks()
+        column, k = texts(table), table["k"].combine_chunks()
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         for s, e in zip(start, [*start[1:], len(place)]):
             i, j = exact_pairs(column.slice(s, e - s), side[s:e], similarity)

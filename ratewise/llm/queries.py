@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import chat, leaks, mixing, nearjoin, quality, shards, tokens, urls, warc
+from . import chat, lattice, leaks, mixing, nearjoin, quality, shards, tokens, urls, warc
 from .registry import query, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -173,3 +173,10 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = leaks.matches(docs, table(spark, sf_dir, "benchmark"))
     return leaks.flag(docs, found, ["doc_id"]).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("op5_subword_lattice")
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
