@@ -17,7 +17,8 @@ is gathered per item or passage, so one passage in very many documents costs its
 Cases: null texts count as empty and are clean; items without words match nothing; items shorter
 than five words are compared by shingles of their own length; a text shorter than an item is one
 window; repeated rows and items are judged alike; an empty benchmark leaves everything clean, an
-empty table gives an empty result. Extra columns are ignored; names starting with ``_lk_`` are reserved.
+empty table gives an empty result. ``flag`` carries the columns in ``keep`` (one with the name of an output
+column gets ``_source`` behind it), ``remove`` all of them; others are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
+from .names import columns, renamed, unused
 from .textkeys import text_key, texts_of
 
 SHINGLE = 5
@@ -128,14 +130,18 @@ def flag(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
         F.countDistinct("item_id").alias("n_items"), F.max_by("item_id", F.struct("similarity", -F.col("item_id"))).alias("item_id"), F.max("similarity").alias("similarity")
     )
     verdicts = cut_lineage(best)
-    rows = docs.select(*keep, text_key().alias("text_key")).join(broadcast_if_small(verdicts, verdicts.count()), "text_key", "left")
+    names = renamed(keep, ["contaminated", "n_items", "item_id", "similarity", "text_key"])
+    kept = docs.select(*(c.alias(n) for c, n in zip(columns(docs, keep), names)), text_key().alias("text_key"))
+    rows = kept.join(broadcast_if_small(verdicts, verdicts.count()), "text_key", "left")
     return rows.select(
-        *keep, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_id", "similarity"
+        *columns(kept, names), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "item_id", "similarity",
     )
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak nothing, with their columns."""
-    keys = cut_lineage(found.select("text_key").distinct())
-    keyed = docs.withColumn("text_key", text_key())
-    return keyed.join(broadcast_if_small(keys, keys.count(), 32), "text_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "_lk_key")
+    keys = cut_lineage(found.select(F.col("text_key").alias(key)).distinct())
+    keyed = docs.withColumn(key, text_key())
+    return keyed.join(broadcast_if_small(keys, keys.count(), 32), key, "left_anti").select(*columns(docs))

@@ -8,7 +8,7 @@ row gives only the words up to the budget, so a source contributes its target ro
 Cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
 order; rows equal in every column used are interchangeable and each takes its own share; an empty
 table gives an empty mix; sources without words have target 0. Extra columns are ignored by
-``plan`` and kept by ``apply_mix``; columns whose names start with ``_mix_`` are reserved.
+``plan`` and kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
 from .arrowtext import WORD
+from .names import columns
 from .prefix import running
 
 WEIGHTS = (3, 1, 2)
@@ -95,16 +96,18 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     mixed = plan(docs, **options).groupBy("_mix_key").agg(
         F.sum("taken").alias("_mix_taken"), F.max("size").alias("_mix_size")
     ).filter("_mix_taken > 0")
-    keyed = docs.withColumn("_mix_key", random_key(F.col("doc_id"), F.col("text"), options.get("seed", SEED)))
-    one = keyed.groupBy("_mix_key").agg(F.first(F.struct(*docs.columns)).alias("_mix_row"))
+    packed = docs.select(random_key(F.col("doc_id"), F.col("text"), options.get("seed", SEED)).alias("_mix_key"), F.struct(*columns(docs)).alias("_mix_row"))
+    one = packed.groupBy("_mix_key").agg(F.first("_mix_row").alias("_mix_row"))
     copies = one.join(mixed, "_mix_key").select(
         "_mix_row", F.expr("_mix_taken div _mix_size").alias("_mix_whole"), F.expr("_mix_taken % _mix_size").alias("_mix_part")
     )
     times = F.expr("concat(array_repeat(-1L, cast(_mix_whole as int)), if(_mix_part > 0, array(_mix_part), array()))")
-    each = copies.select("_mix_row.*", F.explode(times).alias("_mix_cut"))
-    cut = F.when(F.col("_mix_cut") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_mix_cut")))
-    columns = [cut.alias("text") if c == "text" else F.length(cut).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return each.select(*columns)
+    each = copies.select("_mix_row", F.explode(times).alias("_mix_cut"))
+    of = lambda name: F.col("_mix_row").getField(name)
+    cut = F.when(F.col("_mix_cut") < 0, of("text")).otherwise(first_words(of("text"), F.col("_mix_cut")))
+    size = F.when(F.col("_mix_cut") < 0, of("n_chars")).otherwise(F.length(cut)).cast("long") if "n_chars" in docs.columns else None
+    new = {"text": cut, "n_chars": size}
+    return each.select(*((new[c] if c in new else of(c)).alias(c) for c in docs.columns))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .arrowtext import mix, slices, texts
 from .components import components
+from .names import columns, unused
 from .shingles import shingles
 from .textkeys import text_key, texts_of
 
@@ -290,9 +291,9 @@ def exact_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """``doc_id, class_id, n_links, text_key`` for every row of ``docs`` (doc_id, text).
+    """``doc_id, class_id, n_links, text_key, class_key`` for every row of ``docs`` (doc_id, text).
 
-    ``class_id`` is the smallest doc_id of the class, ``n_links`` the number of other documents
+    ``class_key`` names the class whatever the ids are (null for texts without words), ``class_id`` is the smallest doc_id of the class, ``n_links`` the number of other documents
     (copies included) whose similarity to this one is at least the threshold.
     """
     rows = sets_of(docs, runs_for(recall, depth), similarity)
@@ -313,8 +314,34 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     classes = components(exact).select(F.col("node").alias("k"), "label")
     named = sets.select("k", "w", "first_id").join(classes, "k", "left").join(links, "k", "left").withColumn("label", F.coalesce("label", "k"))
     least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    told = named.join(least, "label").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    told = named.join(least, "label").select("k", F.col("label").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     return rows.select("doc_id", "text_key", "k", "n").join(told, "k", "left").select(
         "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "class_key",
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without the near copies: of each class the row with the smallest id stays.
+
+    Nulls come last, ties go by text; rows equal in id and text are one document. Rows without
+    words all stay.
+    """
+    rows = join(docs, **options).filter("class_key IS NOT NULL")
+    copies = cut_lineage(rows.groupBy("class_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = copies.groupBy("class_key").agg(F.min(order).alias("m"))
+    same = (F.col("doc_id") == F.col("m.doc_id")) | (F.col("doc_id").isNull() & F.col("m.doc_id").isNull())
+    same = same & (F.col("text_key") == F.col("m.text_key"))
+    placed = cut_lineage(copies.join(first, "class_key").select("doc_id", "text_key", "n", F.coalesce(same, F.lit(False)).alias("stays")))
+    key, packed = unused(docs, "_nj_key"), unused(docs, "_nj_row")
+    keyed = docs.withColumn(key, text_key())
+    named = lambda df: df.select(F.col("doc_id").alias("_nj_id"), F.col("text_key").alias("_nj_text"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_nj_id")) & (F.col(key) == F.col("_nj_text"))
+    gone, again = named(placed.filter(~F.col("stays"))), named(placed.filter("stays AND n > 1"))
+    count_gone, count_again = gone.count(), again.count()
+    kept = keyed.join(broadcast_if_small(gone.unionByName(again), count_gone + count_again), match, "left_anti").select(*columns(docs))
+    if not count_again:
+        return kept
+    repeated = keyed.join(broadcast_if_small(again, count_again), match, "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*columns(docs))).alias(packed))
+    return kept.unionByName(repeated.select(F.col(packed).alias("_nj_one")).select("_nj_one.*"))

@@ -6,8 +6,8 @@ asking what would change without one of its rules, only needs bitwise operations
 so a new policy never reads a text again.
 
 Null texts count as empty: no words, every measurement 0, the word-count rule fails. Repeated rows
-are judged one by one. Columns of the input with the names of ledger columns are not touched: the
-ledger carries the columns named in ``keep`` and its own, and clashing names raise at plan time.
+are judged one by one. The ledger carries the columns named in ``keep``; one that has the name of a
+ledger column comes out with ``_source`` behind its name. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrowtext import Words, mix, rolling, rows_sum, slices, texts
+from .names import columns, renamed
 
 WINDOW = 8
 MEASURES = [
@@ -123,17 +125,15 @@ def bits(rules: list[str]) -> int:
 
 def ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, the measurements, and ``fail_bits``; one row per input row."""
-    if clash := set(keep) & {*MEASURES, "fail_bits"}:
-        raise ValueError(f"columns of the ledger can't be kept from the input: {sorted(clash)}")
-    chosen = docs.select(*keep, *([] if text in keep else [F.col(text)]))
+    names = renamed(keep, [*MEASURES, "fail_bits", "_text"])
+    chosen = docs.select(*(c.alias(n) for c, n in zip(columns(docs, keep), names)), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            found = measure(texts(batch, text))
-            kept = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[m]) for m in MEASURES)], names=[*keep, *MEASURES])
+        for batch in slices(batches, "_text"):
+            found = measure(texts(batch, "_text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[m]) for m in MEASURES)], names=[*names, *MEASURES])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{m} long" for m in MEASURES])
+    schema = StructType(chosen.schema.fields[:-1] + [StructField(m, LongType()) for m in MEASURES])
     measured = chosen.mapInArrow(run, schema)
     failed = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
     return measured.withColumn("fail_bits", reduce(Column.bitwiseOR, failed))

@@ -150,7 +150,7 @@ low AS (SELECT a AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = b GROUP BY a)
 links AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
 SELECT doc_id, least(doc_id, c) AS class_id, coalesce(links.n, 0)::BIGINT AS n_links FROM d LEFT JOIN low USING (r) LEFT JOIN links USING (r)""")
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearjoin.join(table(spark, sf_dir, "documents")).drop("text_key")
+    return nearjoin.join(table(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 PLAIN_SQL = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"

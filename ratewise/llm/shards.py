@@ -11,7 +11,7 @@ bucket is cut into runs of at most the limit by distributed prefix sums (column
 row larger than the limit is a shard of its own (``oversize``).
 
 Null keys hash as a key of their own; null texts have 0 bytes; repeated rows are kept; an empty
-table gives no shards. Columns starting with ``_sh_`` are reserved.
+table gives no shards. A kept column with the name of an output column gets ``_source`` behind it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
+from .names import columns, renamed
 from .prefix import running
 
 HASH_BITS = 60
@@ -76,9 +77,10 @@ def assign(
     ``depth`` bits of the hash select the bucket, ``prefix`` is their value; (depth, prefix, run)
     names a shard. ``size`` is the bytes of a row.
     """
-    keep = [key] if keep is None else keep
+    asked = [key] if keep is None else keep
+    keep = renamed(asked, ["bytes", "depth", "prefix", "run", "oversize"])
     todo = cut_lineage(rows.select(
-        *keep, key_hash(F.col(key)).alias("_sh_hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes")
+        *(c.alias(n) for c, n in zip(columns(rows, asked), keep)), key_hash(F.col(key)).alias("_sh_hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes")
     ))
     done = []
     for low in range(0, HASH_BITS, bits_per_round):

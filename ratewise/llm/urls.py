@@ -7,7 +7,8 @@ other, so that a suffix does not vouch for itself.
 
 Cases: a null URL, or one without ``://``, has empty host and path, follows no rule and is judged by
 the trees on the features of an empty URL; repeated URLs are judged alike; without labelled URLs of
-both kinds the verdict is the only kind there is, or allow. Other columns pass through ``keep``.
+both kinds the verdict is the only kind there is, or allow. Columns pass through ``keep``; one with
+the name of an output column gets ``_source`` behind it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import columns, renamed
+
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
 FEATURES = [
@@ -147,11 +150,13 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: i
 
 def judge(pages: DataFrame, model: Model, rules: list[Rule], keep: list[str], url: str = "url") -> DataFrame:
     """``keep`` columns with ``host, path, rule, verdict``."""
-    rows = model.with_suffix(lexical(pages.select(*keep, *([] if url in keep else [url])), url))
+    names = renamed(keep, ["host", "path", "rule", "verdict"])
+    packed = F.struct(*(c.alias(n) for c, n in zip(columns(pages, keep), names))) if keep else F.struct(F.lit(1))
+    rows = model.with_suffix(lexical(pages.select(packed.alias("_kept"), F.col(url).alias("url"))))
     name, said = match_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("_score") > 0, "block").otherwise("allow")
     return rows.withColumn("_score", model.score()).select(
-        *keep, "host", "path", name.alias("rule"), F.coalesce(said, method).alias("verdict")
+        *(F.col("_kept").getField(n).alias(n) for n in names), "host", "path", name.alias("rule"), F.coalesce(said, method).alias("verdict")
     )
 
 

@@ -8,7 +8,8 @@ source's HTTP headers. Record ids follow from the source's id, so a second run g
 payload_digest``; columns named in ``keep`` pass through. Cases: a null or empty payload gives an
 empty text; a null URI, date or digest leaves its header out; line breaks in header values become
 spaces; a null header map counts as empty; repeated responses give repeated records; an empty table
-gives none. Other columns are ignored. Each response is handled on its own, without a shuffle.
+gives none. A kept column with the name of an output column gets ``_source`` behind its name; other
+columns are ignored. Each response is handled on its own, without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .arrowtext import slices
+from .names import columns, renamed
 
 VERSION = "WARC/1.1"
 SOURCE = ["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"]
@@ -98,24 +101,24 @@ FIELDS = {
     "warc_type": pa.string(), "derived_id": pa.string(), "refers_to": pa.string(), "concurrent_to": pa.string(), "target_uri": pa.string(),
     "source_digest": pa.string(), "block_digest": pa.string(), "content_length": pa.int64(), "record": pa.binary(),
 }
-KINDS = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
+KINDS = {pa.string(): StringType(), pa.int64(): LongType(), pa.binary(): BinaryType()}
 
 
 def derive(responses: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and one row per derived record, its serialised bytes in ``record``."""
-    if clash := set(keep) & {*FIELDS, *SOURCE}:
-        raise ValueError(f"columns of the records can't be kept from the input: {sorted(clash)}")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in responses.select(*keep).schema] + [f"{n} {KINDS[t]}" for n, t in FIELDS.items()])
+    names = renamed(keep, [*FIELDS, *SOURCE])
+    chosen = responses.select(*(c.alias(n) for c, n in zip(columns(responses, keep), names)), *SOURCE)
+    schema = StructType(chosen.schema.fields[: len(keep)] + [StructField(n, KINDS[t]) for n, t in FIELDS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
             made = [derive_one(s) for s in batch.select(SOURCE).to_pylist()]
             row = pa.array([i for i, records in enumerate(made) for _ in records], pa.int64())
-            kept = [batch.column(k).take(row) for k in keep]
+            kept = [batch.column(n).take(row) for n in names]
             cols = [pa.array([r[n] for records in made for r in records], t) for n, t in FIELDS.items()]
-            yield pa.RecordBatch.from_arrays(kept + cols, names=[*keep, *FIELDS])
+            yield pa.RecordBatch.from_arrays(kept + cols, names=[*names, *FIELDS])
 
-    return responses.select(*keep, *SOURCE).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", date: Column | None = None) -> DataFrame:
