@@ -234,11 +234,12 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", clip("l_quantity", 5, 30).alias("clipped"))
 
 
-_KNOWN_ITEMS = "known_items AS (SELECT DISTINCT l_partkey AS item_id FROM lineitem WHERE l_quantity > 45)"
+_KNOWN_ITEMS = "known_items AS (SELECT DISTINCT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS item_id FROM events)"
 
 
 def _known_items(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("item_id")).distinct()
+    """Items that occur in an event."""
+    return requests(spark, sf).select("item_id").distinct()
 
 
 @query(
@@ -251,15 +252,16 @@ def _(spark, sf):
 
 @query(
     "p13_unknown_requests",
-    with_(RATINGS, REQUESTS)
-    + "SELECT user_id, item_id FROM requests WHERE user_id NOT IN (SELECT user_id FROM ratings) OR item_id NOT IN "
-    "(SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
+    with_(RATINGS, "asked AS (SELECT DISTINCT l_suppkey AS user_id, l_orderkey AS item_id FROM lineitem)")
+    + "SELECT user_id, item_id FROM asked WHERE user_id NOT IN (SELECT user_id FROM ratings) OR item_id NOT IN "
+    "(SELECT item_id FROM ratings)",
 )
 def _(spark, sf):
-    rows, asked = ratings(spark, sf), requests(spark, sf)
+    rows = ratings(spark, sf)
+    asked = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("item_id")).distinct()
     users = rows.select("user_id").distinct()
     new_user = filters.unknown_only(asked, users, "user_id")
-    new_item = filters.unknown_only(filters.known_only(asked, users, "user_id"), _known_items(spark, sf), "item_id")
+    new_item = filters.unknown_only(filters.known_only(asked, users, "user_id"), rows.select("item_id").distinct(), "item_id")
     return new_user.select("user_id", "item_id").unionByName(new_item.select("user_id", "item_id"))
 
 
@@ -278,11 +280,11 @@ def _(spark, sf):
 
 @query(
     "j4_items_in_use",
-    with_(RATINGS) + "SELECT p_partkey AS item_id, p_name AS text FROM part WHERE p_partkey IN (SELECT item_id FROM ratings WHERE rating >= 5)",
+    with_(_KNOWN_ITEMS) + "SELECT p_partkey AS item_id, p_name AS text FROM part WHERE p_partkey IN (SELECT item_id FROM known_items)",
 )
 def _(spark, sf):
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
-    return filters.items_in_use(items, ratings(spark, sf).filter("rating >= 5"))
+    return filters.items_in_use(items, requests(spark, sf))
 
 
 @query(
@@ -581,7 +583,7 @@ def _(spark, sf):
 @query(
     "x10_keyword_overlap",
     "SELECT a.conv_id, a.turn, round(len(list_filter(q, lambda t: contains(lower(b.text), t))) / len(q), 6) AS overlap FROM "
-    "(SELECT conv_id, turn, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 0), 1, 20) AS q "
+    "(SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 0) AS q "
     "FROM conversations) a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE len(q) > 0",
 )
 def _(spark, sf):
@@ -647,18 +649,18 @@ def _(spark, sf):
         "own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rk FROM ratings)",
         "pop AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS pl FROM (SELECT item_id, count(*) AS n FROM ratings GROUP BY 1)) ",
         "u AS (SELECT user_id, item_id, 0 AS src, rk AS pl FROM own WHERE rk <= 5 UNION ALL "
-        "SELECT user_id, pop.item_id, 1, pl FROM (SELECT DISTINCT user_id FROM own) CROSS JOIN pop WHERE pl <= 5)",
+        "SELECT user_id, pop.item_id, 1, pl FROM (SELECT user_id FROM own UNION SELECT user_id FROM events) CROSS JOIN pop WHERE pl <= 20)",
         "f AS (SELECT user_id, item_id, min(src * 1000 + pl) AS o FROM u GROUP BY 1, 2)",
     )
     + "SELECT user_id, item_id, CASE WHEN o < 1000 THEN 'model' ELSE 'popular' END AS source, "
-    "CAST(row_number() OVER (PARTITION BY user_id ORDER BY o, item_id) AS INTEGER) AS rank FROM f",
+    "CAST(row_number() OVER (PARTITION BY user_id ORDER BY o, item_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10",
 )
 def _(spark, sf):
     from ..operators.ranking import top_k
 
     rows = ratings(spark, sf)
     own = top_k(rows, ["user_id"], [F.desc("rating"), F.asc("item_id")], 10)
-    return coldstart.hybrid_list(own, rows, 10, 0.5)
+    return coldstart.hybrid_list(own, rows, 10, 0.5, requests(spark, sf).select("user_id"))
 
 
 @query(

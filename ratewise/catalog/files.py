@@ -107,3 +107,57 @@ def _(spark, sf):
     path = scratch(spark, sf, "sample")
     table(spark, sf, "part").write.option("header", True).csv(path)
     return S.sample_scan(spark, path, 200)[0]
+
+
+@query(
+    "s3_csv_line_breaks",
+    "SELECT CAST(doc_id AS VARCHAR) AS item_id, text FROM documents",
+)
+def _(spark, sf):
+    """Texts with line breaks and quotes survive a CSV file."""
+    folder = scratch(spark, sf, "lines")
+    ratings(spark, sf).select(F.col("user_id").alias("who"), F.col("rating").alias("stars"), F.col("item_id").alias("what")).write.option("header", True).csv(f"{folder}/ratings")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("what"), F.col("text").alias("words"))
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(f"{folder}/items")
+    return S.prepare_from_csv(spark, f"{folder}/ratings", f"{folder}/items", "who", "what", "stars", "words")[1]
+
+
+@query(
+    "s11_eval_cases",
+    "SELECT text AS query, CASE WHEN item_id % 2 = 0 THEN 'egg, tofu' ELSE '' END AS must_include, '' AS avoid, "
+    "CASE WHEN item_id % 3 = 0 THEN 5 ELSE 10 END::INTEGER AS k, 50::INTEGER AS candidate_k, item_id % 5 = 0 AS apply_filters FROM benchmark WHERE item_id % 7 <> 0",
+)
+def _(spark, sf):
+    """Cases written as JSON, with settings left out; every seventh has a blank query and drops out."""
+    path = scratch(spark, sf, "cases")
+    key = F.col("item_id")
+    rows = table(spark, sf, "benchmark").select(
+        F.when(key % 7 == 0, F.lit("  ")).otherwise(F.col("text")).alias("query"), F.when(key % 2 == 0, "egg, tofu").alias("must_include"),
+        F.when(key % 3 == 0, 5).alias("k"), F.when(key % 5 == 0, True).alias("apply_filters"),
+    )
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)))).write.text(path)  # one JSON array, as such files are
+    return S.read_eval_cases(spark, path).drop("case_id")
+
+
+@query(
+    "p10_s9_long_recipes",
+    "SELECT 'o/' || o_orderkey AS item_id, 'ingredients: ' || string_agg(p_name, '; ' ORDER BY l_linenumber, p_name) || chr(10) || "
+    "'directions: ' || string_agg('Add ' || p_name || '.', ' ' ORDER BY l_linenumber, p_name) AS text "
+    "FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey HAVING o_orderkey % 10 <> 0",
+)
+def _(spark, sf):
+    """Recipes of all lines of an order: no ingredient or step is cut; those without content drop out."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    named = lines.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    whole = named.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("o")), "o").groupBy("o").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]).alias("parts")
+    )
+    blank = F.col("o") % 10 == 0
+    empty = F.array().cast("array<string>")
+    steps = F.transform("parts", lambda p: F.concat(F.lit("Add "), p, F.lit(".")))
+    raw = whole.select(
+        F.lit(None).cast("string").alias("title"), F.to_json(F.when(blank, empty).otherwise(F.col("parts"))).alias("ingredients"),
+        F.to_json(F.when(blank, empty).otherwise(steps)).alias("directions"), F.concat(F.lit("o/"), F.col("o").cast("string")).alias("link"),
+        F.lit("Gathered").alias("source"), F.lit(None).cast("string").alias("NER"),
+    )
+    return S.recipe_items(raw)

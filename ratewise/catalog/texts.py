@@ -49,7 +49,7 @@ _STOP = "stop AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in X.ENGLISH_STOP_
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 
 
-def tfidf_ctes(source: str, key: str = "item_id", max_features: int = 50000, min_df: int = 2, bigrams: bool = False) -> list[str]:
+def tfidf_ctes(source: str, key: str = "item_id", max_features: int | None = None, min_df: int = 2, bigrams: bool = False) -> list[str]:
     """``vocab(term, df, idf)`` and ``post(item_id, term, weight)`` of a table ``key, text``."""
     tokens = (
         f"kept AS (SELECT {key}, term, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS pos FROM (SELECT {key}, unnest({_WORDS}) AS term, "
@@ -62,7 +62,7 @@ def tfidf_ctes(source: str, key: str = "item_id", max_features: int = 50000, min
         _STOP, tokens, grams + ")",
         f"tf AS MATERIALIZED (SELECT {key}, term, count(*) AS tf FROM grams GROUP BY 1, 2)",
         f"vocab AS MATERIALIZED (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM {source})) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM tf "
-        f"GROUP BY 1 HAVING count(*) >= {min_df} ORDER BY total DESC, term LIMIT {max_features})",
+        f"GROUP BY 1 HAVING count(*) >= {min_df} " + (f"ORDER BY total DESC, term LIMIT {max_features})" if max_features else ")"),
         f"wt AS (SELECT {key}, term, tf * idf AS w FROM tf JOIN vocab USING (term))",
         f"post AS MATERIALIZED (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM wt)",
     ]
@@ -149,7 +149,7 @@ def _(spark, sf):
 @query(
     "t6_w5_keyword_enrichment",
     with_(
-        RECIPES, *tfidf_ctes("recipes", max_features=5000, bigrams=True),
+        RECIPES, *tfidf_ctes("recipes", bigrams=True),
         "best AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY round(weight, 9) DESC, term) AS rk FROM post QUALIFY rk <= 8)",
         "tg AS (SELECT item_id, string_agg(term, ',' ORDER BY rk) AS tags FROM best GROUP BY 1)",
     )
@@ -196,7 +196,7 @@ def _(spark, sf):
     return out.select("query_id", "rank", "item_id", r6("score"), r6("sim"), r6("model_score"), "reason")
 
 
-_CONVERSATIONS = "qs AS (SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0 AND role = 'user')"
+_CONVERSATIONS = "qs AS (SELECT conv_id * 100000 + turn AS query_id, text FROM conversations)"
 
 
 @query(
@@ -205,8 +205,8 @@ _CONVERSATIONS = "qs AS (SELECT conv_id AS query_id, text FROM conversations WHE
     + "SELECT query_id, item_id, round(sim, 6) AS sim, rank FROM found",
 )
 def _(spark, sf):
-    talk = table(spark, sf, "conversations").filter("turn = 0 AND role = 'user'")
-    asked = talk.select(F.col("conv_id").alias("query_id"), "text")
+    talk = table(spark, sf, "conversations")
+    asked = talk.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), "text")
     return search(doc_index(spark, sf), asked, 5).select("query_id", "item_id", r6("sim"), "rank")
 
 
@@ -305,7 +305,7 @@ def _pairs(spark, sf):
 _PAIR_FEATURES = [
     *_PAIRS,
     "limits AS (SELECT query_id, text AS query, CASE query_id % 3 WHEN 0 THEN 20 WHEN 2 THEN 45 END AS lim, query_id % 3 = 0 AS want_p, query_id % 3 = 1 AS want_c, "
-    "list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 0), 1, 20) AS q FROM qs)",
+    "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 0) AS q FROM qs)",
     "feat AS (SELECT query_id, f.item_id, sim, rank, len(list_filter(q, lambda t: contains(lower(r.text), t))) / len(q) AS kw_overlap, "
     + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in R.ALLERGENS)
     + ", coalesce(time_min, -1)::DOUBLE AS time_min, CASE WHEN lim IS NOT NULL AND time_min IS NOT NULL AND time_min > lim THEN 0.0 ELSE 1.0 END::DOUBLE AS time_ok, "
@@ -421,8 +421,8 @@ def _(spark, sf):
 _JUDGED = [
     *_DOC_SEARCH,
     "j AS (SELECT f.query_id, f.item_id, rank, q.text AS query, lower(i.text) AS t, CASE WHEN query_id % 2 = 0 THEN ['the', 'qu'] ELSE [] END AS must, "
-    "CASE WHEN query_id % 3 = 0 THEN ['tion ', 'xyz'] ELSE [] END AS av, list_slice(list_filter(regexp_split_to_array(lower(q.text), '[^\\p{L}\\p{N}_]+'), "
-    "lambda x: length(x) > 0), 1, 10) AS w FROM found f JOIN qs q USING (query_id) JOIN items i ON i.item_id = f.item_id)",
+    "CASE WHEN query_id % 3 = 0 THEN ['tion ', 'xyz'] ELSE [] END AS av, list_filter(regexp_split_to_array(lower(q.text), '[^\\p{L}\\p{N}_]+'), "
+    "lambda x: length(x) > 0) AS w FROM found f JOIN qs q USING (query_id) JOIN items i ON i.item_id = f.item_id)",
     "h AS (SELECT *, len(list_filter(must, lambda x: contains(t, x))) > 0 AS hm, len(list_filter(av, lambda x: contains(t, x))) > 0 AS ha, "
     "len(list_filter(w, lambda x: contains(t, x))) > 0 AS hq FROM j)",
     "v AS (SELECT *, CASE WHEN ha THEN 1 ELSE 0 END + CASE WHEN len(must) > 0 AND NOT hm THEN 2 ELSE 0 END AS viol, "
@@ -466,7 +466,7 @@ _CASES = [
     "hh AS (SELECT *, len(list_filter(must, lambda x: contains(t, x))) > 0 AS hm, len(list_filter(av, lambda x: contains(t, x))) > 0 AS ha FROM rw)",
     "kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hh WHERE NOT af OR (NOT ha AND (len(must) = 0 OR hm)) QUALIFY place <= k)",
     "jd AS (SELECT *, CASE WHEN ha OR (len(must) > 0 AND NOT hm) THEN 1.0 ELSE 0.0 END AS bad, 1.0 + CASE WHEN hm THEN 2 ELSE 0 END + "
-    "CASE WHEN len(list_filter(list_slice(regexp_split_to_array(query, ' '), 1, 10), lambda x: contains(t, x))) > 0 THEN 1 ELSE 0 END AS raw FROM kp)",
+    "CASE WHEN len(list_filter(regexp_split_to_array(query, ' '), lambda x: contains(t, x))) > 0 THEN 1 ELSE 0 END AS raw FROM kp)",
     "pairs AS (SELECT a.query_id, avg(len(list_intersect(a.ing, b.ing)) / len(list_distinct(list_concat(a.ing, b.ing)))) AS mj FROM jd a JOIN jd b "
     "ON a.query_id = b.query_id AND a.place < b.place GROUP BY 1)",
     "agg AS (SELECT query_id, count(*) AS n_after_filter, avg(CASE WHEN bad > 0 THEN greatest(0, raw - 2) ELSE raw END) AS avg_relevance, avg(bad) AS violation_rate FROM jd GROUP BY 1)",

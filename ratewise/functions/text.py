@@ -96,8 +96,8 @@ def ngrams(token_array: Column, longest: int) -> Column:
     )
 
 
-def keyword_overlap(query: Column | str, text: Column | str, first: int = 20) -> Column:
-    """Share of the query's first words that occur in the text as substrings."""
+def keyword_overlap(query: Column | str, text: Column | str, first: int | None = None) -> Column:
+    """Share of the query's words (its ``first`` ones if given) that occur in the text as substrings."""
     def share(terms: Column) -> Column:
         hits = bind(
             F.lower(F.coalesce(col(text), F.lit(""))),
@@ -107,7 +107,7 @@ def keyword_overlap(query: Column | str, text: Column | str, first: int = 20) ->
             hits.cast("double") / F.greatest(F.size(terms), F.lit(1))
         )
 
-    return bind(F.slice(words(query), 1, first), share)
+    return bind(words(query) if first is None else F.slice(words(query), 1, first), share)
 
 
 def query_time_limit(query: Column | str) -> Column:
@@ -173,10 +173,13 @@ def recipe_text(
     ingredients: Column | str,
     directions: Column | str,
     include_directions: bool = True,
-    max_ingredients: int = 30,
-    max_steps: int = 3,
+    max_ingredients: int = 0,
+    max_steps: int = 0,
 ) -> Column:
-    """Labelled recipe text from parsed list columns; a part without content is left out."""
+    """Labelled recipe text from parsed list columns; a part without content is left out.
+
+    All ingredients and steps are kept; a positive ``max_ingredients`` or ``max_steps`` cuts the lists.
+    """
     name = strip(F.coalesce(col(title), F.lit("")))
     parts_source = F.when(F.size(col(ner)) > 0, col(ner)).otherwise(col(ingredients))
     foods = F.slice(parts_source, 1, max_ingredients) if max_ingredients > 0 else parts_source

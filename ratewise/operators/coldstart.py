@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from .stats import popular_items
 
 
-def hybrid_list(recommended: DataFrame, ratings: DataFrame, n: int = 10, alpha: float = 0.5) -> DataFrame:
-    """Per user ``int(n*alpha)`` model items, then ``int(n*(1-alpha))`` popular items, without repeats.
+def hybrid_list(
+    recommended: DataFrame, ratings: DataFrame, n: int = 10, alpha: float = 0.5, users: DataFrame | None = None
+) -> DataFrame:
+    """Per user ``int(n*alpha)`` model items, then popular items up to n.
 
-    ``recommended`` holds ``user_id, item_id, rank``. The popular list has at most n rows, so it
-    travels inside one array column.
+    ``recommended`` holds ``user_id, item_id, rank``; ``users`` (``user_id``) adds those without
+    model items, who get popular items only. No item comes twice. A list can lose at most n places
+    to repeats, so the 2n most popular items fill it; they are one broadcast row.
     """
-    n_model, n_popular = int(n * alpha), int(n * (1 - alpha))
-    popular = popular_items(ratings, n_popular) if n_popular else None
+    n_model = int(n * alpha)
+    popular = popular_items(ratings, 2 * n)
     model_rows = recommended.filter(F.col("rank") <= n_model).select(
         "user_id", "item_id", F.lit(0).alias("source"), F.col("rank").cast("int").alias("place")
     )
-    users = recommended.select("user_id").distinct()
-    rows = model_rows
-    if popular is not None:
-        ids = [r["item_id"] for r in popular.orderBy("rank").collect()]
-        filled = users.select("user_id", F.posexplode(F.array(*[F.lit(i) for i in ids])).alias("place", "item_id"))
-        rows = rows.unionByName(filled.select("user_id", "item_id", F.lit(1).alias("source"), "place"))
+    everyone = recommended.select("user_id")
+    everyone = (everyone if users is None else everyone.unionByName(users.select("user_id"))).distinct()
+    listed = popular.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("ids"))
+    filled = everyone.crossJoin(F.broadcast(listed)).select("user_id", F.posexplode("ids").alias("place", "item_id"))
+    rows = model_rows.unionByName(filled.select("user_id", "item_id", F.lit(1).alias("source"), "place"))
     first = rows.groupBy("user_id", "item_id").agg(F.min(F.struct("source", "place")).alias("p"))
     order = Window.partitionBy("user_id").orderBy("p.source", "p.place", "item_id")
     ranked = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -33,8 +33,6 @@ from .search import search_topk
 
 CELL_RATINGS = 500_000
 BLOCK_BYTES = 64 * 1024 * 1024
-#: Ratings of one user that are handled together when users are folded in.
-FOLD_CHUNK = 4096
 
 
 def random_normals(key: Column | str, n: int, mean: float, sd: float, seed: int) -> Column:
@@ -153,8 +151,14 @@ def fit_factors(
     max_rating: float = 5,
     seed: int = 42,
     track_rmse: bool = False,
+    lanes: int = 1,
 ) -> Model:
-    """Biases and factor vectors for one of the kernels linear, sigmoid and rbf."""
+    """Biases and factor vectors for one of the kernels linear, sigmoid and rbf.
+
+    ``lanes`` above 1 splits the users of every block and averages the item blocks after each
+    stratum (parameter averaging). It is a choice of method, so it never follows from the size of
+    the data; it is kept in ``meta``.
+    """
     if kernel not in KERNELS:
         raise ValueError(f"kernel must be one of {KERNELS}")
     rows = as_ratings(ratings)
@@ -164,11 +168,10 @@ def fit_factors(
     meta = {
         "kernel": kernel, "n_factors": n_factors, "lr": lr, "reg": reg, "init_mean": init_mean, "init_sd": init_sd,
         "gamma": 1.0 / n_factors if gamma == "auto" else float(gamma), "global_mean": mean, "seed": seed,
-        "n_users": n_users, "n_items": n_items, "min_rating": min_rating, "max_rating": max_rating,
+        "n_users": n_users, "n_items": n_items, "min_rating": min_rating, "max_rating": max_rating, "lanes": lanes,
     }
     per_block = max(1, BLOCK_BYTES // (8 * (n_factors + 4)))
-    blocks = max(4, math.ceil(n_items / per_block))
-    lanes = max(1, math.ceil(n_users / (blocks * per_block)), math.ceil(n / (blocks * blocks * CELL_RATINGS)))
+    blocks = max(4, math.ceil(n_items / per_block), math.ceil(n_users / (lanes * per_block)), math.ceil(math.sqrt(n / (lanes * CELL_RATINGS))))
     cells = rows.withColumns(
         {
             "_ub": hash_bucket("u", blocks, "user_id"), "_ib": hash_bucket("i", blocks, "item_id"),
@@ -261,14 +264,16 @@ def recommend_factors(
 
 
 def update_factor_users(
-    model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, seed: int = 42
+    model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, seed: int = 42, chunk: int | None = None
 ) -> Model:
     """Fit the users in ``ratings`` from a fresh start, items frozen; unknown items are dropped.
 
-    Given the items, users do not depend on each other. Each runs plain SGD over its ratings; a
-    task steps many users at once, one rating per user and round. A history longer than
-    FOLD_CHUNK is fitted in chunks whose parameters are averaged by their number of ratings
-    (parallel SGD, Zinkevich et al. 2010), so no user has to fit one task.
+    Given the items, users do not depend on each other. Each runs plain SGD over its ratings, in
+    an order that follows from the seed, the epoch and the user's own ratings, whoever else is in
+    the batch; a task steps many users at once, one rating per user and round. A history is one
+    row of (factors + 2) doubles per rating. ``chunk`` asks for histories to be cut into parts of
+    about that many ratings, whose parameters are averaged by their number of ratings (parallel
+    SGD, Zinkevich et al. 2010); it is another method, so only the caller chooses it.
     """
     meta = dict(model.meta, lr=lr)
     rows = known_only(as_ratings(ratings), model.items(), "item_id")
@@ -278,7 +283,7 @@ def update_factor_users(
     )
     chunks = (
         rows.join(lengths, "user_id")
-        .withColumn("_c", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("_n") / FOLD_CHUNK)))
+        .withColumn("_c", F.lit(0) if chunk is None else F.pmod(F.xxhash64("item_id"), F.ceil(F.col("_n") / chunk)))
         .join(fixed, "item_id")
         .groupBy("user_id", "_c")
         .agg(
@@ -316,7 +321,9 @@ def update_factor_users(
             F.array_sort(F.collect_list(F.struct("f", (F.col("x") / F.col("n")).alias("v")))), lambda y: y["v"]
         ).alias("factors"),
     )
-    return replace_users(model, fresh)
+    updated = replace_users(model, fresh)
+    updated.meta["fold_chunk"] = chunk
+    return updated
 
 
 def _fold_users(meta: dict, batch: pd.DataFrame, n_epochs: int, seed: int) -> pd.DataFrame:
@@ -330,7 +337,8 @@ def _fold_users(meta: dict, batch: pd.DataFrame, n_epochs: int, seed: int) -> pd
     Q = np.concatenate(batch["q"].tolist()).reshape(len(r), -1)
     rounds = [np.flatnonzero(place == t) for t in range(lengths.max())]
     for epoch in range(n_epochs):
-        for t in np.random.default_rng(seed + epoch).permutation(len(rounds)):
+        # places are drawn one after the other, so a longer history in the batch adds places and moves none
+        for t in np.argsort(np.random.default_rng([seed, epoch]).random(len(rounds)), kind="stable"):
             at = rounds[t]
             u = user[at]
             error, gp, _ = _gradient(meta, r[at], bu[u], bi[at], P[u], Q[at])

@@ -21,12 +21,13 @@ def violations(text, must_include, avoid) -> Column:
     return F.array_compact(broken)
 
 
-def relevance(query, text, must_include, avoid) -> Column:
-    """1, +2 for a must-include hit, +1 for one of the first ten query words, -2 if violated; 0..5."""
+def relevance(query, text, must_include, avoid, first: int | None = None) -> Column:
+    """1, +2 for a must-include hit, +1 for one of the query's words (its ``first`` ones if given), -2 if violated; 0..5."""
+    asked = words(query) if first is None else F.slice(words(query), 1, first)
     must = col(must_include)
     hit_query = bind(
         F.lower(F.coalesce(col(text), F.lit(""))),
-        lambda hay: F.exists(F.slice(words(query), 1, 10), lambda w: F.contains(hay, w)),
+        lambda hay: F.exists(asked, lambda w: F.contains(hay, w)),
     )
     raw = (
         F.lit(1.0)

@@ -355,14 +355,16 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
     prediction = F.when(
         F.col("mi").isNull() | F.col("_known").isNull(), F.lit(float(meta["global_mean"]))
     ).otherwise(F.col("mi") + F.when(F.col("den") > 1e-9, F.col("num") / F.col("den")).otherwise(F.lit(0.0)))
-    out = requests.join(weighted, ["c", "i"], "left").select(
+    weighted = weighted.withColumnsRenamed({"c": "_c", "i": "_i"})
+    found = (F.col("c") == F.col("_c")) & (F.col("i") == F.col("_i"))
+    out = requests.join(weighted, found, "left").select(
         F.col("c").alias(context), F.col("i").alias(entity),
         model.bounded(prediction, bound).alias("rating_pred"),
         (F.col("mi").isNotNull() & F.col("_known").isNotNull()).alias("prediction_possible"),
     )
-    return pairs.join(out, ["user_id", "item_id"], "left").select(
-        *pairs.columns, "rating_pred", "prediction_possible"
-    )
+    out = out.withColumnsRenamed({"user_id": "_user", "item_id": "_item"})
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("item_id").eqNullSafe(F.col("_item"))
+    return pairs.join(out, same, "left").select(*pairs.columns, "rating_pred", "prediction_possible")
 
 
 def pair_similarity(pairs: DataFrame, ratings: DataFrame, axis: str = "user") -> DataFrame:

@@ -68,7 +68,7 @@ def encode(texts: DataFrame, vocabulary: DataFrame, meta: dict, key: str) -> Dat
 
 def fit_tfidf(
     items: DataFrame,
-    max_features: int | None = 50_000,
+    max_features: int | None = None,
     min_df: int = 2,
     ngram_max: int = 1,
     stop_words: list[str] | None = ENGLISH_STOP_WORDS,
@@ -139,7 +139,7 @@ def search(index: Model, queries: DataFrame, k: int, fill: bool | None = None) -
     return search_topk(vectors, index.tables["vectors"], k, "sparse", fill)
 
 
-def keyword_enrichment(items: DataFrame, top: int = 8, max_features: int = 5_000, min_df: int = 2) -> DataFrame:
+def keyword_enrichment(items: DataFrame, top: int = 8, max_features: int | None = None, min_df: int = 2) -> DataFrame:
     """``item_id, tags, summary``: the heaviest 1- and 2-grams of each text, and its beginning."""
     index = fit_tfidf(items, max_features, min_df, 2)
     # terms are numbered in order, so the array order settles ties by term

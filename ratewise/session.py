@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,4 +71,30 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int = 64) -> Dat
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy per-row work on an input of few splits; large inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> str:
+    """Give this package to all executors, once per application, and return the archive's address.
+
+    Needed where executors do not have it installed: tasks that run numpy import it by name. The
+    archive is written beside the checkpoints, in the folder that all executors share.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        data, root = io.BytesIO(), Path(__file__).resolve().parent
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, path.relative_to(root.parent))
+        address = f"{ensure_checkpoint_dir(spark)}/{root.name}.zip"
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(address)
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+        out.write(data.getvalue())
+        out.close()
+        spark.sparkContext.addPyFile(address)
+        _SHIPPED[application] = address
+    return _SHIPPED[application]
+
+
+_SHIPPED: dict[str, str] = {}

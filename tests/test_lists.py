@@ -154,7 +154,10 @@ def test_hybrid_list(spark):
     lists = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 9, 3)], "user_id long, item_id long, rank int")
     ratings = spark.createDataFrame([(u, i, 1.0) for i in (5, 7, 9) for u in range(i)], "user_id long, item_id long, rating double")
     got = coldstart.hybrid_list(lists, ratings, 4, 0.5).orderBy("rank").collect()
-    assert [(r["item_id"], r["source"]) for r in got] == [(7, "model"), (8, "model"), (9, "popular")]
+    assert [(r["item_id"], r["source"]) for r in got] == [(7, "model"), (8, "model"), (9, "popular"), (5, "popular")]
+    users = spark.createDataFrame([(2,), (1,)], "user_id long")
+    new = coldstart.hybrid_list(lists, ratings, 2, 0.5, users).filter("user_id = 2").orderBy("rank").collect()
+    assert [(r["item_id"], r["source"]) for r in new] == [(9, "popular"), (7, "popular")]
 
 
 def test_questionnaire_batch(spark, items, index):

@@ -193,11 +193,10 @@ def test_training_error_falls(random_ratings, kernel, lr):
     assert model.users().count() == 25 and model.items().count() == 18
 
 
-def test_lanes_average_the_items(random_ratings, monkeypatch):
-    monkeypatch.setattr(factors, "CELL_RATINGS", 5)
-    model = factors.fit_factors(random_ratings[0], "linear", 4, 4, 0.05, 0.02, min_rating=1, track_rmse=True)
+def test_lanes_average_the_items(random_ratings):
+    model = factors.fit_factors(random_ratings[0], "linear", 4, 4, 0.05, 0.02, min_rating=1, track_rmse=True, lanes=3)
     errors = [e for _, e in model.history]
-    assert errors[-1] < errors[0] and model.users().count() == 25 and model.items().count() == 18
+    assert model.meta["lanes"] == 3 and errors[-1] < errors[0] and model.users().count() == 25 and model.items().count() == 18
 
 
 def test_fit_is_repeatable(random_ratings, factor_model):
@@ -225,16 +224,38 @@ def test_factor_lists_equal_scoring_everything(spark, random_ratings):
             assert [(i, pytest.approx(-s)) for s, i in free] == [(i, s) for _, i, s in sorted(rows)]
 
 
-def test_factor_fold_in_is_plain_sgd_per_user(random_ratings, factor_model, monkeypatch):
+def test_factor_fold_in_is_plain_sgd_per_user(random_ratings, factor_model):
     ratings, _ = random_ratings
     updated = T.update_users(factor_model, ratings.filter("user_id >= 20"), 0.05, 20)
     scored = T.predict(updated, ratings.filter("user_id >= 20"), bound=False)
     error = scored.agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("rating_pred"), 2)))).first()[0]
     assert error < 1.4
     assert as_dict(updated.items(), "item_id", "bias") == as_dict(factor_model.items(), "item_id", "bias")
-    monkeypatch.setattr(factors, "FOLD_CHUNK", 5)
-    chunked = T.update_users(factor_model, ratings.filter("user_id >= 20"), 0.05, 20)
-    assert chunked.users().count() == updated.users().count() == 25
+    chunked = factors.update_factor_users(factor_model, ratings.filter("user_id >= 20"), 0.05, 20, chunk=5)
+    assert chunked.users().count() == updated.users().count() == 25 and chunked.meta["fold_chunk"] == 5
+
+
+@pytest.mark.parametrize("records", ["1", "10000"])
+def test_factor_fold_in_ignores_who_shares_the_batch(spark, random_ratings, factor_model, records):
+    ratings, _ = random_ratings
+    alone = as_dict(T.update_users(factor_model, ratings.filter("user_id = 21"), 0.05, 5).users(), "user_id", "bias")[21]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, records)
+    try:
+        among = as_dict(T.update_users(factor_model, ratings.coalesce(1), 0.05, 5).users(), "user_id", "bias")[21]
+    finally:
+        spark.conf.set(key, before)
+    assert among == pytest.approx(alone, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["item_cf", "user_cf"])
+def test_neighbours_without_ids_get_the_mean(spark, small_ratings, name):
+    model = T.fit_model(name, small_ratings)
+    pairs = spark.createDataFrame([("u1", None), (None, "i1"), (None, None), ("u2", "i2")], "user_id string, item_id string")
+    got = {(r["user_id"], r["item_id"]): (r["rating_pred"], r["prediction_possible"]) for r in T.predict(model, pairs).collect()}
+    assert len(got) == 4 and got["u2", "i2"][1]
+    assert all(got[k] == (pytest.approx(4.0), False) for k in [("u1", None), (None, "i1"), (None, None)])
 
 
 def test_linear_als(random_ratings):
