@@ -15,7 +15,7 @@ def hybrid_list(
 
     ``recommended`` holds ``user_id, item_id, rank``; ``users`` (``user_id``) adds those without
     model items, who get popular items only. No item comes twice. A list can lose at most n places
-    to repeats, so the 2n most popular items fill it; they are one broadcast row.
+    to repeats, so the 2n most popular items fill it; only those 2n rows are broadcast.
     """
     n_model = int(n * alpha)
     popular = popular_items(ratings, 2 * n)
@@ -24,8 +24,9 @@ def hybrid_list(
     )
     everyone = recommended.select("user_id")
     everyone = (everyone if users is None else everyone.unionByName(users.select("user_id"))).distinct()
-    listed = popular.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("ids"))
-    filled = everyone.crossJoin(F.broadcast(listed)).select("user_id", F.posexplode("ids").alias("place", "item_id"))
+    listed = popular.select((F.col("rank") - 1).cast("int").alias("place"), F.col("item_id"))
+    places = everyone.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1))).alias("place"))
+    filled = places.join(F.broadcast(listed), "place")
     rows = model_rows.unionByName(filled.select("user_id", "item_id", F.lit(1).alias("source"), "place"))
     first = rows.groupBy("user_id", "item_id").agg(F.min(F.struct("source", "place")).alias("p"))
     order = Window.partitionBy("user_id").orderBy("p.source", "p.place", "item_id")
