@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,10 @@ def fit_bias(
     """
     if method not in ("sgd", "als"):
         raise ValueError("method must be 'sgd' or 'als'")
-    rows = as_ratings(ratings).persist()
+    rows = as_ratings(ratings)
+    own = rows.storageLevel == StorageLevel.NONE  # another fit may hold the same rows: leave them to it
+    if own:
+        rows.persist()
     try:
         mean, n_ratings = rows.agg(F.avg("rating"), F.count(F.lit(1))).first()
         targets = rows.select("user_id", "item_id", (F.col("rating") - F.lit(mean)).alias("t"))
@@ -92,7 +96,8 @@ def fit_bias(
             if epoch == 1:
                 sizes["item_id"] = n_items = items.count()
     finally:
-        rows.unpersist()
+        if own:
+            rows.unpersist()
     meta = {
         "global_mean": mean, "n_users": n_users, "n_items": n_items, "reg": reg, "method": method,
         "min_rating": min_rating, "max_rating": max_rating,
