@@ -65,11 +65,15 @@ def block(fingerprint: str, b: int, radius: int) -> Column:
 
 
 def index_items(benchmark: DataFrame, item_id: str = "item_id") -> DataFrame:
-    """``item_id, n_item, k, words, bag_size, fingerprint`` of the items that have words."""
+    """``item_id, n_item, k, words, bag, fingerprint`` of the items that have words."""
     words = benchmark.select(F.col(item_id).alias("item_id"), plain_words(F.col("text")).alias("words")).filter("size(words) > 0")
-    return words.select(
-        "item_id", F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"), "words", simhash("words").alias("fingerprint")
-    )
+    sized = words.select("item_id", F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"), "words")
+    return sized.withColumns({"bag": bag_of("words"), "fingerprint": simhash("words")})
+
+
+def bag_of(words: str) -> Column:
+    """Hashes of the shingles of ``k`` words, ``k`` being a column."""
+    return reduce(lambda out, k: F.when(F.col("k") == k, shingle_hashes(words, k)).otherwise(out), range(1, SHINGLE), shingle_hashes(words, SHINGLE))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,25 +105,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", sim
         "text_key", "w.start", "w.k", F.slice("all", F.col("w.start") + 1, F.col("w.size")).alias("words")
     )
     # one fingerprint per different run of words, wherever it stands
-    known = cut_lineage(cut.groupBy("text_key", "k", "words").agg(F.min("start").alias("start")).withColumn("fingerprint", simhash("words")))
+    runs = cut.select("text_key", "k", "words").distinct()
+    known = cut_lineage(runs.select("text_key", "k", bag_of("words").alias("bag"), simhash("words").alias("fingerprint")))
     return verify(known, items, similarity, radius)
 
 
 def verify(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Pairs within the radius, by blocks; then the exact weighted similarity."""
+    """Pairs within the radius, by blocks; then the exact weighted similarity.
+
+    Both tables bring their shingles in ``bag`` as written values: an expression there would be
+    inlined into the comparison and computed again for every shingle.
+    """
     blocks = range(radius + 1)
-    keys = lambda f: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(f, b, radius).alias("v")) for b in blocks])).alias("_lk")
-    right = items.select("item_id", F.col("k").alias("_lk_k"), F.col("words").alias("item_words"), F.col("fingerprint").alias("item_print"), keys("fingerprint"))
-    left = windows.select("text_key", "k", "words", "fingerprint", keys("fingerprint"))
-    right = right.select("item_id", "_lk_k", "item_words", "item_print", "_lk.*")
-    met = left.select("text_key", "k", "words", "fingerprint", "_lk.*").join(broadcast_if_small(right, items.count() * (radius + 1), 512), ["b", "v"])
+    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block("fingerprint", b, radius).alias("v")) for b in blocks])).alias("_lk")
+    left = windows.select("text_key", "k", "bag", "fingerprint", keys).select("text_key", "k", "bag", "fingerprint", "_lk.*")
+    right = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print"), keys)
+    right = right.select("item_id", "item_k", "item_bag", "item_print", "_lk.*")
+    met = left.join(broadcast_if_small(right, items.count() * (radius + 1), 512), ["b", "v"])
     first = reduce(lambda out, b: F.when(block("fingerprint", b, radius) == block("item_print", b, radius), F.lit(b)).otherwise(out), reversed(blocks), F.lit(-1))
-    near = met.filter((F.col("k") == F.col("_lk_k")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius) & (F.col("b") == first))
-    bag = lambda words: reduce(lambda out, k: F.when(F.col("k") == k, shingle_hashes(words, k)).otherwise(out), range(1, SHINGLE), shingle_hashes(words, SHINGLE))
-    bags = near.select("text_key", "item_id", bag("words").alias("x"), bag("item_words").alias("y"))
-    common = F.expr("aggregate(array_distinct(y), 0, (s, h) -> s + least(size(filter(x, e -> e = h)), size(filter(y, e -> e = h))))")
-    share = common / (F.size("x") + F.size("y") - common)
-    return bags.withColumn("similarity", share).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
+    apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
+    near = met.filter((F.col("k") == F.col("item_k")) & (apart <= radius) & (F.col("b") == first))
+    common = F.expr(
+        "aggregate(array_distinct(item_bag), 0, (s, h) -> s + least(size(filter(bag, e -> e = h)), size(filter(item_bag, e -> e = h))))"
+    )
+    share = common / (F.size("bag") + F.size("item_bag") - common)
+    return near.select("text_key", "item_id", share.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
         F.max("similarity").alias("similarity")
     )
 

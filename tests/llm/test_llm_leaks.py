@@ -86,13 +86,13 @@ def test_equals_all_windows(spark, data):
 
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng, radius = random.Random(2), leaks.RADIUS
-    words = [f"w{i}" for i in range(12)]
+    bag = list(range(12))
     base = rng.getrandbits(63)
     prints = [base] + [base ^ sum(1 << b for b in rng.sample(range(64), d)) for d in range(1, 20) for _ in range(6)]
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
-    items = spark.createDataFrame([(0, 12, 5, words, signed[0])], "item_id long, n_item int, k int, words array<string>, fingerprint long")
-    rows = [(bytes([i // 256, i % 256]), 5, words, p) for i, p in enumerate(signed)]
-    windows = spark.createDataFrame(rows, "text_key binary, k int, words array<string>, fingerprint long")
+    items = spark.createDataFrame([(0, 5, bag, signed[0])], "item_id long, k int, bag array<long>, fingerprint long")
+    rows = [(bytes([i // 256, i % 256]), 5, bag, p) for i, p in enumerate(signed)]
+    windows = spark.createDataFrame(rows, "text_key binary, k int, bag array<long>, fingerprint long")
     found = {int.from_bytes(r["text_key"], "big") for r in leaks.verify(windows, items, 0.8, radius).collect()}
     assert found == {i for i, p in enumerate(prints) if bin(p ^ base).count("1") <= radius}
 
