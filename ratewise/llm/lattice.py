@@ -292,7 +292,7 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, head: int = HEAD) ->
             at = np.fromiter((place.get(w, -1) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
             code = at[words.codes]
             here = code >= 0
-            sums = [np.bincount(words.row[here], value[k][code[here]], b.num_rows) for k in range(3)]
+            sums = [np.bincount(words.row[here], value[k][code[here]], b.num_rows).astype(float) for k in range(3)]
             row, word = words.row[~here], words.codes[~here]
             pair, times = np.unique(row * max(1, len(at)) + word, return_counts=True)
             ends = np.searchsorted(pair, np.arange(b.num_rows + 1) * max(1, len(at))).astype(np.int32)

@@ -126,17 +126,19 @@ def bits(rules: list[str]) -> int:
 def ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, the measurements, and ``fail_bits``; one row per input row."""
     names = renamed(keep, [*MEASURES, "fail_bits", "_text"])
-    chosen = docs.select(*(c.alias(n) for c, n in zip(columns(docs, keep), names)), F.col(text).alias("_text"))
+    inner = [f"_kept_{i}" for i in range(len(keep))]
+    chosen = docs.select(*(c.alias(n) for c, n in zip(columns(docs, keep), inner)), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = measure(texts(batch, "_text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[m]) for m in MEASURES)], names=[*names, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[m]) for m in MEASURES)], names=[*inner, *MEASURES])
 
     schema = StructType(chosen.schema.fields[:-1] + [StructField(m, LongType()) for m in MEASURES])
     measured = chosen.mapInArrow(run, schema)
     failed = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
-    return measured.withColumn("fail_bits", reduce(Column.bitwiseOR, failed))
+    kept = [F.col(i).alias(n) for i, n in zip(inner, names)]
+    return measured.select(*kept, *MEASURES, reduce(Column.bitwiseOR, failed).alias("fail_bits"))
 
 
 def passes(policy: str) -> Column:

@@ -107,18 +107,20 @@ KINDS = {pa.string(): StringType(), pa.int64(): LongType(), pa.binary(): BinaryT
 def derive(responses: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and one row per derived record, its serialised bytes in ``record``."""
     names = renamed(keep, [*FIELDS, *SOURCE])
-    chosen = responses.select(*(c.alias(n) for c, n in zip(columns(responses, keep), names)), *SOURCE)
+    inner = [f"_kept_{i}" for i in range(len(keep))]
+    chosen = responses.select(*(c.alias(n) for c, n in zip(columns(responses, keep), inner)), *SOURCE)
     schema = StructType(chosen.schema.fields[: len(keep)] + [StructField(n, KINDS[t]) for n, t in FIELDS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
             made = [derive_one(s) for s in batch.select(SOURCE).to_pylist()]
             row = pa.array([i for i, records in enumerate(made) for _ in records], pa.int64())
-            kept = [batch.column(n).take(row) for n in names]
+            kept = [batch.column(n).take(row) for n in inner]
             cols = [pa.array([r[n] for records in made for r in records], t) for n, t in FIELDS.items()]
-            yield pa.RecordBatch.from_arrays(kept + cols, names=[*names, *FIELDS])
+            yield pa.RecordBatch.from_arrays(kept + cols, names=[*inner, *FIELDS])
 
-    return chosen.mapInArrow(run, schema)
+    made = chosen.mapInArrow(run, schema)
+    return made.select(*(F.col(i).alias(n) for i, n in zip(inner, names)), *FIELDS)
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", date: Column | None = None) -> DataFrame:
