@@ -176,7 +176,8 @@ def test_questionnaire_batch(spark, items, index):
     meta = recipe_metadata(items)
     facts = {int(r["item_id"]): r for r in meta.collect()}
     texts = dict(items.collect())
-    got = answer_questionnaires(requests, index, meta, k=4, per_meal_k=2).collect()
+    strict = dict(strict_must_include=True, strict_high_protein=True, strict_low_calorie=True)
+    got = answer_questionnaires(requests, index, meta, k=4, per_meal_k=2, **strict).collect()
     first = [r for r in got if r["request_id"] == 1]
     assert 0 < len(first) <= 4 and sorted(r["rank"] for r in first) == list(range(1, len(first) + 1))
     for r in first:
@@ -187,6 +188,18 @@ def test_questionnaire_batch(spark, items, index):
     assert all(facts[r["item_id"]]["protein_score"] >= 2 for r in second)
     assert all(r["preview"].startswith("title: dish") and "\n" not in r["preview"] for r in got)
 
+    # by default only time and avoid terms filter; every switch changes what passes
+    def passed(**switches):
+        rows = answer_questionnaires(requests, index, meta, k=1000, per_meal_k=1000, candidate_k=1000, fill=True, **switches).collect()
+        return {(r["request_id"], r["item_id"]) for r in rows}
+
+    usual, everything = passed(), passed(strict_time=False, strict_exclude=False)
+    own = {i for r, i in usual if r == 1}
+    assert any("tofu" not in texts[i] for i in own) and not any("salmon" in texts[i] or "cheese" in texts[i] for i in own)
+    assert any(facts[i]["protein_score"] < 2 for r, i in usual if r == 2) and usual < everything
+    assert passed(strict_must_include=True) < usual and passed(strict_high_protein=True) < usual
+    assert any("cheese" in texts[i] for r, i in passed(expand_avoid=False) if r == 1)
+
     model, _ = rerank.train_reranker(rerank.training_samples(index, items, 20, 4))
     ranked = answer_questionnaires(requests, index, meta, reranker=model, k=4, per_meal_k=2).collect()
     assert {r["request_id"] for r in ranked} == {1, 2} and all(-0.3 <= r["score"] <= 1.0 for r in ranked)
