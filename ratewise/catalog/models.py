@@ -451,6 +451,25 @@ def _(spark, sf):
     return model.users().select("user_id", "bias", "factors")
 
 
+@query(
+    "m5_m8_fit_facts",
+    with_(RATINGS)
+    + "SELECT DISTINCT 'user' AS side, user_id AS id, true AS whole, true AS below_mean FROM ratings "
+    "UNION ALL SELECT DISTINCT 'item', item_id, true, true FROM ratings",
+)
+def _(spark, sf):
+    """What SQL can say about fits: every user and item has one finite row of the right width, and the fit beats the mean."""
+    rows = ratings(spark, sf)
+    spread_of_mean = rows.agg(F.stddev_pop("rating")).first()[0]
+    model = factors.fit_linear_als(rows, 8, 3)
+    error = F.pow(F.col("rating") - F.col("rating_pred"), 2)
+    rmse = T.predict(model, rows, bound=False).agg(F.sqrt(F.avg(error))).first()[0]
+    finite = F.forall(F.concat("factors", F.array("bias")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e6))
+    whole = ((F.size("factors") == 8) & finite).alias("whole")
+    facts = [p.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), whole) for side, p in (("user", model.users()), ("item", model.items()))]
+    return facts[0].unionByName(facts[1]).withColumn("below_mean", F.lit(rmse < spread_of_mean))
+
+
 @query("m8_training_rmse_factors")
 def _(spark, sf):
     return _trained(spark, sf, "linear").training_history()

@@ -18,7 +18,7 @@ from ..plans.evaluate import case_reports
 from ..plans.retrieve import answer_questionnaires, recommend_free_text
 from ..session import cut_lineage
 from .base import (
-    DOC_ITEMS, RATINGS, RECIPES, als_ctes, benchmark_queries, bucket_sql, doc_items, embeddings, query, r6, recipes,
+    DOC_ITEMS, ORACLES, RATINGS, RECIPES, als_ctes, benchmark_queries, bucket_sql, doc_items, embeddings, query, r6, recipes,
     scratch, shared, table, with_,
 )
 from .data import _META_CTES, _PHRASES
@@ -336,6 +336,21 @@ def _(spark, sf):
     return out.withColumns({"n_samples": F.lit(info["n_samples"]), "pos_rate": F.lit(info["pos_rate"])})
 
 
+@query(
+    "r4_training_facts",
+    f"SELECT count(*) AS n_samples, round(avg(label), 6) AS pos_rate, true AS separates FROM ({ORACLES['r2_hard_negatives']})",
+)
+def _(spark, sf):
+    """What SQL can say about training: the samples, their share of positives, and an AUC well above one half."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    samples = cut_lineage(rerank.training_samples(recipe_index(spark, sf), recipes(spark, sf), 80, 10))
+    model, info = rerank.train_reranker(samples)
+    scored = rerank.rerank_probability(model, samples).withColumn("label", F.col("label").cast("double"))
+    auc = BinaryClassificationEvaluator(rawPredictionCol="rerank_p").evaluate(scored)
+    return spark.createDataFrame([(info["n_samples"], round(info["pos_rate"], 6), auc > 0.55)], "n_samples long, pos_rate double, separates boolean")
+
+
 @query(
     "r5_rerank_blend",
     with_(
@@ -353,13 +368,38 @@ def _(spark, sf):
     return out.select("query_id", "item_id", r6("score"))
 
 
-@query("r6_diverse_selection")
+def _greedy_ctes(n: int, penalty: float) -> list[str]:
+    """``picked1..n``: the greedy choice, one step after the other."""
+    out = []
+    for k in range(1, n + 1):
+        worst, seen = "0", ""
+        if k > 1:
+            overlap = "len(list_intersect(c.ing, p.ing)) / greatest(1, len(list_distinct(list_concat(c.ing, p.ing))))"
+            worst = f"(SELECT max({overlap}) FROM picked{k - 1} p WHERE p.query_id = c.query_id)"
+            seen = f" ANTI JOIN picked{k - 1} USING (query_id, item_id)"
+        before = f"SELECT * FROM picked{k - 1} UNION ALL " if k > 1 else ""
+        out.append(f"cost{k} AS MATERIALIZED (SELECT *, round(sim - {penalty} * {worst}, 9) AS v FROM cand c{seen})")
+        out.append(
+            f"picked{k} AS MATERIALIZED ({before}SELECT query_id, item_id, pos, sim, ing, {k}::INTEGER AS rank FROM cost{k} "
+            "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, pos) = 1)"
+        )
+    return out
+
+
+@query(
+    "r6_diverse_selection",
+    with_(
+        *_PAIRS, "cand AS (SELECT query_id, f.item_id, rank AS pos, sim, ing FROM found f JOIN phrases p ON p.item_id = f.item_id)",
+        *_greedy_ctes(5, 0.25),
+    )
+    + "SELECT query_id AS session_id, 0::INTEGER AS meal_no, item_id, rank, round(sim, 6) AS score FROM picked5",
+)
 def _(spark, sf):
     rows = _pairs(spark, sf).select(
         F.col("query_id").alias("session_id"), F.lit(0).alias("meal_no"), F.col("rank").alias("position"), "item_id",
         F.col("sim").alias("score"), R.ingredient_phrases("text").alias("ingredients"),
     )
-    return select_diverse(rows, 5)
+    return select_diverse(rows, 5).withColumn("score", r6("score"))
 
 
 _GOALS = list(R.GOALS)
