@@ -136,7 +136,8 @@ def leaves(sets: DataFrame, similarity: float, depth: int, leaf: int) -> DataFra
     out = []
     members = None
     for level in range(1, depth + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # written before the join, so that a node which very many sets chose can be split there
+        sizes = cut_lineage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         met = cut_lineage(rows.join(sizes, "node").select("node", "size", "k") if level == 1 else rows.join(sizes, "node"))
         small, large = met.filter(F.col("size") <= leaf), met.filter(F.col("size") > leaf)
         attach = (lambda df: df.join(sets.select("k", "n", "sketch"), "k")) if level == 1 else (lambda df: df)
@@ -198,7 +199,7 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def sketch_pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, within places, that the sizes and the sketches let pass."""
+    """Pairs of rows, within places, that the sizes and the sketches let pass (of large places: as stars)."""
     place, side, n = (table[c].to_numpy() for c in ("place", "side", "n"))
     sketch = sketches(table["sketch"].combine_chunks())
     least = similarity - SLACK
@@ -214,12 +215,17 @@ def sketch_pairs(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.nda
     for s, m in zip(start[size > SMALL], size[size > SMALL]):
         order = s + np.argsort(n[s : s + m], kind="stable")
         own, sizes, sides = sketch[order], n[order], side[order]
+        own_pairs = []
         for i in range(m - 1):
             end = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-9, "right"))
             j = i + 1 + np.flatnonzero(meets(sizes[i], sizes[i + 1 : end], sides[i], sides[i + 1 : end], similarity))
             if len(j):
                 j = j[alike(own[i], own[j], least)]
-                out.append((np.full(len(j), order[i]), order[j]))
+                own_pairs.append((np.full(len(j), i), j))
+        if own_pairs:  # a large place may have a million pairs: only its stars are kept
+            label = leaders(m, *(np.concatenate([x[k] for x in own_pairs]) for k in (0, 1)))
+            at = np.flatnonzero(label != np.arange(m))
+            out.append((order[label[at]], order[at]))
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
