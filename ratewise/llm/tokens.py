@@ -26,7 +26,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,7 +42,9 @@ from .arrowtext import Words, mix, slices, texts
 BUCKET = 4096
 GAMMA = 2.0
 LEVELS = 48
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 3 << 18
+ENCODED_AT_ONCE = 1 << 14
+PLAIN = re.compile("[a-z]+").fullmatch
 READ_BYTES = 8 << 20
 LEDGER = "doc_id long, copy long, shard int, offset long, n_tokens long"
 
@@ -63,6 +65,26 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def stem_and_tail(word: str) -> tuple[str, str]:
+    """A word without its closing punctuation, and that; ASCII stems in lower case.
+
+    The tokenizer lowers all letters and never merges letters with punctuation, so both parts can
+    be encoded on their own and are shared by many words. Marks such as ``<|`` stay as written.
+    """
+    stem = word.rstrip(".,;:!?")
+    if not stem.isascii():
+        return (stem, word[len(stem):]) if stem[-1].isascii() and stem[-1].isalpha() else (word, "")
+    if not stem[-1:].isalpha() or "<|" in stem:
+        return word, ""
+    return stem.lower(), word[len(stem):]
+
+
+@cache
+def encoder(path: str, dtype: str) -> Encoder:
+    """One per process, so that tasks share the words it remembers."""
+    return Encoder(path, dtype)
+
+
 class Encoder:
     """Encodes slices of texts word by word.
 
@@ -72,30 +94,39 @@ class Encoder:
     """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = _tokenizer(path), dtype, {}
-
-    def words(self, vocabulary: list[str]) -> list[np.ndarray]:
-        fresh = [w for w in vocabulary if w not in self.known]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known, fresh = {}, vocabulary
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.dtype)) for w, e in zip(fresh, coded))
-        return [self.known[w] for w in vocabulary]
-
-    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end id, and the number of ids per text."""
+        self.tokenizer, self.dtype, self.known = _tokenizer(path), np.dtype(dtype), {"": b""}
+
+    def words(self, vocabulary: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        known = self.known
+        out = [known.get(w) for w in vocabulary]
+        new = {i: stem_and_tail(vocabulary[i]) for i, ids in enumerate(out) if ids is None}
+        fresh = list({p for pair in new.values() for p in pair if p not in known})
+        # lower-case ASCII letters are one piece for the tokenizer: its merges apply to them as they stand
+        plain, merge = [w for w in fresh if PLAIN(w)], self.tokenizer.model.tokenize
+        self._keep(plain, ([t.id for t in merge(w)] for w in plain))
+        rest = [w for w in fresh if not PLAIN(w)]
+        for low in range(0, len(rest), ENCODED_AT_ONCE):
+            part = rest[low : low + ENCODED_AT_ONCE]
+            self._keep(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        for i, (stem, tail) in new.items():
+            out[i] = known[stem] + known[tail] if tail else known[stem]
+        if len(known) > CACHED_WORDS:
+            self.known = {"": b""}
+        return out
+
+    def _keep(self, words: list[str], ids: Iterable[list[int]]) -> None:
+        self.known.update((w, np.array(x, self.dtype).tobytes()) for w, x in zip(words, ids))
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """All ids as bytes, each text's followed by the end id, and the number of ids per text."""
         words, n = Words(column), len(column)
-        pieces = [*self.words(words.vocabulary.to_pylist()), np.array([end_id], self.dtype)]
-        flat = np.concatenate(pieces)
-        length = np.array([len(p) for p in pieces], np.int64)
-        start = np.cumsum(length) - length
+        pieces = [*self.words(words.vocabulary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
         # the words of each text, then the end
         code = np.insert(words.codes, words.starts[1:], len(pieces) - 1)
-        size = length[code]
-        put = np.cumsum(size) - size
-        ids = flat[np.repeat(start[code] - put, size) + np.arange(size.sum())]
-        ends = np.flatnonzero(code == len(pieces) - 1)
-        total = (put + size)[ends]
+        ids = b"".join(map(pieces.__getitem__, code.tolist()))
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
+        total = np.cumsum(length[code])[code == len(pieces) - 1]
         return ids, np.diff(np.concatenate([[0], total])) if n else total
 
 
@@ -116,14 +147,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         fs, root = open_fs(folder)
-        encoder, out, offset, last = Encoder(tokenizer, dtype), None, 0, (None, -1)
+        coder, out, offset, last = encoder(tokenizer, dtype), None, 0, (None, -1)
         own = f"{root}/.{shard}-{uuid.uuid4().hex}"
         for batch in slices(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(own)
-            ids, counts = encoder.encode(texts(batch), end_id)
-            out.write(ids.astype(dtype).tobytes())
+            ids, counts = coder.encode(texts(batch), end_id)
+            out.write(ids)
             keys, copies = batch.column("doc_id").to_pylist(), []
             for key in keys:
                 last = (key, last[1] + 1 if key == last[0] and last[1] >= 0 else 0)

@@ -40,7 +40,7 @@ ODD = [(None, None), (None, "null id"), (5, ""), (5, "again"), (5, "again"), (90
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="aZé\u0301'sst <|>.1\u00a0\u2028\x1c\t\nß\u03a3", max_size=60)), min_size=1, max_size=4))
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="aZé\u0301'sst <|>.,!?;:1\u00a0\u2028\x1c\t\nß\u03a3", max_size=60)), min_size=1, max_size=4))
 def test_word_by_word_equals_whole_texts(texts):
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
     data, counts = tokens.Encoder(PATH, "<u2").encode(pa.array(texts, pa.large_string()), 1)
