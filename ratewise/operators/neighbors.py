@@ -24,7 +24,6 @@ from .ranking import stable, top_k
 #: Rows of one (context block, entity block) cell, and products expanded at a time in a task.
 CELL_ROWS = 400_000
 EXPAND = 4_000_000
-MAX_ENTITY_BLOCKS = 64
 #: Longest history that is looked up row by row; longer ones are scored tile by tile.
 HEAVY = 2_000
 TILE = 1_000
@@ -92,16 +91,18 @@ def common_products(ratings: DataFrame, axis: str = "item") -> DataFrame:
     The sparse rating matrix is cut into cells (context block x entity block). A task gets the
     cells of two entity blocks for one context block and sums the products before anything is
     shuffled; a rating is sent to one task per entity block instead of to every partner. A hot
-    entity is spread over the context blocks and a hot context over the entity blocks, so the
-    rows of a task are bounded by the cell size whatever the skew.
+    entity is spread over the context blocks and a hot context over the entity blocks, as many as
+    the longest context needs.
     """
     entity, context = _sides(axis)
     rows = ratings.filter(F.col("rating") != 0).select(
         F.col(context).alias("c"), F.col(entity).alias("e"), F.col("rating").cast("double").alias("r")
     )
-    n = rows.count()
+    n, longest = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n, longest = n or 0, longest or 0
     cells = max(1, -(-n // CELL_ROWS))
-    blocks = min(MAX_ENTITY_BLOCKS, max(4, int(np.ceil(np.sqrt(cells)))))
+    # a cell's share of the longest context has at most EXPAND products
+    blocks = max(4, int(np.ceil(np.sqrt(cells))), int(np.ceil(longest / np.sqrt(EXPAND))))
     context_blocks = max(1, -(-cells // blocks))
     rows = rows.withColumn("_own", hash_bucket("e", blocks, "e"))
     if blocks > 8:
