@@ -39,6 +39,22 @@ def as_ratings(df: DataFrame, string_ids: bool = False) -> DataFrame:
     return df.select(user, item, number_or_zero("rating").alias("rating"))
 
 
+def training_ratings(df: DataFrame) -> DataFrame:
+    """Ratings that a model may learn from: rows whose rating is NULL, NaN or no number are dropped.
+
+    ``invalid_ratings`` counts them.
+    """
+    require_columns(df, RATING_COLUMNS, "ratings")
+    value = F.nanvl(F.col("rating").try_cast("double"), F.lit(None).cast("double"))
+    return df.select("user_id", "item_id", value.alias("rating")).filter(F.col("rating").isNotNull())
+
+
+def invalid_ratings(df: DataFrame) -> DataFrame:
+    """``n``, ``n_invalid``: all rows, and those that ``training_ratings`` drops."""
+    value = F.nanvl(F.col("rating").try_cast("double"), F.lit(None).cast("double"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(value.isNull(), 1)).alias("n_invalid"))
+
+
 def as_items(df: DataFrame) -> DataFrame:
     require_columns(df, ITEM_COLUMNS, "items")
     return df.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

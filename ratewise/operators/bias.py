@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import as_ratings
+from ..contracts import training_ratings
 from ..session import broadcast_if_small, cut_lineage
 from .filters import known_only
 from .model import Model, attach_params
@@ -68,7 +68,7 @@ def fit_bias(
     """
     if method not in ("sgd", "als"):
         raise ValueError("method must be 'sgd' or 'als'")
-    rows = as_ratings(ratings)
+    rows = training_ratings(ratings)
     own = rows.storageLevel == StorageLevel.NONE  # another fit may hold the same rows: leave them to it
     if own:
         rows.persist()
@@ -127,7 +127,7 @@ def update_bias_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epoc
     update collapse into one closed form with exponent ``n_epochs * n``: a single aggregation.
     """
     reg = float(model.meta["reg"])
-    rows = known_only(as_ratings(ratings), model.items(), "item_id")
+    rows = known_only(training_ratings(ratings), model.items(), "item_id")
     fixed = broadcast_if_small(model.items().select("item_id", "bias"), model.meta["n_items"], 32)
     residual = F.col("rating") - F.lit(float(model.meta["global_mean"])) - F.col("bias")
     sums = rows.join(fixed, "item_id").groupBy("user_id").agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import as_ratings
+from ..contracts import training_ratings
 from ..functions.kernels import unit
 from ..functions.text import hash_order
 from ..session import broadcast_if_small
@@ -31,7 +31,7 @@ def user_profiles(ratings: DataFrame, features: DataFrame, min_rating: float = 0
     Only items with features count. Weights that do not sum to a positive number leave the
     plain weighted sums (zeros when all weights are zero).
     """
-    weighted = as_ratings(ratings).select("user_id", "item_id", (F.col("rating") - min_rating).alias("_w"))
+    weighted = training_ratings(ratings).select("user_id", "item_id", (F.col("rating") - min_rating).alias("_w"))
     described = weighted.join(features.select("item_id").distinct(), "item_id", "left_semi")
     totals = described.groupBy("user_id").agg(F.sum("_w").alias("_total"))
     sums = (
@@ -51,7 +51,7 @@ def fit_content(
     With features the score is the mean over the profile vector. Its sum needs only the row sums
     of the items, so the profile itself is not expanded. Without features it is the mean rating.
     """
-    rows = as_ratings(ratings)
+    rows = training_ratings(ratings)
     mean, n_users, n_items = rows.agg(F.avg("rating"), F.countDistinct("user_id"), F.countDistinct("item_id")).first()
     items = rows.select("item_id").distinct()
     if features is None:

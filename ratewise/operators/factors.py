@@ -22,7 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import as_ratings
+from ..contracts import training_ratings
 from ..functions.kernels import KERNELS, dot, kernel_score
 from ..functions.text import col, hash_bucket, hash_order
 from ..session import broadcast_if_small, cut_lineage
@@ -161,7 +161,7 @@ def fit_factors(
     """
     if kernel not in KERNELS:
         raise ValueError(f"kernel must be one of {KERNELS}")
-    rows = as_ratings(ratings)
+    rows = training_ratings(ratings)
     mean, n, n_users, n_items = rows.agg(
         F.avg("rating"), F.count(F.lit(1)), F.countDistinct("user_id"), F.countDistinct("item_id")
     ).first()
@@ -276,7 +276,7 @@ def update_factor_users(
     SGD, Zinkevich et al. 2010); it is another method, so only the caller chooses it.
     """
     meta = dict(model.meta, lr=lr)
-    rows = known_only(as_ratings(ratings), model.items(), "item_id")
+    rows = known_only(training_ratings(ratings), model.items(), "item_id")
     lengths = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     fixed = broadcast_if_small(
         model.items().select("item_id", "bias", "factors"), meta["n_items"], 32 + 8 * meta["n_factors"]
@@ -364,7 +364,7 @@ def fit_linear_als(ratings: DataFrame, n_factors: int = 20, n_epochs: int = 10,
         f"_{key}", F.col(f"_{key}").cast("int")
     )
     users, items = number(base.users(), "user_id"), number(base.items(), "item_id")
-    rest = predict_bias(base, as_ratings(ratings), bound=False)
+    rest = predict_bias(base, training_ratings(ratings), bound=False)
     rest = rest.join(users, "user_id").join(items, "item_id")
     rest = rest.select("_user_id", "_item_id", (F.col("rating") - F.col("rating_pred")).cast("float").alias("_rest"))
     fitted = ALS(

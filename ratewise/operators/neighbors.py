@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import as_ratings
+from ..contracts import training_ratings
 from ..functions.text import hash_bucket
 from ..session import broadcast_if_small, cut_lineage
 from .model import Model
@@ -157,7 +157,7 @@ def fit_neighbors(
     plan; ``cut_lineage`` it before scoring several batches with one model.
     """
     _sides(axis)
-    rows = cut_lineage(as_ratings(ratings))
+    rows = cut_lineage(training_ratings(ratings))
     mean, n_users, n_items = rows.agg(
         F.avg("rating"), F.countDistinct("user_id"), F.countDistinct("item_id")
     ).first()

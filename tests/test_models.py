@@ -293,3 +293,16 @@ def test_neighbour_lists_from_candidates(small_ratings, spark):
     candidates = spark.createDataFrame([("u2", "i1"), ("u2", "i2")], "user_id string, item_id string")
     got = T.recommend(model, small_ratings, small_ratings, 5, candidates=candidates).collect()
     assert [(r["user_id"], r["item_id"], r["rank"]) for r in got] == [("u2", "i2", 1)]
+
+
+@pytest.mark.parametrize("name", ["baseline", "item_cf", "kernel_mf"])
+def test_ratings_that_are_no_numbers_are_not_learned(spark, name):
+    from ratewise.contracts import invalid_ratings
+
+    good = [("u1", "i1", "5"), ("u1", "i2", "3"), ("u2", "i1", "4")]
+    clean, odd = (spark.createDataFrame(good + more, "user_id string, item_id string, rating string") for more in ([], [("u3", "i1", None), ("u2", "i2", "oops"), ("u2", "i9", "NaN")]))
+    fits = [T.fit_model(name, rows, False, **({} if name == "item_cf" else {"n_epochs": 2})) for rows in (clean, odd)]
+    pairs = clean.select("user_id", "item_id")
+    want, got = (sorted((r["user_id"], r["item_id"], round(r["rating_pred"], 9)) for r in T.predict(m, pairs).collect()) for m in fits)
+    assert want == got
+    assert tuple(invalid_ratings(odd).first()) == (6, 3)
