@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound for a hinted broadcast; override with ``spark.ratewise.broadcastBytes``.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+#: What Spark reads into one split by default.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def local_session(app: str = "ratewise", cores: int | str = 8, memory: str = "8g", **conf) -> SparkSession:
@@ -69,9 +71,14 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int = 64) -> Dat
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input of few splits; large inputs stay as read."""
+    """Use all cores for heavy per-row work on an input of few splits; large inputs stay as read.
+
+    Looks at the number of files and the estimated size only, so no job runs.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    large = size >= cores * SPLIT_BYTES or len(df.inputFiles()) >= cores
+    return df if large else df.repartition(cores)
 
 
 def ship(spark: SparkSession) -> str:
