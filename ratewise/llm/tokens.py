@@ -42,7 +42,7 @@ from .arrowtext import Words, mix, slices, texts
 BUCKET = 4096
 GAMMA = 2.0
 LEVELS = 48
-CACHED_WORDS = 3 << 18
+CACHED_WORDS = 1 << 19
 ENCODED_AT_ONCE = 1 << 14
 PLAIN = re.compile("[a-z]+").fullmatch
 READ_BYTES = 8 << 20
