@@ -336,7 +336,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rows = join(docs, **options).filter("class_key IS NOT NULL")
     copies = cut_lineage(rows.groupBy("class_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = copies.groupBy("class_key").agg(F.min(order).alias("m"))
+    first = cut_lineage(copies.groupBy("class_key").agg(F.min(order).alias("m")))  # so that the join can split a large class
     same = (F.col("doc_id") == F.col("m.doc_id")) | (F.col("doc_id").isNull() & F.col("m.doc_id").isNull())
     same = same & (F.col("text_key") == F.col("m.text_key"))
     placed = cut_lineage(copies.join(first, "class_key").select("doc_id", "text_key", "n", F.coalesce(same, F.lit(False)).alias("stays")))
