@@ -7,9 +7,9 @@ items': the 64 bits are cut into ``RADIUS + 1`` blocks, so fingerprints that dif
 the radius is verified: shingles of five words, weighted by how often they occur, and similarity
 sum(min) / sum(max) of the weights of at least ``SIMILARITY``.
 
-Windows that hold no shingle of the benchmark have similarity 0 with every item and are not built:
-texts are first matched, shingle by shingle, with the benchmark's. This loses nothing and leaves
-fingerprints to the windows around a shared shingle, aligned with it.
+Texts are first matched, shingle by shingle, with the benchmark's: of the windows of every item's size
+only those are built that hold as many shared shingles as ``SIMILARITY`` needs, at every offset that
+can be the best one. This loses nothing and leaves few fingerprints.
 
 The benchmark is the stated query set; its tables are broadcast only below a counted size. Nothing
 is gathered per item or passage, so one passage in very many documents costs its windows only.
@@ -76,19 +76,31 @@ def bag_of(words: str) -> Column:
     return reduce(lambda out, k: F.when(F.col("k") == k, shingle_hashes(words, k)).otherwise(out), range(1, SHINGLE), shingle_hashes(words, SHINGLE))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``text_key, start, size, k``: windows of the texts that share a shingle with some item."""
-    lengths = [r[0] for r in items.select("k").distinct().orderBy("k").collect()]  # at most five
+def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``text_key, start, size, k``: windows of the texts that share enough shingles with the items of some size.
+
+    ``hits`` are the positions of shingles that some item of ``n_item`` words has. Any window can move
+    right to its next hit, or to the end of the text, without losing one, so it starts at a hit or is
+    the last; of ``need`` common shingles the last one must lie inside it, too.
+    """
+    sizes = {}
+    for r in items.select("k", "n_item").distinct().orderBy("k", "n_item").collect():  # at most five k, one row per length
+        sizes.setdefault(r["k"], []).append(r["n_item"])
     texts = docs.select(text_key().alias("text_key"), plain_words(F.col("text")).alias("words"))
     found = []
-    for k in lengths:
-        of_k = items.filter(F.col("k") == k)
-        known = of_k.select("n_item", F.posexplode(shingle_hashes("words", k)).alias("at", "h")).distinct()
+    for k, lengths in sizes.items():
+        known = items.filter(F.col("k") == k).select("n_item", F.explode(shingle_hashes("words", k)).alias("h")).distinct()
         own = texts.select("text_key", F.size("words").alias("n"), F.posexplode(shingle_hashes("words", k)).alias("pos", "h"))
-        hits = own.join(broadcast_if_small(known, known.count()), "h")
-        size = F.least("n", "n_item")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - size))
-        found.append(hits.select("text_key", start.alias("start"), size.alias("size"), F.lit(k).alias("k")).distinct())
+        near = own.join(broadcast_if_small(known, known.count()), "h").groupBy("text_key", "n", "n_item").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        sized = near.withColumn("size", F.explode(F.array_distinct(F.transform(F.lit(lengths), lambda z: F.least(z, F.col("n"))))))
+        shingles = F.col("size") + F.col("n_item") - 2 * (k - 1)
+        sized = sized.withColumn("need", F.greatest(F.lit(1), F.ceil(shingles * (similarity / (1 + similarity)) - 1e-6).cast("int")))
+        enough = sized.filter((F.size("hits") >= F.col("need")) & (F.col("need") <= F.least("size", "n_item") - (k - 1)))
+        start = F.expr(
+            "array_distinct(transform(filter(transform(sequence(0, size(hits) - need), i -> struct(least(hits[i], n - size) as s, hits[i + need - 1] as e)), "
+            f"x -> x.e <= x.s + size - {k}), x -> x.s))"
+        )
+        found.append(enough.select("text_key", F.explode(start).alias("start"), "size", F.lit(k).alias("k")).distinct())
     if not found:
         empty = texts.select("text_key", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("k"))
         return empty.filter(F.lit(False))
@@ -98,7 +110,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``text_key, item_id, similarity``: the best window of each text for each item it leaks."""
     items = cut_lineage(index_items(benchmark, item_id))
-    places = cut_lineage(windows(docs, items))
+    places = cut_lineage(windows(docs, items, similarity))
     of_text = places.groupBy("text_key").agg(F.collect_list(F.struct("start", "size", "k")).alias("at"))
     texts = texts_of(docs, places.select("text_key").distinct(), places.count()).withColumn("all", plain_words(F.col("text")))
     cut = texts.join(of_text, "text_key").select("text_key", "all", F.explode("at").alias("w")).select(

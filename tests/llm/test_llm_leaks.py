@@ -112,3 +112,17 @@ def test_empty_tables(spark, data):
     assert leaks.flag(table, leaks.matches(table, none_items), ["doc_id"]).filter("contaminated").count() == 0
     assert leaks.flag(none_docs, leaks.matches(none_docs, bench), ["doc_id"]).count() == 0
     assert leaks.remove(table, leaks.matches(table, none_items)).count() == len(docs)
+
+
+def test_windows_between_the_aligned_ones(spark):
+    """An insertion in the middle and changes at both ends: the best window starts at no aligned place."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for i, (n, ends, more) in enumerate([(60, 1, 2), (90, 2, 4)]):
+        words = [f"w{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(words)))
+        new = [f"n{i}x{j}" for j in range(ends)] + words[ends : n // 2] + [f"m{i}x{j}" for j in range(more)] + words[n // 2 : n - ends] + [f"o{i}x{j}" for j in range(ends)]
+        docs.append((i, f"{text_of(rng, 40)} {' '.join(new)} {text_of(rng, 40)}"))
+    found = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=20)
+    rows = {r["item_id"]: round(r["similarity"], 6) for r in found.collect()}
+    assert rows == {i: s for i, (_, text) in enumerate(docs) for i2, s in brute(text, items).items() if i2 == i} and len(rows) == 2
