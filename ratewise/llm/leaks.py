@@ -3,9 +3,11 @@
 Words are runs of letters and digits, lower-cased. A window is as many words as a benchmark item
 has, at any word offset of a text. Its 64-bit SimHash (over its words) is looked up among the
 items': the 64 bits are cut into ``RADIUS + 1`` blocks, so fingerprints that differ in at most
-``RADIUS`` bits agree on a whole block, and every pair within the radius is found. What is within
-the radius is verified: shingles of five words, weighted by how often they occur, and similarity
-sum(min) / sum(max) of the weights of at least ``SIMILARITY``.
+``RADIUS`` bits agree on a whole block, and every pair within the radius is found. Similar pairs can
+be farther apart; those are looked up by the first of the item's shingles, in order of their hashes, of
+which a similar window holds at least one. All pairs found are verified: shingles of five words,
+weighted by how often they occur, and similarity sum(min) / sum(max) of the weights of at least
+``SIMILARITY``.
 
 Texts are first matched, shingle by shingle, with the benchmark's: of the windows of every item's size
 only those are built that hold as many shared shingles as ``SIMILARITY`` needs, at every offset that
@@ -119,7 +121,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", sim
     # one fingerprint per different run of words, wherever it stands
     runs = cut.select("text_key", "k", "words").distinct()
     known = cut_lineage(runs.select("text_key", "k", bag_of("words").alias("bag"), simhash("words").alias("fingerprint")))
-    return verify(known, items, similarity, radius)
+    near, far = verify(known, items, similarity, radius), verify_far(known, items, similarity, radius)
+    return near.unionByName(far).groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def verify(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
@@ -137,11 +140,32 @@ def verify(windows: DataFrame, items: DataFrame, similarity: float, radius: int)
     first = reduce(lambda out, b: F.when(block("fingerprint", b, radius) == block("item_print", b, radius), F.lit(b)).otherwise(out), reversed(blocks), F.lit(-1))
     apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
     near = met.filter((F.col("k") == F.col("item_k")) & (apart <= radius) & (F.col("b") == first))
+    return compared(near, similarity)
+
+
+def verify_far(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """The same for pairs farther apart than the radius, by shingles.
+
+    A similar window lacks at most ``size - ceil(similarity * size)`` of the item's shingles, so of any
+    one more than that it holds one.
+    """
+    lead = F.expr(f"array_distinct(slice(array_sort(bag), 1, cast(size(bag) - ceil({similarity} * size(bag) - 1e-6) + 1 as int)))")
+    right = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print"), lead.alias("lead"))
+    rows = items.agg(F.sum(F.size("bag"))).first()[0] or 0
+    left = windows.select("text_key", "k", "bag", "fingerprint", F.explode(F.array_distinct("bag")).alias("h"))
+    met = left.join(broadcast_if_small(right.withColumn("h", F.explode("lead")), rows, 512), "h")
+    apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
+    far = met.filter((F.col("k") == F.col("item_k")) & (apart > radius)).filter(F.get(F.array_intersect("lead", "bag"), F.lit(0)) == F.col("h"))
+    return compared(far, similarity)
+
+
+def compared(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``text_key, item_id, similarity`` of the pairs that are similar enough."""
     common = F.expr(
         "aggregate(array_distinct(item_bag), 0, (s, h) -> s + least(size(filter(bag, e -> e = h)), size(filter(item_bag, e -> e = h))))"
     )
     share = common / (F.size("bag") + F.size("item_bag") - common)
-    return near.select("text_key", "item_id", share.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
+    return pairs.select("text_key", "item_id", share.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
         F.max("similarity").alias("similarity")
     )
 

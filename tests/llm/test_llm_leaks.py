@@ -123,6 +123,21 @@ def test_windows_between_the_aligned_ones(spark):
         items.append((i, " ".join(words)))
         new = [f"n{i}x{j}" for j in range(ends)] + words[ends : n // 2] + [f"m{i}x{j}" for j in range(more)] + words[n // 2 : n - ends] + [f"o{i}x{j}" for j in range(ends)]
         docs.append((i, f"{text_of(rng, 40)} {' '.join(new)} {text_of(rng, 40)}"))
-    found = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=20)
+    found = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     rows = {r["item_id"]: round(r["similarity"], 6) for r in found.collect()}
     assert rows == {i: s for i, (_, text) in enumerate(docs) for i2, s in brute(text, items).items() if i2 == i} and len(rows) == 2
+
+
+def test_similar_items_whose_fingerprints_are_far_apart(spark):
+    """Changes as large as the threshold allows: all are found, though many are beyond the radius."""
+    items, docs = [], []
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(50)]
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join(words[: 50 - 5] + [f"c{i}x{j}" for j in range(5)])) if i % 2 else (i, " ".join(words[:42])))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    prints = [leaks.index_items(t.withColumnRenamed("doc_id", "item_id")).select("item_id", "fingerprint") for t in (table, bench)]
+    apart = prints[0].join(prints[1].withColumnRenamed("fingerprint", "other"), "item_id").select(F.expr("bit_count(fingerprint ^ other)").alias("d"))
+    assert apart.filter(F.col("d") > leaks.RADIUS).count() > 0
+    found = {r["item_id"]: round(r["similarity"], 6) for r in leaks.matches(table, bench).collect()}
+    assert found == {i: brute(text, [items[i]])[i] for i, text in docs}
