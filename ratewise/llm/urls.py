@@ -1,9 +1,9 @@
 """URL filter: fixed rules first, then gradient-boosted trees on lexical features.
 
-The trees are fitted on labelled URLs (a hash sample of at most about ``sample`` of them, the one
-bound here) and then written as a column expression, so judging a table of any size is a scan
-without a shuffle. Suffix statistics are taken from one half of the sample and the trees from the
-other, so that a suffix does not vouch for itself.
+The trees are fitted on labelled URLs (a hash sample of about ``sample`` of them, the one bound here)
+and then written as a column expression. Suffix statistics count all labelled rows; a training row
+gets those without its own fold of the URLs, so that a suffix does not vouch for itself. Few suffixes
+are broadcast, so judging a table is a scan; many are joined by shuffle.
 
 Cases: a null URL, or one without ``://``, has empty host and path, follows no rule and is judged by
 the trees on the features of an empty URL; repeated URLs are judged alike; without labelled URLs of
@@ -21,10 +21,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from .names import columns, renamed
 
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
+FOLDS = 8
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "params",
     "query_length", "entropy", "suffix_seen", "suffix_blocked",
@@ -96,16 +98,22 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
 
 @dataclass
 class Model:
-    """Suffix statistics (at most ``SAMPLE`` rows of three numbers) and trees as an expression."""
+    """Trees as an expression, and suffix statistics.
+
+    ``suffixes`` has those of the training rows, without their fold; ``counts`` those of all labelled
+    rows, by which URLs are judged.
+    """
 
     suffixes: DataFrame
     prior: float
     trees: list
     weights: list
+    counts: DataFrame | None = None
 
-    def with_suffix(self, rows: DataFrame) -> DataFrame:
+    def with_suffix(self, rows: DataFrame, stats: DataFrame | None = None, on: tuple[str, ...] = ("suffix_key",)) -> DataFrame:
+        stats = self.counts if stats is None else stats
         seen, blocked = F.coalesce("_seen", F.lit(0)), F.coalesce("_blocked", F.lit(0))
-        return rows.join(F.broadcast(self.suffixes), "suffix_key", "left").withColumns({
+        return rows.join(broadcast_if_small(stats, stats.count(), 32), list(on), "left").withColumns({
             "suffix_seen": F.log1p(seen), "suffix_blocked": (blocked + 5 * self.prior) / (seen + 5)
         }).drop("_seen", "_blocked")
 
@@ -126,21 +134,22 @@ def as_column(node) -> Column:
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Fit on labelled URLs (``label``: boolean); more than ``sample`` of them are sampled by hash."""
-    count, bad = labelled.agg(F.count(label), F.sum(F.col(label).cast("long"))).first()
-    prior = (bad or 0) / count if count else 0.0
-    slots = 1 << 20
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(url)), F.lit(slots))
-    some = labelled.filter(F.col(label).isNotNull() & (place < int(slots * min(1.0, sample / max(count, 1)))))
-    half = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(url)), F.lit(2))
-    rows = lexical(some.select(url, label, half.alias("_half")), url)
-    suffixes = rows.filter("_half = 0").groupBy("suffix_key").agg(
-        F.count(F.lit(1)).alias("_seen"), F.sum(F.col(label).cast("long")).alias("_blocked")
-    )
-    suffixes = suffixes.sparkSession.createDataFrame(suffixes.collect(), suffixes.schema)
-    model = Model(suffixes, prior, [], [])
+    """Fit on labelled URLs (``label``: boolean); the trees on a hash sample of about ``sample``."""
+    known = labelled.filter(F.col(label).isNotNull()).select(url, F.col(label).alias(label))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(url)), F.lit(FOLDS)).alias("_fold")
+    each = known.select(F.xxhash64(suffix_of(host_of(F.col(url)))).alias("suffix_key"), fold, F.col(label).cast("long").alias("_bad"))
+    by_fold = cut_lineage(each.groupBy("suffix_key", "_fold").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bad").alias("_b")))
+    counts = cut_lineage(by_fold.groupBy("suffix_key").agg(F.sum("_n").alias("_seen"), F.sum("_b").alias("_blocked")))
+    count, bad = counts.agg(F.sum("_seen"), F.sum("_blocked")).first()
+    prior = bad / count if count else 0.0
+    rows = cut_lineage(lexical(training(known, url, label, sample, seed).withColumn("_fold", fold), url))
+    keys = rows.select("suffix_key", "_fold").distinct()
+    less = by_fold.join(F.broadcast(keys), ["suffix_key", "_fold"], "left_semi")
+    some = keys.join(less, ["suffix_key", "_fold"]).join(counts, "suffix_key")
+    suffixes = cut_lineage(some.select("suffix_key", "_fold", (F.col("_seen") - F.col("_n")).alias("_seen"), (F.col("_blocked") - F.col("_b")).alias("_blocked")))
+    model = Model(suffixes, prior, [], [], counts)
     if 0 < prior < 1:
-        train = model.with_suffix(rows.filter("_half = 1")).select(*FEATURES, F.col(label).cast("double").alias("label"))
+        train = model.with_suffix(rows, suffixes, ("suffix_key", "_fold")).select(*FEATURES, F.col(label).cast("double").alias("label"))
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("features", "label")
         if vectors.select("label").distinct().count() == 2:
             fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, cacheNodeIds=False).fit(vectors)
@@ -148,6 +157,13 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: i
     return model
 
 
+def training(known: DataFrame, url: str, label: str, sample: int, seed: int) -> DataFrame:
+    """A hash sample of about ``sample`` labelled rows."""
+    slots = 1 << 20
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(url)), F.lit(slots))
+    return known.filter(place < int(slots * min(1.0, sample / max(known.count(), 1))))
+
+
 def judge(pages: DataFrame, model: Model, rules: list[Rule], keep: list[str], url: str = "url") -> DataFrame:
     """``keep`` columns with ``host, path, rule, verdict``."""
     names = renamed(keep, ["host", "path", "rule", "verdict"])

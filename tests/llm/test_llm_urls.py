@@ -88,3 +88,16 @@ def test_sample_bound_and_one_kind(spark):
     none = urls.fit(df.limit(0))
     assert urls.judge(df.limit(3), none, [], []).select("verdict").distinct().first()["verdict"] == "allow"
     assert urls.judge(df.limit(0), none, urls.RULES, ["url"]).count() == 0
+
+
+def test_suffixes_count_all_labelled_rows(spark):
+    rows = [(f"http://h{i}.s{i % 700}.com/{i}", i % 3 == 0) for i in range(2800)] + [("http://a.s1.com/x", True)] * 5 + [("http://b.s2.com", None)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, blocked boolean"), sample=100)
+    want = {}
+    for url, bad in rows:
+        if bad is not None:
+            n, b = want.get(url.split("/")[2].split(".", 1)[1], (0, 0))
+            want[url.split("/")[2].split(".", 1)[1]] = (n + 1, b + bad)
+    keys = spark.createDataFrame([(s,) for s in want], "s string").withColumn("suffix_key", F.xxhash64("s"))
+    got = {r["s"]: (r["_seen"], r["_blocked"]) for r in keys.join(model.counts, "suffix_key").collect()}
+    assert got == want and model.counts.count() == len(want)
