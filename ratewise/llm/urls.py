@@ -1,6 +1,6 @@
 """URL filter: fixed rules first, then gradient-boosted trees on lexical features.
 
-The trees are fitted on labelled URLs (a hash sample of about ``sample`` of them, the one bound here)
+The trees are fitted on different labelled URLs (the ``sample`` smallest hashes, the one bound here)
 and then written as a column expression. Suffix statistics count all labelled rows; a training row
 gets those without its own fold of the URLs, so that a suffix does not vouch for itself. Few suffixes
 are broadcast, so judging a table is a scan; many are joined by shuffle.
@@ -134,7 +134,7 @@ def as_column(node) -> Column:
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Fit on labelled URLs (``label``: boolean); the trees on a hash sample of about ``sample``."""
+    """Fit on labelled URLs (``label``: boolean); the trees on the ``sample`` different ones of smallest hash."""
     known = labelled.filter(F.col(label).isNotNull()).select(url, F.col(label).alias(label))
     fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(url)), F.lit(FOLDS)).alias("_fold")
     each = known.select(F.xxhash64(suffix_of(host_of(F.col(url)))).alias("suffix_key"), fold, F.col(label).cast("long").alias("_bad"))
@@ -158,10 +158,16 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: i
 
 
 def training(known: DataFrame, url: str, label: str, sample: int, seed: int) -> DataFrame:
-    """A hash sample of about ``sample`` labelled rows."""
-    slots = 1 << 20
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(url)), F.lit(slots))
-    return known.filter(place < int(slots * min(1.0, sample / max(known.count(), 1))))
+    """The ``sample`` different labelled URLs of smallest hash; one with both labels is a row of each.
+
+    Hashes above a share that leaves too many are dropped before the sort, which then is small."""
+    different = known.distinct()
+    total, hashed = different.count(), F.xxhash64(F.lit(seed), F.col(url))
+    if total <= sample:
+        return different
+    share = min(1.0, (sample + 10 * sample**0.5) / total)
+    few = different.filter(F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * share))
+    return few.orderBy(F.pmod(hashed, F.lit(1 << 40)), url, label).limit(sample)
 
 
 def judge(pages: DataFrame, model: Model, rules: list[Rule], keep: list[str], url: str = "url") -> DataFrame:

@@ -101,3 +101,13 @@ def test_suffixes_count_all_labelled_rows(spark):
     keys = spark.createDataFrame([(s,) for s in want], "s string").withColumn("suffix_key", F.xxhash64("s"))
     got = {r["s"]: (r["_seen"], r["_blocked"]) for r in keys.join(model.counts, "suffix_key").collect()}
     assert got == want and model.counts.count() == len(want)
+
+
+def test_copies_do_not_empty_or_overfill_the_sample(spark):
+    pairs = [(f"http://h{i}.com/{i}", i % 2 == 0) for i in range(40)]
+    many = spark.createDataFrame(pairs * 100, "url string, blocked boolean")
+    rows = urls.training(many, "url", "blocked", 100, 7).collect()
+    assert sorted((r["url"], r["blocked"]) for r in rows) == sorted(pairs)
+    assert urls.fit(many, sample=100).trees
+    hot = spark.createDataFrame(pairs + [pairs[0]] * 500, "url string, blocked boolean")
+    assert urls.training(hot, "url", "blocked", 30, 7).count() == 30
