@@ -127,7 +127,7 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_warc_derivatives")
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(table(spark, sf_dir, "pages")), ["page_id"])
-    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+    return made.withColumn("record_sha256", F.sha2("record", 256))
 
 
 @query("op3_token_shards")

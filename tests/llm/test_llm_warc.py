@@ -90,3 +90,16 @@ def test_text_of_small_pages():
 def test_any_page_gives_clean_lines(page):
     text = warc.plain_text(page)
     assert text == text.strip(" \n") and "\n\n" not in text and not re.search("[ \t]{2}", text)
+
+
+def test_query_returns_the_records(spark):
+    import hashlib
+
+    from ratewise.llm.queries import op1_warc_derivatives
+
+    rows = op1_warc_derivatives(spark, "/root/testdata/sf0.001").limit(20).collect()
+    assert rows
+    for r in rows:
+        assert hashlib.sha256(r["record"]).hexdigest() == r["record_sha256"]
+        block = bytes(r["record"]).split(b"\r\n\r\n", 1)[1][: r["content_length"]]
+        assert "sha256:" + hashlib.sha256(block).hexdigest() == r["block_digest"]
