@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import chat, lattice, leaks, mixing, nearjoin, quality, shards, tokens, urls, warc
+from . import chat, codebooks, lattice, leaks, mixing, nearjoin, prefixhash, quality, shards, tokens, urls, warc, whitening
 from .registry import query, table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -180,3 +180,48 @@ def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _codes_sql() -> str:
+    """All rounds spelt out."""
+    parts, entries, step = codebooks.PARTS, codebooks.ENTRIES, "w"
+    ctes = [
+        f"""v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, * FROM (SELECT vec_id, label,
+    list_transform(embedding, lambda c: floor({codebooks.SCALE} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0))""",
+        f"shape AS (SELECT len(x) // {parts} AS {step} FROM v WHERE r = 1)",
+        f"""c AS MATERIALIZED (SELECT r, (i - 1) // {step} AS part, (i - 1) % {step} AS pos, x[i] AS x
+    FROM (SELECT r, x, unnest(range(1, len(x) + 1)) AS i FROM v), shape)""",
+        f"book0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS e FROM c WHERE r <= {entries})",
+    ]
+    for turn in range(codebooks.ROUNDS + 1):
+        ctes.append(f"""near{turn} AS MATERIALIZED (SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM
+    (SELECT r, part, entry, sum((x - e) * (x - e))::BIGINT AS d FROM c JOIN book{turn} USING (part, pos) GROUP BY ALL) GROUP BY ALL)""")
+        if turn < codebooks.ROUNDS:
+            ctes.append(f"""book{turn + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, e)::BIGINT AS e FROM book{turn} LEFT JOIN
+    (SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM c JOIN near{turn} USING (r, part) GROUP BY ALL) USING (part, entry, pos))""")
+    last = codebooks.ROUNDS
+    ctes.append(f"""coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near{last} JOIN v USING (r) GROUP BY r, vec_id, label)""")
+    ctes.append(f"digest AS (SELECT sha256(string_agg(e::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{last})")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"
+
+
+@query("op11_bounded_codes", _codes_sql())
+def op11_bounded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.encode(table(spark, sf_dir, "embeddings"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    return codebooks.label_errors(found.rows).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256")
+    )
+
+
+@query("op12_shifted_whitening")
+def op12_shifted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_prefix_fingerprints")
+def op13_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.with_next(table(spark, sf_dir, "documents"))
