@@ -30,15 +30,13 @@ import base64
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .arrowtext import mix, slices, texts
 from .names import quoted
 
@@ -75,12 +73,11 @@ def _far(which: int, block: int, sign: int) -> int:
 def unshift(which: int, at: np.ndarray) -> np.ndarray:
     """B ** -at."""
     at = np.asarray(at, np.int64)
-    low = _powers(which)[1][at % SEGMENT]
-    blocks = at // SEGMENT
-    if not blocks.any():
+    low, last = _powers(which)[1][at % SEGMENT], int(at.max(initial=0)) // SEGMENT
+    if not last:
         return low
-    kinds, place = np.unique(blocks, return_inverse=True)
-    return low * np.array([_far(which, int(b), -1) for b in kinds], np.uint64)[place] % np.uint64(PRIMES[which])
+    far = np.array([_far(which, b, -1) for b in range(last + 1)], np.uint64)
+    return low * far[at // SEGMENT] % np.uint64(PRIMES[which])
 
 
 def prefixes(points: np.ndarray, which: int) -> np.ndarray:
@@ -160,9 +157,9 @@ def level_of(n: np.ndarray) -> np.ndarray:
 
 
 def kept_marks(at: np.ndarray, zeros: np.ndarray, level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and level of the marks inside a text: candidates, thinned by distance if there are very many, and the grid."""
-    inside = at < n
-    at, zeros = at[inside], zeros[inside]
+    """Places and levels of a text's marks: the candidates, thinned by distance if there are very many, the grid, and the end."""
+    inside = int(np.searchsorted(at, n))
+    at, zeros = at[:inside], zeros[:inside]
     if len(at) > 4 * LANDMARKS:
         least, picked, k = max(1, (1 << level) // 4), [], 0
         while k < len(at):
@@ -170,7 +167,9 @@ def kept_marks(at: np.ndarray, zeros: np.ndarray, level: int, n: int) -> tuple[n
             k = int(np.searchsorted(at, at[k] + least))
         at, zeros = at[picked], zeros[picked]
     grid = np.arange(2 << level, n, 2 << level) if level else at
-    return np.concatenate([at, grid]), np.concatenate([zeros, np.full(len(grid), GRID)])
+    kinds = np.zeros(len(at) + len(grid) + 1, np.uint8)
+    kinds[: len(at)], kinds[len(at) : -1] = zeros, GRID
+    return np.concatenate([at, grid, [n]]), kinds
 
 
 def landmarks(points: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -178,36 +177,33 @@ def landmarks(points: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     prefix = [prefixes(points, w) for w in range(2)]
     n = np.diff(starts)
     level = level_of(n)
-    candidates, bits = [], []
-    row_of_mask = (np.int64(1) << level) - 1
+    places, bits = [], []
+    mask = ((np.int64(1) << level) - 1).astype(np.uint64)
     for low in range(0, len(points), 1 << 20):  # ends of windows
         end = np.arange(low + 1, min(low + (1 << 20), len(points)) + 1)
-        row = np.searchsorted(starts, end - 1, "right") - 1
-        h = mix(span_hash(prefix[0], 0, np.maximum(end - WINDOW, starts[row]), end))
-        hit = (h & row_of_mask[row].astype(np.uint64)) == 0
-        candidates.append(end[hit])
+        # the texts of this run, and how many of its places each has
+        first, last = np.searchsorted(starts, [end[0] - 1, end[-1] - 1], "right") - 1
+        some = slice(first, last + 1)
+        share = np.minimum(starts[first + 1 : last + 2], end[-1]) - np.maximum(starts[some], low)
+        h = mix(span_hash(prefix[0], 0, np.maximum(end - WINDOW, np.repeat(starts[some], share)), end))
+        hit = np.flatnonzero((h & np.repeat(mask[some], share)) == 0)
+        places.append(end[hit])
         bits.append(h[hit])
-    at = np.concatenate([np.zeros(0, np.int64), *candidates])
+    at = np.concatenate([np.zeros(0, np.int64), *places])
     bits = np.concatenate([np.zeros(0, np.uint64), *bits])
-    zeros = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))
+    zeros = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.uint8)
     cut = np.searchsorted(at, starts, "right")
-    out = []
+    kept = []
     for i in range(len(n)):
         mine = slice(cut[i], cut[i + 1])
-        kept, bits_of = kept_marks(at[mine] - starts[i], zeros[mine], int(level[i]), int(n[i]))
-        marks = np.zeros(len(kept) + 1, MARK)
-        marks["at"][:-1], marks["at"][-1] = kept, n[i]
-        marks["level"][:-1] = bits_of
-        for w, field in enumerate(("h0", "h1")):
-            marks[field] = span_hash_between(prefix[w], w, starts[i], starts[i] + marks["at"].astype(np.int64))
-        out.append(marks)
-    return out
-
-
-def span_hash_between(prefix: np.ndarray, which: int, start: int, ends: np.ndarray) -> np.ndarray:
-    """Prefix hashes of the text that begins at ``start``."""
-    p = np.uint64(PRIMES[which])
-    return (prefix[ends].astype(np.uint64) + p - prefix[start]) % p * unshift(which, np.array([start]))[0] % p
+        kept.append(kept_marks(at[mine] - starts[i], zeros[mine], int(level[i]), int(n[i])))
+    sizes = np.array([len(k) for k, _ in kept])
+    marks = np.zeros(int(sizes.sum()), MARK)
+    marks["at"], marks["level"] = (np.concatenate([k[j] for k in kept]) for j in range(2))
+    begin = np.repeat(starts[:-1], sizes)
+    for w, field in enumerate(("h0", "h1")):  # prefix hashes of each text from its own start
+        marks[field] = span_hash(prefix[w], w, begin, begin + marks["at"])
+    return np.split(marks, np.cumsum(sizes)[:-1])
 
 
 def fingerprints_of(strings: list[str]) -> list[str]:
@@ -218,22 +214,23 @@ def fingerprints_of(strings: list[str]) -> list[str]:
 
 
 class Print:
-    """A fingerprint read back: prefix hashes at 0 and at the landmarks of at least a level."""
-
-    def __init__(self, text: str):
-        self.marks = np.frombuffer(base64.b64decode(text), MARK)
-        self.n = int(self.marks["at"][-1])
-        self.level = int(level_of(np.array([self.n]))[0])
-
-    def at_level(self, level: int) -> None:
-        marks, end = self.marks[:-1], self.marks[-1:]
-        grid = marks[marks["level"] == GRID]
-        self.grid = grid[grid["at"] % (2 << level) == 0].tolist()
-        marks = np.concatenate([marks[(marks["level"] >= level) & (marks["level"] != GRID)], end])
-        self.at = [0, *marks["at"].tolist()]
-        self.prefix = [[0, *marks[f].tolist()] for f in ("h0", "h1")]
-        self.back = [unshift(w, np.array(self.at)).tolist() for w in range(2)]
-        self.spans = [self.span(k, k + 1) for k in range(len(self.at) - 1)]
+    """A fingerprint read back at a level: its grid, and prefix hashes at 0 and at the landmarks."""
+
+    def __init__(self, marks: np.ndarray, level: int):
+        grid = marks["level"] == GRID
+        self.n, self.grid = int(marks["at"][-1]), marks[grid & (marks["at"] % (2 << level) == 0)].tolist()
+        chosen = (marks["level"] >= level) & ~grid
+        chosen[-1] = True
+        some = np.zeros(int(chosen.sum()) + 1, MARK)
+        some[1:] = marks[chosen]
+        at = some["at"].astype(np.int64)
+        self.at, self.prefix, self.back, hashes = at.tolist(), [], [], [np.diff(at).tolist()]
+        for w, field in enumerate(("h0", "h1")):
+            p, h, back = np.uint64(PRIMES[w]), some[field].astype(np.uint64), unshift(w, at)
+            hashes.append(((h[1:] + p - h[:-1]) % p * back[:-1] % p).tolist())
+            self.prefix.append(h.tolist())
+            self.back.append(back.tolist())
+        self.spans = list(zip(*hashes))
 
     def span(self, i: int, j: int) -> tuple[int, int, int]:
         """Length and hashes of the text between two landmarks."""
@@ -241,16 +238,25 @@ class Print:
         return self.at[j] - self.at[i], h[0], h[1]
 
 
+@lru_cache(16)
+def _marks(text: str) -> tuple[np.ndarray, int]:
+    marks = np.frombuffer(base64.b64decode(text), MARK)
+    return marks, int(level_of(marks["at"][-1:].astype(np.int64))[0])
+
+
+@lru_cache(16)
+def _print(text: str, level: int) -> Print:
+    return Print(_marks(text)[0], level)
+
+
 def likeness(a: str, b: str) -> float:
     """Share of code points in common spans of two fingerprints, from 0 to 1."""
     if a == b:
         return 1.0
-    x, y = Print(a), Print(b)
+    level = max(_marks(a)[1], _marks(b)[1])
+    x, y = _print(a, level), _print(b, level)
     if not x.n or not y.n:
         return 0.0
-    level = max(x.level, y.level)
-    x.at_level(level)
-    y.at_level(level)
     places = defaultdict(list)
     for k in reversed(range(len(y.spans))):
         places[y.spans[k]].append(k)
@@ -317,17 +323,26 @@ def _compared(strings: list[str], prints: list[str]) -> list[pa.Array]:
     """All texts but the last, each with the one behind it."""
     changed = [edited(a, b) for a, b in zip(strings, strings[1:])]
     changed_prints = fingerprints_of(changed)
+    near = [(likeness(a, c), likeness(a, b)) for a, b, c in zip(prints, prints[1:], changed_prints)]
     return [
         pa.array([len(s) for s in strings[:-1]], pa.int64()),
         pa.array([hashlib.sha256(s.encode()).hexdigest() for s in changed], pa.string()),
         pa.array(prints[:-1], pa.string()), pa.array(changed_prints, pa.string()),
-        pa.array([likeness(a, b) for a, b in zip(prints, changed_prints)], pa.float64()),
-        pa.array([likeness(a, b) for a, b in zip(prints, prints[1:])], pa.float64()),
+        pa.array([e for e, _ in near], pa.float64()), pa.array([n for _, n in near], pa.float64()),
     ]
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-NAMES = [c.split()[0] for c in RESULT.split(", ")]
+NAMES = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))]
+
+
+def _range_of(key: str, heads: list[Column]) -> Column:
+    """Which head a key follows: the last one, in falling order, that is not below it; searched in two steps."""
+    width = max(1, int(len(heads) ** 0.5))
+    groups = [heads[k : k + width] for k in range(0, len(heads), width)]
+    above = lambda some: F.greatest(F.lit(1), F.size(F.filter(F.array(*some) if isinstance(some, list) else some, lambda h: h >= F.col(key))))
+    group = above([g[0] for g in groups])
+    return ((group - 1) * width + above(F.element_at(F.array(*[F.array(*g) for g in groups]), group)) - 1).cast("int")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -336,56 +351,41 @@ def with_next(docs: DataFrame) -> DataFrame:
     The next document has the next smaller id; after the last comes the first. Rows of one id follow
     each other by a hash of their text, null ids come last. A single document follows itself.
 
-    Texts are shuffled once, by ranges of the id: neighbours then lie side by side in a task, which
-    reads on slice by slice. Only the last row of a task waits for the first one of the task behind;
-    these two rows a task are written with the results and joined afterwards.
+    Keys alone are sorted first and give the head of every range (one row per partition). Texts are then
+    shuffled once, into these ranges, and sorted there; a task reads on slice by slice, so neighbours
+    meet. The last row of a range meets the next range's head, whose text comes as a row behind it.
+    Equal rows are told apart by their place in the input, so that very many of them need not share a
+    range; the input should be a table that reads the same twice.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    # equal rows may stand in any order, but many of them need not share a task
-    ranged = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *order, F.col("_copy"))
+    key = F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.monotonically_increasing_id().alias("c"))
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", key.alias("key"))
+    ranged = rows.select("key").repartitionByRange(parts, F.col("key").desc())
+    heads = [r["head"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.max("key").alias("head")).orderBy(F.col("head").desc()).collect()]
     kind = rows.schema["doc_id"].dataType.simpleString()
+    if not heads:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, {RESULT}")
+    kinds = rows.schema["key"].dataType.simpleString()
+    literal = lambda h: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(h, rows.schema["key"].dataType.fields)])
+    placed = rows.withColumns({"range": _range_of("key", [literal(h) for h in heads]), "head": F.lit(0)})
+    # the texts of the heads: any row with the same id and hash has the same text
+    wanted = docs.sparkSession.createDataFrame([(i - 1 if i else len(heads) - 1, *h[:2]) for i, h in enumerate(heads)], f"range int, _a {kind}, _b long")
+    same = F.col("key.a").eqNullSafe(F.col("_a")) & (F.col("key.b") == F.col("_b"))
+    found = rows.join(F.broadcast(wanted), same).groupBy("range").agg(F.min("text").alias("text"))
+    behind = found.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(None).cast(kinds).alias("key"), "range", F.lit(1).alias("head"))
+    together = placed.unionByName(behind).repartitionByRange(parts, "range").sortWithinPartitions("range", "head", F.col("key").desc())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, strings, prints = TaskContext.get().partitionId(), [], [], []
-
-        def edge(which: int, at: int) -> pa.RecordBatch:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-            marks = [pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([strings[at]], pa.string())]
-            return pa.RecordBatch.from_arrays([ids[at], *none, *marks], names=["doc_id", *NAMES, "edge", "part", "text"])
-
+        ids, heads, strings, prints = [], [], [], []
         for some in slices(batches):
-            mine = texts(some).to_pylist()
-            first = not strings
-            column = some.column("doc_id")
-            ids += [column.slice(k, 1) for k in (range(len(mine)))]
-            strings, prints = strings + mine, prints + fingerprints_of(mine)
-            if first:
-                yield edge(0, 0)
-            if len(strings) > 1:
-                n = len(strings) - 1
-                blank = [pa.array([-1] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids[:-1]), *_compared(strings, prints), *blank], names=["doc_id", *NAMES, "edge", "part", "text"])
-            ids, strings, prints = ids[-1:], strings[-1:], prints[-1:]
-        if strings:
-            yield edge(1, 0)
-
-    schema = f"doc_id {kind}, {RESULT}, edge int, part int, text string"
-    done = cut_lineage(ranged.sortWithinPartitions(*order, "_copy").select("doc_id", "text").mapInArrow(walk, schema))
-    first, last = (done.filter(F.col("edge") == e) for e in (0, 1))
-    # one row per task that had rows
-    tasks = sorted(r["part"] for r in first.select("part").collect())
-    behind = docs.sparkSession.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1])), "part int, _behind int")
-    open_rows = last.select("doc_id", "part", "text").join(behind, "part").join(
-        first.select(F.col("part").alias("_behind"), F.col("text").alias("following")), "_behind"
-    ).select("doc_id", "text", "following")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in slices(batches):
-            for k in range(some.num_rows):
-                pair = [some.column(c)[k].as_py() for c in ("text", "following")]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(k, 1), *_compared(pair, fingerprints_of(pair))], names=["doc_id", *NAMES])
-
-    closed = open_rows.mapInArrow(close, f"doc_id {kind}, {RESULT}")
-    return done.filter(F.col("edge") == -1).select("doc_id", *NAMES).unionByName(closed)
+            mine, column = texts(some).to_pylist(), some.column("doc_id")
+            ids += [column.slice(k, 1) for k in range(len(mine))]
+            heads, strings, prints = heads + some.column("head").to_pylist(), strings + mine, prints + fingerprints_of(mine)
+            chosen = [k for k in range(len(strings) - 1) if not heads[k]]  # a head has had its turn as the next text
+            if chosen:
+                arrays = _compared(strings, prints)
+                take = pa.array(chosen)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids[:-1]).take(take), *(a.take(take) for a in arrays)], names=NAMES)
+            ids, heads, strings, prints = ids[-1:], heads[-1:], strings[-1:], prints[-1:]
+
+    return together.select("doc_id", "text", "head").mapInArrow(walk, f"doc_id {kind}, {RESULT}")
