@@ -229,7 +229,7 @@ def _(spark, sf):
 
 
 @query(
-    "w1_top5_item_item",
+    "w1_top5_near_items",
     with_(
         *_neighbor_ctes("item"),
         f"e AS (SELECT id_a, id_b, {_SIM.format(dot='dot')} AS sim FROM dots JOIN st sa ON sa.id = id_a JOIN st sb ON sb.id = id_b)",
@@ -253,6 +253,40 @@ def _(spark, sf):
     return out.select("user_id", "item_id", r6("rating_pred"), "rank")
 
 
+def _lists_sql(axis: str, amount: int) -> str:
+    """All users times all items; all ratings of a context are neighbours, as none has more than 500."""
+    e, c = ("item_id", "user_id") if axis == "item" else ("user_id", "item_id")
+    return with_(
+        *_neighbor_ctes(axis),
+        "s2 AS (SELECT id_a AS i, id_b AS j, -(SELECT n FROM nc) * sa.m * sb.m / sqrt(sa.q * sb.q) AS s0, dot / sqrt(sa.q * sb.q) AS d "
+        "FROM dots JOIN st sa ON sa.id = id_a JOIN st sb ON sb.id = id_b)",
+        "sims AS MATERIALIZED (SELECT i, j, s0, d FROM s2 UNION ALL SELECT j, i, s0, d FROM s2)",
+        f"dev AS MATERIALIZED (SELECT {c} AS c, {e} AS j, rating - m AS dev, m / sqrt(q) AS a FROM ratings JOIN st ON st.id = {e})",
+        "own AS (SELECT c, sum(dev * a) AS b, sum(a) AS a FROM dev GROUP BY 1)",
+        "met AS (SELECT c, i, sum(d * dev) AS num, sum(abs(s0 + d) - abs(s0)) AS den FROM dev JOIN sims USING (j) GROUP BY 1, 2)",
+        f"w AS (SELECT own.c AS {c}, st.id AS {e}, st.m AS m, coalesce(num, 0) - (SELECT n FROM nc) * st.m / sqrt(st.q) * own.b AS num, "
+        "coalesce(den, 0) + (SELECT n FROM nc) * st.m / sqrt(st.q) * own.a AS den "
+        f"FROM own CROSS JOIN st LEFT JOIN met ON met.c = own.c AND met.i = st.id ANTI JOIN ratings r ON r.{c} = own.c AND r.{e} = st.id)",
+        "p AS (SELECT user_id, item_id, m + CASE WHEN den > 1e-9 THEN num / den ELSE 0 END AS p FROM w)",
+    ) + (
+        "SELECT user_id, item_id, round(least(5.0, greatest(0.0, p)), 6) AS rating_pred, "
+        f"CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, item_id) AS INTEGER) AS rank FROM p QUALIFY rank <= {amount}"
+    )
+
+
+def _lists(axis: str):
+    def run(spark, sf):
+        rows = ratings(spark, sf)
+        out = T.recommend(neighbors.fit_neighbors(rows, axis, 500), rows, rows, 5)
+        return out.select("user_id", "item_id", r6("rating_pred"), "rank")
+
+    return run
+
+
+query("w1_top5_item_item", _lists_sql("item", 5))(_lists("item"))
+query("w1_top5_user_user", _lists_sql("user", 5))(_lists("user"))
+
+
 @query(
     "x18_pair_similarity",
     with_(

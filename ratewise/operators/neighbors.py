@@ -20,6 +20,7 @@ from ..functions.text import hash_bucket
 from ..session import broadcast_if_small, cut_lineage
 from .model import Model
 from .ranking import stable, top_k
+from .similarjoin import nearest_pruned
 
 #: Rows of one (context block, entity block) cell, and products expanded at a time in a task.
 CELL_ROWS = 400_000
@@ -153,8 +154,8 @@ def fit_neighbors(
 ) -> Model:
     """Neighbourhood model: its ratings, one row of statistics per entity, and the products.
 
-    Ratings and statistics are written once. ``products`` is by far the largest table and stays a
-    plan; ``cut_lineage`` it before scoring several batches with one model.
+    Ratings and statistics are written once. ``products`` is by far the largest table; it stays a plan
+    until ``stored_products`` writes it, so what needs no products (nearest lists) never makes them.
     """
     _sides(axis)
     rows = cut_lineage(training_ratings(ratings))
@@ -171,8 +172,16 @@ def fit_neighbors(
     return Model(f"{axis}_cf", tables, meta)
 
 
+def stored_products(model: Model) -> DataFrame:
+    """The products, written on first use and kept with the model."""
+    if not model.meta.get("products_stored"):
+        model.tables["products"] = cut_lineage(model.tables["products"])
+        model.meta["products_stored"] = True
+    return model.tables["products"]
+
+
 def similarity_edges(model: Model) -> DataFrame:
-    """``id_a < id_b, sim`` for the pairs with at least one common rater."""
+    """``id_a < id_b, sim`` for the pairs with at least one common rater: the full table, one row per such pair."""
     meta = model.meta
     n_entities = meta["n_items"] if meta["axis"] == "item" else meta["n_users"]
     stats = broadcast_if_small(model.tables["stats"], n_entities, 48)
@@ -187,17 +196,12 @@ def similarity_edges(model: Model) -> DataFrame:
 
 
 def nearest_entities(model: Model, k: int) -> DataFrame:
-    """``id, neighbor, sim, rank``: the k most similar entities with common raters, per entity."""
-    edges = similarity_edges(model)
-    both = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbor"), "sim"),
-                F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbor"), "sim"),
-            )
-        )
-    )
-    return top_k(both, ["id"], [F.desc(stable("sim")), F.asc("neighbor")], k)
+    """``id, neighbor, sim, rank``: the k most similar entities with common raters, per entity.
+
+    A pruned join over the ratings; the table of all products is neither needed nor made.
+    """
+    entity, context = _sides(model.meta["axis"])
+    return nearest_pruned(model.tables["ratings"], model.tables["stats"], entity, context, model.meta["n_context"], k)
 
 
 def neighbor_candidates(model: Model, users: DataFrame, per_item: int) -> DataFrame:
@@ -332,11 +336,12 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
         ratings.filter(F.col("rating") > 0).groupBy(F.col(context).alias("c")).agg(F.count(F.lit(1)).alias("_len"))
     )
     known = requests.filter(F.col("mi").isNotNull() & F.col("_known")).drop("_known")
+    products = stored_products(model)
     n_heavy = lengths.filter(F.col("_len") > HEAVY).count()
     looked_up = known.join(lengths.filter(F.col("_len") <= HEAVY), "c").join(rated, "c")
     looked_up = looked_up.filter((F.col("j") != F.col("i")) | (F.col("_len") == 1))
     looked_up = looked_up.withColumns({"id_a": F.least("i", "j"), "id_b": F.greatest("i", "j")})
-    with_dot = looked_up.join(model.tables["products"], ["id_a", "id_b"], "left")
+    with_dot = looked_up.join(products, ["id_a", "id_b"], "left")
     sim = cosine(
         F.coalesce(F.col("dot"), F.lit(0.0)), meta["n_context"], F.col("mi"), F.col("mj"), F.col("qi"), F.col("qj")
     )
@@ -345,7 +350,7 @@ def predict_neighbors(model: Model, pairs: DataFrame, bound: bool = True) -> Dat
     if n_heavy:
         heavy = lengths.filter(F.col("_len") > HEAVY).select("c")
         tiles = _score_tiles(
-            known.join(heavy, "c", "left_semi"), rated.join(heavy, "c", "left_semi"), model.tables["products"],
+            known.join(heavy, "c", "left_semi"), rated.join(heavy, "c", "left_semi"), products,
             meta["n_context"], meta["n_neighbors"], n_entities, n_heavy,
         )
         scored = scored.unionByName(tiles)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import check_unique_pairs
-from ..operators import bias, content, factors, neighbors
+from ..operators import bias, content, factors, neighborlists, neighbors
 from ..operators.model import Model
 from ..operators.ranking import stable, top_k
 from ..operators.recommend import recommend_bias
@@ -55,21 +55,17 @@ def recommend(
 ) -> DataFrame:
     """Top-N for all given users at once: ``user_id, item_id, rating_pred, rank``.
 
-    Neighbourhood models score a table of ``candidates`` (user_id, item_id); the other models
-    find the best of all trained items by themselves.
+    The best of all trained items, or of a table of ``candidates`` (user_id, item_id).
     """
-    if candidates is not None or model.kind in ("item_cf", "user_cf"):
-        if candidates is None:
-            raise ValueError(
-                "a neighbourhood model needs a candidates table (user_id, item_id), "
-                "for example from neighbors.neighbor_candidates"
-            )
+    if candidates is not None:
         asked = candidates.join(users.select("user_id").distinct(), "user_id", "left_semi")
         if known is not None:
             asked = asked.join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
         scored = predict(model, asked.select("user_id", "item_id"), bound=False)
         best = top_k(scored, ["user_id"], [F.desc(stable("rating_pred")), F.asc("item_id")], amount)
         out = best.select("user_id", "item_id", model.bounded(F.col("rating_pred"), bound).alias("rating_pred"), "rank")
+    elif model.kind in ("item_cf", "user_cf"):
+        out = neighborlists.recommend_neighbors(model, users, known, amount, bound)
     elif model.kind == "bias":
         out = recommend_bias(model, users, known, amount, bound)
     elif model.kind == "content":
