@@ -1,17 +1,18 @@
 """Benchmark decontamination: SimHash of item-sized windows, found through multi-index Hamming blocks.
 
 Words are runs of letters and digits, lower-cased. A window is as many words as a benchmark item
-has, at any word offset of a text. Its 64-bit SimHash (over its words) is looked up among the
-items': the 64 bits are cut into ``RADIUS + 1`` blocks, so fingerprints that differ in at most
-``RADIUS`` bits agree on a whole block, and every pair within the radius is found. Similar pairs can
-be farther apart; those are looked up by the first of the item's shingles, in order of their hashes, of
-which a similar window holds at least one. All pairs found are verified: shingles of five words,
-weighted by how often they occur, and similarity sum(min) / sum(max) of the weights of at least
-``SIMILARITY``.
-
-Texts are first matched, shingle by shingle, with the benchmark's: of the windows of every item's size
-only those are built that hold as many shared shingles as ``SIMILARITY`` needs, at every offset that
-can be the best one. This loses nothing and leaves few fingerprints.
+has, at any word offset of a text. It has ``SEEDS`` SimHashes of 64 bits over its words, from independent
+word hashes. The 64 bits are cut into ``BLOCKS`` wide blocks; an item is filed, per seed and block, under
+every value that differs from its own in at most ``RADIUS // BLOCKS`` bits. Fingerprints that differ in at
+most ``RADIUS`` bits are that close in some block, so a window that looks up its own blocks meets every
+item within the radius and few others. Pairs within the radius under any seed are verified: shingles
+of five words, weighted by how often they occur, and similarity sum(min) / sum(max) of the weights of
+at least ``SIMILARITY``. A similar pair is lost only if it is beyond the radius under every seed;
+the README has the measured share. ``complete=True`` also finds those, by shingles.
+
+Fingerprints are made only where they can matter. Texts are matched, shingle by shingle, with the
+benchmark's: of the windows of every item's size only those are built that hold as many shared shingles
+as ``SIMILARITY`` needs, at every offset that can be the best one. This loses nothing.
 
 The benchmark is the stated query set; its tables are broadcast only below a counted size. Nothing
 is gathered per item or passage, so one passage in very many documents costs its windows only.
@@ -26,6 +27,7 @@ column gets ``_source`` behind it), ``remove`` all of them; others are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ from .textkeys import text_key, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 12
+RADIUS = 14
+BLOCKS = 5
+SEEDS = 2
 
 
 def plain_words(text: Column) -> Column:
@@ -51,26 +55,58 @@ def shingle_hashes(words: str, k: int) -> Column:
     return F.expr(f"if(size(`{words}`) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(`{words}`) - {k}), i -> xxhash64({run})))")
 
 
-def simhash(words: str) -> Column:
-    """64 bits; bit b is set if it is set in the hashes of more than half of the words."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), struct(0L as v, transform(`{words}`, w -> xxhash64(w)) as h), (a, b) -> "
-        "struct(a.v | if(2 * aggregate(a.h, 0, (s, x) -> s + cast(shiftrightunsigned(x, b) & 1 as int)) > size(a.h), "
-        "shiftleft(1L, b), 0L) as v, a.h as h), a -> a.v)"
+def simhash(words: str, seed: int = 0) -> Column:
+    """64 bits; bit b is set if it is set in the hashes of more than half of the words.
+
+    Hashes are added up in lanes of 8 bits (16 for long windows), as many bits at once as a 64-bit
+    number has lanes; very long windows are counted bit by bit.
+    """
+
+    def packed(bits: int) -> str:
+        ones, most = sum(1 << low for low in range(0, 64, bits)), (1 << bits) - 1
+        lanes = f"transform(sequence(0, {bits - 1}), k -> aggregate(h, 0L, (s, x) -> s + (shiftrightunsigned(x, k) & {ones}L)))"
+        return _bits(lanes, f"shiftrightunsigned(a.l[b % {bits}], b - b % {bits}) & {most}")
+
+    single = _bits("array(0L)", "aggregate(h, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 1L))")
+    hashes = f"transform(`{words}`, w -> xxhash64({f'{seed}, w' if seed else 'w'}))"
+    kinds = f"case when size(h) < 128 then {packed(8)} when size(h) < 32768 then {packed(16)} else {single} end"
+    return F.expr(f"element_at(transform(array({hashes}), h -> {kinds}), 1)")
+
+
+def _bits(sums: str, count: str) -> str:
+    """The bits b whose ``count`` is more than half of the hashes ``h``; ``a.l`` are the sums, made once."""
+    return (
+        f"aggregate(sequence(0, 63), struct(0L as v, {sums} as l), (a, b) -> "
+        f"struct(a.v | if(2 * ({count}) > size(h), shiftleft(1L, b), 0L) as v, a.l as l), a -> a.v)"
     )
 
 
-def block(fingerprint: str, b: int, radius: int) -> Column:
-    """Block ``b`` of the fingerprint."""
-    low, high = (x * 64 // (radius + 1) for x in (b, b + 1))
-    return F.shiftrightunsigned(F.col(fingerprint), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def cuts(blocks: int) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    edges = [b * 64 // blocks for b in range(blocks + 1)]
+    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+
+
+def block(fingerprint: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def prints(words: str) -> list[Column]:
+    return [simhash(words, seed).alias(f"p{seed}") for seed in range(SEEDS)]
+
+
+def numbered(bag: str) -> Column:
+    """The bag with repeated shingles told apart: the n-th occurrence of one gets a hash of its own, so bags meet as sets."""
+    again = f"transform(`{bag}`, (x, i) -> if(array_position(`{bag}`, x) = i + 1, x, xxhash64(x, size(filter(slice(`{bag}`, 1, i), y -> y = x)))))"
+    return F.expr(f"if(size(array_distinct(`{bag}`)) = size(`{bag}`), `{bag}`, {again})")
 
 
 def index_items(benchmark: DataFrame, item_id: str = "item_id") -> DataFrame:
-    """``item_id, n_item, k, words, bag, fingerprint`` of the items that have words."""
+    """``item_id, n_item, k, words, bag`` and fingerprints ``p0, ...`` of the items that have words."""
     words = benchmark.select(F.col(item_id).alias("item_id"), plain_words(F.col("text")).alias("words")).filter("size(words) > 0")
     sized = words.select("item_id", F.size("words").alias("n_item"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k"), "words")
-    return sized.withColumns({"bag": bag_of("words"), "fingerprint": simhash("words")})
+    bags = sized.withColumn("bag", bag_of("words"))
+    return bags.select("item_id", "n_item", "k", "words", numbered("bag").alias("bag"), *prints("words"))
 
 
 def bag_of(words: str) -> Column:
@@ -89,83 +125,104 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     for r in items.select("k", "n_item").distinct().orderBy("k", "n_item").collect():  # at most five k, one row per length
         sizes.setdefault(r["k"], []).append(r["n_item"])
     texts = docs.select(text_key().alias("text_key"), plain_words(F.col("text")).alias("words"))
-    found = []
-    for k, lengths in sizes.items():
-        known = items.filter(F.col("k") == k).select("n_item", F.explode(shingle_hashes("words", k)).alias("h")).distinct()
-        own = texts.select("text_key", F.size("words").alias("n"), F.posexplode(shingle_hashes("words", k)).alias("pos", "h"))
-        near = own.join(broadcast_if_small(known, known.count()), "h").groupBy("text_key", "n", "n_item").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
-        sized = near.withColumn("size", F.explode(F.array_distinct(F.transform(F.lit(lengths), lambda z: F.least(z, F.col("n"))))))
-        shingles = F.col("size") + F.col("n_item") - 2 * (k - 1)
-        sized = sized.withColumn("need", F.greatest(F.lit(1), F.ceil(shingles * (similarity / (1 + similarity)) - 1e-6).cast("int")))
-        enough = sized.filter((F.size("hits") >= F.col("need")) & (F.col("need") <= F.least("size", "n_item") - (k - 1)))
-        start = F.expr(
-            "array_distinct(transform(filter(transform(sequence(0, size(hits) - need), i -> struct(least(hits[i], n - size) as s, hits[i + need - 1] as e)), "
-            f"x -> x.e <= x.s + size - {k}), x -> x.s))"
-        )
-        found.append(enough.select("text_key", F.explode(start).alias("start"), "size", F.lit(k).alias("k")).distinct())
-    if not found:
+    if not sizes:
         empty = texts.select("text_key", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("k"))
         return empty.filter(F.lit(False))
-    return reduce(DataFrame.unionByName, found)
+    # all shingles of the lengths that items need, in one pass
+    of = lambda k: F.transform(shingle_hashes("words", k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("h")))
+    placed = F.concat(*[of(k) for k in sizes])
+    own = texts.select("text_key", F.size("words").alias("n"), F.inline(placed))
+    known = cut_lineage(items.select("k", "n_item", F.explode(bag_of("words")).alias("h")).distinct())
+    near = own.join(broadcast_if_small(known, known.count()), ["k", "h"]).groupBy("text_key", "n", "k", "n_item").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+    lengths = reduce(lambda out, k: F.when(F.col("k") == k, F.lit(sizes[k])).otherwise(out), sizes, F.array().cast("array<int>"))
+    need = lambda z: F.greatest(F.lit(1), F.ceil((z + F.col("n_item") - 2 * (F.col("k") - 1)) * (similarity / (1 + similarity)) - 1e-6).cast("int"))
+    fits = F.filter(
+        F.array_distinct(F.transform(lengths, lambda z: F.least(z, F.col("n")))),
+        lambda z: (need(z) <= F.least(z, F.col("n_item")) - (F.col("k") - 1)) & (need(z) <= F.size("hits")),
+    )
+    sized = near.withColumn("size", F.explode(fits)).withColumn("need", need(F.col("size")))
+    start = F.expr(
+        "array_distinct(transform(filter(transform(sequence(0, size(hits) - need), i -> struct(least(hits[i], n - size) as s, hits[i + need - 1] as e)), "
+        "x -> x.e <= x.s + size - k), x -> x.s))"
+    )
+    return sized.select("text_key", F.explode(start).alias("start"), "size", "k").distinct()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``text_key, item_id, similarity``: the best window of each text for each item it leaks."""
-    items = cut_lineage(index_items(benchmark, item_id))
-    places = cut_lineage(windows(docs, items, similarity))
+def fingerprinted(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``text_key, k, bag, p0, ...``: one row per different run of words of a text, wherever it stands."""
     of_text = places.groupBy("text_key").agg(F.collect_list(F.struct("start", "size", "k")).alias("at"))
     texts = texts_of(docs, places.select("text_key").distinct(), places.count()).withColumn("all", plain_words(F.col("text")))
     cut = texts.join(of_text, "text_key").select("text_key", "all", F.explode("at").alias("w")).select(
-        "text_key", "w.start", "w.k", F.slice("all", F.col("w.start") + 1, F.col("w.size")).alias("words")
+        "text_key", "w.k", F.slice("all", F.col("w.start") + 1, F.col("w.size")).alias("words")
     )
-    # one fingerprint per different run of words, wherever it stands
-    runs = cut.select("text_key", "k", "words").distinct()
-    known = cut_lineage(runs.select("text_key", "k", bag_of("words").alias("bag"), simhash("words").alias("fingerprint")))
-    near, far = verify(known, items, similarity, radius), verify_far(known, items, similarity, radius)
-    return near.unionByName(far).groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"))
+    runs = cut.distinct().withColumn("bag", bag_of("words"))
+    return runs.select("text_key", "k", numbered("bag").alias("bag"), *prints("words"))
 
 
-def verify(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Pairs within the radius, by blocks; then the exact weighted similarity.
+def matches(
+    docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS, complete: bool = False
+) -> DataFrame:
+    """``text_key, item_id, similarity``: the best window of each text for each item it leaks.
 
-    Both tables bring their shingles in ``bag`` as written values: an expression there would be
-    inlined into the comparison and computed again for every shingle.
-    """
-    blocks = range(radius + 1)
-    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block("fingerprint", b, radius).alias("v")) for b in blocks])).alias("_lk")
-    left = windows.select("text_key", "k", "bag", "fingerprint", keys).select("text_key", "k", "bag", "fingerprint", "_lk.*")
-    right = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print"), keys)
-    right = right.select("item_id", "item_k", "item_bag", "item_print", "_lk.*")
-    met = left.join(broadcast_if_small(right, items.count() * (radius + 1), 512), ["b", "v"])
-    first = reduce(lambda out, b: F.when(block("fingerprint", b, radius) == block("item_print", b, radius), F.lit(b)).otherwise(out), reversed(blocks), F.lit(-1))
-    apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    near = met.filter((F.col("k") == F.col("item_k")) & (apart <= radius) & (F.col("b") == first))
-    return compared(near, similarity)
-
-
-def verify_far(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """The same for pairs farther apart than the radius, by shingles.
-
-    A similar window lacks at most ``size - ceil(similarity * size)`` of the item's shingles, so of any
-    one more than that it holds one.
+    ``complete`` also finds similar pairs beyond the radius, by shingles.
     """
-    lead = F.expr(f"array_distinct(slice(array_sort(bag), 1, cast(size(bag) - ceil({similarity} * size(bag) - 1e-6) + 1 as int)))")
-    right = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print"), lead.alias("lead"))
+    items = cut_lineage(index_items(benchmark, item_id))
+    places = cut_lineage(windows(docs, items, similarity))
+    known = cut_lineage(fingerprinted(docs, places))
+    found = verify(known, items, similarity, radius)
+    if complete:
+        found = found.unionByName(verify_far(known, items, similarity))
+    return found.groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def near_pairs(windows: DataFrame, items: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
+    """``windows`` with the ``item_id`` of every item within the radius under some seed, each pair once."""
+    parts, spare = cuts(blocks), radius // blocks
+    masks = {width: [sum(1 << b for b in bits) for n in range(spare + 1) for bits in combinations(range(width), n)] for _, width in parts}
+    numbers = [(seed, b) for seed in range(SEEDS) for b in range(blocks)]
+    look = F.array(*[F.struct(F.lit(i).alias("b"), block(F.col(f"p{seed}"), *parts[b]).alias("v")) for i, (seed, b) in enumerate(numbers)])
+
+    def filed(i: int, seed: int, b: int) -> Column:
+        own = block(F.col(f"p{seed}"), *parts[b])
+        return F.transform(F.lit(masks[parts[b][1]]), lambda m: F.struct(F.lit(i).alias("b"), own.bitwiseXOR(m.cast("long")).alias("v")))
+
+    under = F.concat(*[filed(i, *n) for i, n in enumerate(numbers)])
+    right = items.select("item_id", *[F.col(f"p{s}").alias(f"i{s}") for s in range(SEEDS)], F.inline(under))
+    rows = items.count() * sum(len(masks[parts[b][1]]) for _, b in numbers)
+    left = windows.select("*", F.inline(look))
+    met = left.join(broadcast_if_small(right, rows, 48), ["b", "v"])
+    close = lambda i, seed, b: (F.bit_count(F.col(f"p{seed}").bitwiseXOR(F.col(f"i{seed}"))) <= radius) & (
+        F.bit_count(block(F.col(f"p{seed}").bitwiseXOR(F.col(f"i{seed}")), *parts[b])) <= spare
+    )
+    first = reduce(lambda out, x: F.when(close(*x), F.lit(x[0])).otherwise(out), reversed([(i, *n) for i, n in enumerate(numbers)]), F.lit(-1))
+    return met.filter(F.col("b") == first).select(*windows.columns, "item_id")
+
+
+def verify(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Pairs within the radius that are similar."""
+    bags = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag")).dropDuplicates(["item_id", "item_k", "item_bag"])
+    pairs = near_pairs(windows.select("text_key", "k", "bag", *[f"p{s}" for s in range(SEEDS)]), items, radius)
+    both = pairs.join(broadcast_if_small(bags, items.count(), 1024), (F.col("k") == F.col("item_k")) & pairs["item_id"].eqNullSafe(bags["item_id"]))
+    return compared(both.select("text_key", pairs["item_id"], "bag", "item_bag"), similarity)
+
+
+def verify_far(windows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """All similar pairs, by shingles: a similar window lacks at most ``size - ceil(similarity * size)`` of
+    the item's shingles, so of any one more than that it holds one."""
+    lead = F.expr(f"slice(array_sort(bag), 1, cast(size(bag) - ceil({similarity} * size(bag) - 1e-6) + 1 as int))")
+    right = items.select("item_id", F.col("k").alias("item_k"), F.col("bag").alias("item_bag"), lead.alias("lead"))
     rows = items.agg(F.sum(F.size("bag"))).first()[0] or 0
-    left = windows.select("text_key", "k", "bag", "fingerprint", F.explode(F.array_distinct("bag")).alias("h"))
+    left = windows.select("text_key", "k", "bag", F.explode("bag").alias("h"))
     met = left.join(broadcast_if_small(right.withColumn("h", F.explode("lead")), rows, 512), "h")
-    apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    far = met.filter((F.col("k") == F.col("item_k")) & (apart > radius)).filter(F.get(F.array_intersect("lead", "bag"), F.lit(0)) == F.col("h"))
-    return compared(far, similarity)
+    return compared(met.filter((F.col("k") == F.col("item_k")) & (F.get(F.array_intersect("lead", "bag"), F.lit(0)) == F.col("h"))), similarity)
 
 
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``text_key, item_id, similarity`` of the pairs that are similar enough."""
-    common = F.expr(
-        "aggregate(array_distinct(item_bag), 0, (s, h) -> s + least(size(filter(bag, e -> e = h)), size(filter(item_bag, e -> e = h))))"
-    )
-    share = common / (F.size("bag") + F.size("item_bag") - common)
-    return pairs.select("text_key", "item_id", share.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
+    """``text_key, item_id, similarity`` of the pairs that are similar enough; bags of unlike sizes are not compared."""
+    sizes = F.least(F.size("bag"), F.size("item_bag")) >= (similarity - 1e-9) * F.greatest(F.size("bag"), F.size("item_bag"))
+    counted = pairs.filter(sizes).withColumn("common", F.size(F.array_intersect("bag", "item_bag")))
+    share = F.col("common") / (F.size("bag") + F.size("item_bag") - F.col("common"))
+    return counted.select("text_key", "item_id", share.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9).groupBy("text_key", "item_id").agg(
         F.max("similarity").alias("similarity")
     )
 

@@ -86,15 +86,36 @@ def test_equals_all_windows(spark, data):
 
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng, radius = random.Random(2), leaks.RADIUS
-    bag = list(range(12))
-    base = rng.getrandbits(63)
-    prints = [base] + [base ^ sum(1 << b for b in rng.sample(range(64), d)) for d in range(1, 20) for _ in range(6)]
+    base, other = rng.getrandbits(63), 0
+    prints = [base] + [base ^ sum(1 << b for b in rng.sample(range(64), d)) for d in range(1, 24) for _ in range(6)]
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
-    items = spark.createDataFrame([(0, 5, bag, signed[0])], "item_id long, k int, bag array<long>, fingerprint long")
-    rows = [(bytes([i // 256, i % 256]), 5, bag, p) for i, p in enumerate(signed)]
-    windows = spark.createDataFrame(rows, "text_key binary, k int, bag array<long>, fingerprint long")
-    found = {int.from_bytes(r["text_key"], "big") for r in leaks.verify(windows, items, 0.8, radius).collect()}
-    assert found == {i for i, p in enumerate(prints) if bin(p ^ base).count("1") <= radius}
+    items = spark.createDataFrame([(7, signed[0], other)], "item_id long, p0 long, p1 long")
+    far = -1  # under the other seed all bits differ
+    windows = spark.createDataFrame([(i, p, far) for i, p in enumerate(signed)] + [(1000 + i, far ^ signed[0], 0) for i in range(2)], "w long, p0 long, p1 long")
+    found = [r["w"] for r in leaks.near_pairs(windows, items, radius).collect()]
+    want = [i for i, p in enumerate(prints) if bin(p ^ base).count("1") <= radius] + [1000, 1001]
+    assert sorted(found) == want  # each pair once
+
+
+def test_recall_of_fingerprints_at_the_threshold(spark):
+    """Pairs as unlike as the threshold allows: almost all are found by fingerprints alone, all with ``complete``."""
+    rng = random.Random(8)
+    items, docs, n = [], [], 0
+    for i in range(1200):
+        size = rng.choice([30, 50, 90])
+        words = [f"w{i}x{j}" for j in range(size)]
+        items.append((i, " ".join(words)))
+        if i % 2:  # the last words changed
+            new = words[: size - max(1, (size - 4) // 9)] + [f"c{i}x{j}" for j in range(max(1, (size - 4) // 9))]
+        else:  # a short text that holds the first part only
+            new = words[: size - (size - 4) // 5]
+        docs.append((i, " ".join(new)))
+        n += similarity(new, words, 5) >= 0.8
+    assert n == 1200
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = leaks.matches(table, bench).select("item_id").distinct().count()
+    assert found >= 0.99 * n
+    assert leaks.matches(table, bench, complete=True).select("item_id").distinct().count() == n
 
 
 def test_simhash_is_the_majority_of_word_bits(spark):
@@ -128,16 +149,17 @@ def test_windows_between_the_aligned_ones(spark):
     assert rows == {i: s for i, (_, text) in enumerate(docs) for i2, s in brute(text, items).items() if i2 == i} and len(rows) == 2
 
 
-def test_similar_items_whose_fingerprints_are_far_apart(spark):
-    """Changes as large as the threshold allows: all are found, though many are beyond the radius."""
-    items, docs = [], []
-    for i in range(60):
-        words = [f"w{i}x{j}" for j in range(50)]
-        items.append((i, " ".join(words)))
-        docs.append((i, " ".join(words[: 50 - 5] + [f"c{i}x{j}" for j in range(5)])) if i % 2 else (i, " ".join(words[:42])))
-    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    prints = [leaks.index_items(t.withColumnRenamed("doc_id", "item_id")).select("item_id", "fingerprint") for t in (table, bench)]
-    apart = prints[0].join(prints[1].withColumnRenamed("fingerprint", "other"), "item_id").select(F.expr("bit_count(fingerprint ^ other)").alias("d"))
-    assert apart.filter(F.col("d") > leaks.RADIUS).count() > 0
-    found = {r["item_id"]: round(r["similarity"], 6) for r in leaks.matches(table, bench).collect()}
-    assert found == {i: brute(text, [items[i]])[i] for i, text in docs}
+def test_repeated_shingles_weigh(spark):
+    """Weights count occurrences on both sides."""
+    items = [(0, "a b c d e " * 6), (1, "p q r s t u " * 3 + "v w x y z")]
+    docs = [(0, "a b c d e " * 7), (1, "a b c d e " * 3), (2, "p q r s t u " * 3 + "v w x y"), (3, "p q r s t u v w x y z")]
+    found = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), complete=True)
+    rows = sorted((r["item_id"], round(r["similarity"], 6)) for r in found.collect())
+    assert rows == sorted((i, s) for _, text in docs for i, s in brute(text, items).items())
+
+
+@pytest.mark.parametrize("n", [127, 128, 200, 40_000])
+def test_long_windows_have_the_same_majority(spark, n):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i)).alias("w"))
+    r = df.select(leaks.simhash("w", 1).alias("s"), F.expr("transform(w, x -> xxhash64(1, x))").alias("h")).first()
+    assert r["s"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r["h"]) > n)
