@@ -87,22 +87,38 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     )
 
 
+#: Copies of a row spelt out by one task.
+COPIES = 4096
+
+
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows, with the columns of ``docs``: each text as often as it is taken.
 
-    Rows that are equal in id and text form one group, whose words are taken together: whole
-    copies first, then one text cut after its last taken word.
+    Rows that are equal in id, text and source form one group, whose words are taken together: whole
+    copies first, then one text cut after its last taken word. Of rows that differ in other columns
+    the one with the smallest hash stands for the group.
     """
-    mixed = plan(docs, **options).groupBy("_mix_key").agg(
+    of_source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("_mix_of")
+    group = ["_mix_key", "_mix_of"]
+    mixed = cut_lineage(plan(docs, **options).groupBy("_mix_key", of_source).agg(
         F.sum("taken").alias("_mix_taken"), F.max("size").alias("_mix_size")
-    ).filter("_mix_taken > 0")
-    packed = docs.select(random_key(F.col("doc_id"), F.col("text"), options.get("seed", SEED)).alias("_mix_key"), F.struct(*columns(docs)).alias("_mix_row"))
-    one = packed.groupBy("_mix_key").agg(F.first("_mix_row").alias("_mix_row"))
-    copies = one.join(mixed, "_mix_key").select(
-        "_mix_row", F.expr("_mix_taken div _mix_size").alias("_mix_whole"), F.expr("_mix_taken % _mix_size").alias("_mix_part")
+    ).filter("_mix_taken > 0"))
+    key = random_key(F.col("doc_id"), F.col("text"), options.get("seed", SEED)).alias("_mix_key")
+    hashed = F.xxhash64(*columns(docs, [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
+    packed = docs.select(key, of_source, F.struct(*columns(docs)).alias("_mix_row"), hashed.alias("_mix_hash"))
+    one = packed.groupBy(*group).agg(F.min_by("_mix_row", "_mix_hash").alias("_mix_row"))
+    copies = one.join(mixed, group).select(
+        *group, "_mix_row", F.expr("_mix_taken div _mix_size").alias("_mix_whole"), F.expr("_mix_taken % _mix_size").alias("_mix_part")
+    )
+    most = mixed.agg(F.max(F.expr("_mix_taken div _mix_size"))).first()[0] or 0
+    # runs of copies; the cut text comes with the first
+    runs = copies.withColumn("_mix_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(_mix_whole - 1, 0) div {COPIES}"))))
+    if most > COPIES:
+        runs = runs.repartition(*group, "_mix_run")
+    times = F.expr(
+        f"concat(array_repeat(-1L, cast(least({COPIES}, _mix_whole - _mix_run * {COPIES}) as int)), if(_mix_part > 0 and _mix_run = 0, array(_mix_part), array()))"
     )
-    times = F.expr("concat(array_repeat(-1L, cast(_mix_whole as int)), if(_mix_part > 0, array(_mix_part), array()))")
-    each = copies.select("_mix_row", F.explode(times).alias("_mix_cut"))
+    each = runs.select("_mix_row", F.explode(times).alias("_mix_cut"))
     of = lambda name: F.col("_mix_row").getField(name)
     cut = F.when(F.col("_mix_cut") < 0, of("text")).otherwise(first_words(of("text"), F.col("_mix_cut")))
     size = F.when(F.col("_mix_cut") < 0, of("n_chars")).otherwise(F.length(cut)).cast("long") if "n_chars" in docs.columns else None

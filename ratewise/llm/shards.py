@@ -38,6 +38,10 @@ def _shift(value: str, by: Column) -> Column:
     return F.call_function("shiftright", F.col(value), by.cast("int"))
 
 
+#: Column names of intermediate tables.
+OWN = ["_sh_hash", "_sh_cell", "_sh_top", "_sh_order", "_sh_before", "_sh_alone", "_value", "_part", "_local", "_sum", "_at", "_offset", "_of__sh_hash", "b", "n"]
+
+
 def _prefix(bits: Column | int) -> Column:
     return _shift("_sh_hash", F.lit(HASH_BITS) - (F.lit(bits) if isinstance(bits, int) else bits))
 
@@ -75,10 +79,11 @@ def assign(
     """``keep`` columns (the key if not given) with ``bytes, depth, prefix, run, oversize``.
 
     ``depth`` bits of the hash select the bucket, ``prefix`` is their value; (depth, prefix, run)
-    names a shard. ``size`` is the bytes of a row.
+    names a shard. ``size`` is the bytes of a row. A kept column with one of these names, or with one that
+    the work itself uses (``OWN``), gets ``_source`` behind it.
     """
     asked = [key] if keep is None else keep
-    keep = renamed(asked, ["bytes", "depth", "prefix", "run", "oversize"])
+    keep = renamed(asked, ["bytes", "depth", "prefix", "run", "oversize", *OWN])
     todo = cut_lineage(rows.select(
         *(c.alias(n) for c, n in zip(columns(rows, asked), keep)), key_hash(F.col(key)).alias("_sh_hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes")
     ))

@@ -65,6 +65,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The only set-up for which words are encoded one by one. It drops white space, lowers
+#: letters, and keeps letters, single digits and other signs apart.
+BY_WORD = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed", "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def words_are_apart(tokenizer: str) -> bool:
+    """Whether a text's ids are its words' ids: proven for the set-up above with a plain merge model, else assumed not."""
+    with open(tokenizer, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, added = parts["model"], [t["content"] for t in parts["added_tokens"]]
+    return (
+        all(parts[k] == v for k, v in BY_WORD.items()) and model["type"] == "BPE" and not model["dropout"]
+        and not parts["truncation"] and not parts["padding"] and all(t.startswith("<|") and " " not in t for t in added)
+    )
+
+
 def stem_and_tail(word: str) -> tuple[str, str]:
     """A word without its closing punctuation, and that; ASCII stems in lower case.
 
@@ -86,15 +117,16 @@ def encoder(path: str, dtype: str) -> Encoder:
 
 
 class Encoder:
-    """Encodes slices of texts word by word.
+    """Encodes slices of texts, word by word where the tokenizer's set-up allows, else as whole texts.
 
-    The tokenizer drops white space before it merges anything, and no normal form reaches across
-    an ASCII space, so a text's ids are its words' ids in order. Each different word of a slice is
+    A tokenizer that drops white space before it merges anything, in a normal form that does not reach
+    across an ASCII space, gives a text its words' ids in order. Each different word of a slice is
     encoded once; words seen lately are remembered, up to ``CACHED_WORDS``.
     """
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype, self.known = _tokenizer(path), np.dtype(dtype), {"": b""}
+        self.by_word = words_are_apart(path)
 
     def words(self, vocabulary: list[str]) -> list[bytes]:
         """The ids of each word, as bytes."""
@@ -120,6 +152,10 @@ class Encoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
         """All ids as bytes, each text's followed by the end id, and the number of ids per text."""
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)
+            parts = [np.array([*e.ids, end_id], self.dtype) for e in whole]
+            return b"".join(p.tobytes() for p in parts), np.array([len(p) for p in parts], np.int64)
         words, n = Words(column), len(column)
         pieces = [*self.words(words.vocabulary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
         # the words of each text, then the end
@@ -134,7 +170,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed
     """Write the shards and ``manifest.json``; the ledger ``doc_id, copy, shard, offset, n_tokens``.
 
     One range shuffle of (doc_id, text); a partition becomes a shard. A random second range key
-    lets an id that very many rows share spread over shards.
+    lets an id that very many rows share spread over shards. It follows the order of the rows, so
+    ``docs`` should be a written table: a lost task of a plan that shuffles may see another order.
     """
     spark = docs.sparkSession
     vocabulary = _tokenizer(tokenizer).get_vocab_size()

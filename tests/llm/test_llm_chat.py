@@ -91,3 +91,23 @@ def test_query_has_the_extra_conversation(spark):
     said = f"user\n{CONTROL}\nassistant\n{CONTROL}\n"
     assert (r["n_turns"], r["turns_sha256"]) == (2, hashlib.sha256(said.encode()).hexdigest())
     assert (r["loss_chars"], r["loss_sha256"]) == (len(CONTROL), hashlib.sha256(CONTROL.encode()).hexdigest())
+
+
+def test_sql_counts_escapes(spark, tmp_path):
+    """The query and its SQL agree on backslashes, marks and line breaks in roles and texts."""
+    duckdb = pytest.importorskip("duckdb")
+    from ratewise.llm import ORACLES, QUERIES
+
+    rows = [
+        (1, 0, "user", "a\\b <| \\<|"), (1, 1, "assistant", "\\\\n <|im_end|>\n"), (2, 0, "us\ner\\", "x"), (2, 1, "assistant", None),
+        (3, 0, None, "<\\|"), (None, None, "assistant", "\\"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(ORACLES["op7_chat_format"])
+    names = [d[0] for d in cursor.description]
+    order = lambda r: str(r["conv_id"])
+    want = sorted((dict(zip(names, r)) for r in cursor.fetchall()), key=order)
+    got = sorted((r.asDict() for r in QUERIES["op7_chat_format"](spark, str(tmp_path)).select(*names).collect()), key=order)
+    assert got == want and len(got) == 5

@@ -102,3 +102,16 @@ def test_first_words(spark):
     df = spark.createDataFrame([("  a b\n c ", n) for n in range(5)], "t string, n int")
     got = [r[0] for r in df.select(mixing.first_words(df.t, df.n)).collect()]
     assert got == ["", "  a", "  a b", "  a b\n c", "  a b\n c"]
+
+
+def test_equal_rows_of_two_sources_stay_apart(spark, monkeypatch):
+    """A document that two sources hold is taken from each as often as its own target says."""
+    rows = [(i, f"w{i} x y z", s) for i in range(12) for s in ("a", "b", None)] + [(50 + i, "only a has this one", "a") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["n"] for r in mixing.plan(docs).groupBy("source").agg({"taken": "sum"}).toDF("source", "n").collect()}
+    for copies in (4096, 1):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        got = Counter()
+        for r in mixing.apply_mix(docs).collect():
+            got[r["source"]] += size(r["text"])
+        assert dict(got) == want

@@ -55,3 +55,10 @@ def test_directory(spark):
     out = place(spark, [(i, 100) for i in range(50)])
     got = shards.directory(out).agg(F.sum("n_rows"), F.sum("bytes"), F.max("bytes")).first()
     assert got[0] == 50 and got[1] == 5000 and got[2] <= LIMIT
+
+
+def test_kept_columns_with_inner_names(spark):
+    inner = ["_sh_hash", "_sh_cell", "_value", "_part", "bytes", "b"]
+    rows = spark.createDataFrame([(i % 3, "x" * 40, *range(10, 16)) for i in range(30)], "k long, t string, " + ", ".join(f"`{c}` long" for c in inner))
+    out = shards.assign(rows, "k", F.octet_length("t"), 100, keep=["k", *inner]).collect()
+    assert len(out) == 30 and all([r[f"{c}_source"] for c in inner] == list(range(10, 16)) for r in out)

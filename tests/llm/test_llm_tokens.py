@@ -101,3 +101,17 @@ def test_equal_hashes_are_kept_by_key(monkeypatch):
     row |= {k: b"" for k in ("fingerprints", "shards", "offsets", "lengths")}
     found, _, offset, _ = tokens.probe(row, pa.array([3, 4, 5], pa.int64()), pa.array([0, 0, 0], pa.int64()))
     assert found.tolist() == [True, True, False] and offset[:2].tolist() == [3, 4]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_equals_whole_texts(name):
+    """The way by words is taken only where the tokenizer's set-up proves it."""
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    rows = ["Two  words, one\tline.\nNext Line", "", "it's <|endoftext|> here", "\u00c9t\u00e9 12 345", " lead"]
+    coder = tokens.Encoder(path, "<u4")
+    assert coder.by_word == name.startswith("word")
+    ids, counts = coder.encode(pa.array(rows, pa.large_string()), 1)
+    want = [whole.encode(t, add_special_tokens=False).ids + [1] for t in rows]
+    assert counts.tolist() == [len(w) for w in want]
+    assert np.frombuffer(ids, "<u4").tolist() == [i for w in want for i in w]
