@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ratewise.llm import leaks, mixing, nearjoin, quality, tokens
 from ratewise.llm.names import columns
+from ratewise.llm.vectors import folder, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages; the rows of each are written once, beside the checkpoints, and read by the next one."""
+    docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), folder(spark, "pipeline")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = written(docs, f"{home}/{n}")
     return docs
