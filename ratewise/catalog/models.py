@@ -527,6 +527,61 @@ def _(spark, sf):
     return T.predict(model, requests(spark, sf)).select("user_id", "item_id", r6("rating_pred"), "prediction_possible")
 
 
+def _content_sql(k: int) -> list[str]:
+    return [
+        RATINGS, FEATURES, "n AS (SELECT item_id, sqrt(sum(value * value)) AS n FROM features GROUP BY 1)",
+        "s AS (SELECT a.item_id, b.item_id AS neighbor, sum(a.value * b.value) / any_value(na.n * nb.n) AS sim FROM features a JOIN features b "
+        "ON a.feature = b.feature AND a.item_id <> b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2)",
+        f"near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, neighbor) <= {k})",
+        "im AS (SELECT item_id, coalesce(avg(rating), (SELECT avg(rating) FROM ratings)) AS m FROM (SELECT DISTINCT item_id FROM features UNION SELECT item_id FROM ratings) "
+        "LEFT JOIN ratings USING (item_id) GROUP BY 1)",
+        "ad AS (SELECT r.user_id, near.item_id, sum(sim * (rating - im.m)) / sum(abs(sim)) AS a FROM near JOIN ratings r ON r.item_id = neighbor "
+        "JOIN im ON im.item_id = neighbor GROUP BY 1, 2)",
+    ]
+
+
+def similarity_model(spark, sf):
+    return T.fit_model("content", ratings(spark, sf), features=features(spark, sf), mode="similarity", n_neighbors=20)
+
+
+@query(
+    "m14_predict_content_similarity",
+    with_(*_content_sql(20), REQUESTS)
+    + "SELECT user_id, item_id, round(CASE WHEN u.user_id IS NULL OR im.item_id IS NULL THEN (SELECT avg(rating) FROM ratings) "
+    "ELSE least(5.0, greatest(0.0, m + coalesce(a, 0))) END, 6) AS rating_pred, u.user_id IS NOT NULL AND im.item_id IS NOT NULL AS prediction_possible "
+    "FROM requests LEFT JOIN (SELECT DISTINCT user_id FROM ratings) u USING (user_id) LEFT JOIN im USING (item_id) LEFT JOIN ad USING (user_id, item_id)",
+)
+def _(spark, sf):
+    out = T.predict(similarity_model(spark, sf), requests(spark, sf))
+    return out.select("user_id", "item_id", r6("rating_pred"), "prediction_possible")
+
+
+@query(
+    "w1_top5_content_similarity",
+    with_(
+        *_content_sql(20),
+        "p AS (SELECT u.user_id, im.item_id, m + coalesce(a, 0) AS p FROM (SELECT DISTINCT user_id FROM ratings) u CROSS JOIN im "
+        "LEFT JOIN ad ON ad.user_id = u.user_id AND ad.item_id = im.item_id ANTI JOIN ratings r ON r.user_id = u.user_id AND r.item_id = im.item_id)",
+    )
+    + "SELECT user_id, item_id, round(least(5.0, greatest(0.0, p)), 6) AS rating_pred, "
+    "CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, item_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5",
+)
+def _(spark, sf):
+    rows = ratings(spark, sf)
+    return T.recommend(similarity_model(spark, sf), rows, rows, 5).select("user_id", "item_id", r6("rating_pred"), "rank")
+
+
+@query(
+    "m16_train_global_mean",
+    with_(RATINGS, REQUESTS)
+    + "SELECT user_id, item_id, round((SELECT avg(rating) FROM ratings), 6) AS rating_pred, user_id IN (SELECT user_id FROM ratings) "
+    "AND item_id IN (SELECT item_id FROM ratings) AS prediction_possible FROM requests",
+)
+def _(spark, sf):
+    model = T.fit_model("global_mean", ratings(spark, sf))
+    return T.predict(model, requests(spark, sf)).select("user_id", "item_id", r6("rating_pred"), "prediction_possible")
+
+
 @query("s13_model_round_trip", with_(RATINGS, *als_ctes(3)) + "SELECT user_id, round(bu, 6) AS bias FROM bu3")
 def _(spark, sf):
     from ..operators.model import Model

@@ -145,3 +145,12 @@ def replace_users(model: Model, fresh: DataFrame) -> Model:
     users = cut_lineage(old.unionByName(fresh.select(*old.columns)))
     tables = dict(model.tables, users=users)
     return Model(model.kind, tables, dict(model.meta, n_users=users.count()), model.history)
+
+
+def fit_global_mean(ratings: DataFrame, min_rating: float = 0, max_rating: float = 5) -> Model:
+    """The mean of all ratings for every known pair: a bias model whose biases are 0."""
+    rows = training_ratings(ratings)
+    mean, n_users, n_items = rows.agg(F.avg("rating"), F.countDistinct("user_id"), F.countDistinct("item_id")).first()
+    side = lambda key: cut_lineage(rows.select(key).distinct().withColumn("bias", F.lit(0.0)))
+    meta = {"global_mean": mean, "n_users": n_users, "n_items": n_items, "min_rating": min_rating, "max_rating": max_rating}
+    return Model("bias", {"users": side("user_id"), "items": side("item_id")}, meta)

@@ -26,7 +26,7 @@ from .model import Model
 from .neighbors import _sides, predict_neighbors, stored_products
 from .ranking import stable, top_k
 from .recommend import first_unknown_items
-from .similarjoin import expanded, runs
+from .similarjoin import expanded, plain, runs
 
 #: Size of a tile: targets, products of a target block, ratings of a context block.
 TARGETS = 4_000
@@ -45,10 +45,10 @@ class Tile:
     def __init__(self, left: pd.DataFrame, right: pd.DataFrame, n_context: int, k: int):
         self.n_context, self.k = n_context, k
         targets = right[right["kind"] == 1].sort_values("i", ignore_index=True)
-        self.x_ids = targets["i"].to_numpy()
+        self.x_ids = np.asarray(plain(targets["i"]))
         self.mi, self.qi = targets["m"].to_numpy(), targets["q"].to_numpy()
         rated = left[left["kind"] == 0]
-        self.c_ids = np.sort(left.loc[left["kind"] == 1, "c"].unique())
+        self.c_ids = np.sort(np.asarray(plain(left.loc[left["kind"] == 1, "c"].unique())))
         y, y_ids = pd.factorize(rated["j"], sort=True)
         c = pd.Index(self.c_ids).get_indexer(rated["c"])
         order = np.lexsort((y, c))
@@ -164,7 +164,7 @@ class Tile:
 
 def lists_of_tile(left: pd.DataFrame, right: pd.DataFrame, n_context: int, k: int, amount: int, by_context: bool) -> pd.DataFrame:
     """``c, i, score``: the ``amount`` best pairs per context, or per target."""
-    empty = pd.DataFrame({"c": [], "i": [], "score": []})
+    empty = pd.DataFrame({"c": plain([]), "i": plain([]), "score": plain([])})
     if not len(left) or not (right["kind"] == 1).any():
         return empty
     tile = Tile(left, right, n_context, k)
@@ -198,7 +198,7 @@ def lists_of_tile(left: pd.DataFrame, right: pd.DataFrame, n_context: int, k: in
             counts = np.minimum(counts, amount)
             full = np.flatnonzero(counts == amount)
             last[full] = score[np.cumsum(counts)[full] - 1]
-    return pd.DataFrame({"c": tile.c_ids[c], "i": tile.x_ids[x], "score": score})
+    return pd.DataFrame({"c": plain(tile.c_ids[c]), "i": plain(tile.x_ids[x]), "score": score})
 
 
 def recommend_neighbors(model: Model, users: DataFrame, known: DataFrame | None = None, amount: int = 10, bound: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.text import hash_bucket
 from ..session import broadcast_if_small, cut_lineage
 from .model import Model
 from .ranking import stable, top_k
-from .similarjoin import nearest_pruned
+from .similarjoin import nearest_pruned, plain
 
 #: Rows of one (context block, entity block) cell, and products expanded at a time in a task.
 CELL_ROWS = 400_000
@@ -267,7 +267,7 @@ def _score_tiles(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, given, dots = (pdf[pdf["kind"] == n] for n in (0, 1, 2))
         if not len(asked) or not len(given):
-            return pd.DataFrame({"c": [], "i": [], "j": [], "sim": [], "dev": []})
+            return pd.DataFrame({c: plain([]) for c in ("c", "i", "j", "sim", "dev")})
         x, x_ids = pd.factorize(asked["x"], sort=True)
         y, y_ids = pd.factorize(given["y"], sort=True)
         mx, qx, my, qy = np.zeros(len(x_ids)), np.zeros(len(x_ids)), np.zeros(len(y_ids)), np.zeros(len(y_ids))
@@ -299,7 +299,7 @@ def _score_tiles(
                      "sim": chosen[row, place], "dev": deviation[mine][picked]}
                 )
             )
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"c": [], "i": [], "j": [], "sim": [], "dev": []})
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: plain([]) for c in ("c", "i", "j", "sim", "dev")})
 
     schema = (
         f"c {context_type.simpleString()}, i {id_type.simpleString()}, j {id_type.simpleString()}, sim double, dev double"

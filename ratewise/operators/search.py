@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_bucket
 from ..session import broadcast_bytes
 from .ranking import stable, top_k
+from .similarjoin import plain
 
 #: Queries and items per block of the two-sided search, and the vector entries of an item block.
 QUERY_BLOCK = 1_000
@@ -111,8 +112,8 @@ class _Best:
         ids = self.ids
         return pd.DataFrame(
             {
-                "query_id": np.asarray(query_ids)[q],
-                "item_id": [ids[i] for i in self.item[q, place]],
+                "query_id": plain(np.asarray(query_ids)[q]),
+                "item_id": plain([ids[i] for i in self.item[q, place]]),
                 "sim": self.sim[q, place],
             }
         )
@@ -166,7 +167,7 @@ def _search_blocks(queries, items, exclude, k, kind, above, schema, n_queries):
 
     def run(query_block: pd.DataFrame, item_block: pd.DataFrame) -> pd.DataFrame:
         if not len(query_block) or not len(item_block):
-            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
+            return pd.DataFrame({"query_id": plain([]), "item_id": plain([]), "sim": plain([])})
         query_block = query_block.rename(columns={a: c for c, a in names.items()})
         query_ids = query_block["query_id"].to_numpy()
         best = _Best(len(query_block), k, above)

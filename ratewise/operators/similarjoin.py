@@ -54,6 +54,12 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts), row
 
 
+def plain(ids) -> pd.Series:
+    """Ids as a column that Arrow takes as one piece, whatever their type; an empty one of numbers it would not take for strings."""
+    values = np.asarray(ids)
+    return pd.Series(values, dtype=values.dtype if len(values) and values.dtype.kind in "biuf" else object)
+
+
 def best_of_blocks(left: pd.DataFrame, right: pd.DataFrame, n_context: int, k: int) -> pd.DataFrame:
     """At most k rows per entity of ``left``: its most similar ones in ``right`` that share a rater.
 
@@ -100,7 +106,7 @@ def best_of_blocks(left: pd.DataFrame, right: pd.DataFrame, n_context: int, k: i
         best = np.argsort(-np.where(np.isfinite(sim), rounded, -np.inf), axis=1, kind="stable")[:, :k]
         chosen = np.take_along_axis(sim, best, axis=1)
         row, place = np.nonzero(np.isfinite(chosen))
-        out.append(pd.DataFrame({"id": np.asarray(a_ids)[low + row], "neighbor": np.asarray(b_ids)[best[row, place]], "sim": chosen[row, place]}))
+        out.append(pd.DataFrame({"id": plain(np.asarray(a_ids)[low + row]), "neighbor": plain(np.asarray(b_ids)[best[row, place]]), "sim": chosen[row, place]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -173,7 +179,7 @@ def nearest_pruned(ratings: DataFrame, stats: DataFrame, entity: str, context: s
 
             def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 if not len(left) or not len(right):
-                    return pd.DataFrame({n: [] for n in FOUND})
+                    return pd.DataFrame({n: plain([]) for n in FOUND})
                 return best_of_blocks(left, right.rename(columns=lambda c: c.removeprefix("_g_")), n_context, k)
 
             parts.append(asked.groupBy("_a", "_b").cogroup(given.groupBy("_g__a", "_g_block")).applyInPandas(run, schema))

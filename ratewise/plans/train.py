@@ -17,10 +17,14 @@ PRESETS = {
     "kernel_mf": dict(n_factors=50, n_epochs=30, kernel="linear", lr=0.01, reg=0.02),
     "item_cf": dict(axis="item", n_neighbors=50),
     "user_cf": dict(axis="user", n_neighbors=50),
+    "linear_als": dict(n_factors=20, n_epochs=10, reg=0.1),
+    "content": {},
+    "global_mean": {},
 }
 _FIT = {
     "baseline": bias.fit_bias, "kernel_mf": factors.fit_factors,
     "item_cf": neighbors.fit_neighbors, "user_cf": neighbors.fit_neighbors,
+    "linear_als": factors.fit_linear_als, "content": content.fit_content, "global_mean": bias.fit_global_mean,
 }
 
 

@@ -120,3 +120,18 @@ def test_only_promising_pairs_are_scored(spark, monkeypatch):
     bound = tile.bounds(0, 80)
     c, x = np.indices(bound.shape)
     assert (tile.exact(c.ravel(), x.ravel()) <= bound.ravel() + 1e-9).all()
+
+
+def test_all_models_through_the_dispatcher(spark, small_ratings):
+    features = spark.createDataFrame([("i1", "f", 1.0), ("i2", "f", 1.0), ("i2", "g", 1.0), ("i3", "g", 2.0)], "item_id string, feature string, value double")
+    asked = spark.createDataFrame([("u2", "i2"), ("u2", "i3"), ("u9", "i1")], "user_id string, item_id string")
+    fits = {n: T.fit_model(n, small_ratings, **({"n_epochs": 1} if n == "linear_als" else {})) for n in ("item_cf", "linear_als", "global_mean")}
+    for model in fits.values():  # string ids, and tasks that return no rows
+        assert T.recommend(model, asked, small_ratings, 2).count() > 0
+    assert {r["rating_pred"] for r in T.predict(fits["global_mean"], asked).collect()} == {4.0}
+    model = T.fit_model("content", small_ratings, features=features, mode="similarity", n_neighbors=2)
+    got = {(r["user_id"], r["item_id"]): (r["rating_pred"], r["prediction_possible"]) for r in T.predict(model, asked).collect()}
+    # i2's only rated similar item is i1, 0.5 below its mean; i3 is similar to i2 only, which u2 has not rated
+    assert got == {("u2", "i2"): (2.5, True), ("u2", "i3"): (4.0, True), ("u9", "i1"): (4.0, False)}
+    lists = as_lists(T.recommend(model, asked, small_ratings, 2), "user_id", ("item_id", "rating_pred"))
+    assert lists == {"u2": [("i3", 4.0), ("i2", 2.5)], "u9": [("i1", 4.0), ("i2", 4.0)]}
