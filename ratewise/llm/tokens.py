@@ -392,7 +392,6 @@ def fetch(found: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     rows = found.join(broadcast_if_small(starts, len(about["shards"]), 16), "shard").repartition(parts, "shard").sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # writing is over: workers live on, the words they remember need not
         fs, root = open_fs(folder)
         opened, file = -1, None
         for b in batches:
