@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,3 +78,11 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def rows_sum(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(row, weights=weights, minlength=n).astype(np.int64)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and both allocators keep what they once got."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
-from .arrowtext import Words, mix, slices, texts
+from .arrowtext import Words, give_back, mix, slices, texts
 
 BUCKET = 4096
 GAMMA = 2.0
@@ -205,6 +205,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed
         if out is not None:
             out.close()
             fs.move(own, f"{root}/shard-{shard:06d}.bin")
+            give_back()
 
     ledger = cut_lineage(ranged.mapInArrow(run, LEDGER))
     return _finish(ledger, folder, dtype, end_id)
@@ -392,6 +393,8 @@ def fetch(found: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     rows = found.join(broadcast_if_small(starts, len(about["shards"]), 16), "shard").repartition(parts, "shard").sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # writing is over: the words that workers remember need not live on with them
+        give_back()
         fs, root = open_fs(folder)
         opened, file = -1, None
         for b in batches:
