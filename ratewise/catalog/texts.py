@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import recipes as R
 from ..functions import text as X
 from ..operators import rerank
+from ..operators.cells import fit_cells, search_cells
 from ..operators.diversify import select_diverse
 from ..operators.judge import judge
 from ..operators.metrics import intra_list_diversity
@@ -131,21 +132,30 @@ def _(spark, sf):
     return found.select("query_id", "item_id", r6("sim"), "rank")
 
 
-@query(
-    "t4_j10_dense_top10",
+_DENSE_TOP10 = (
     with_(
         "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)",
         "s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, sum(a.x * b.x) AS sim FROM v a JOIN v b USING (d) GROUP BY 1, 2)",
     )
     + "SELECT query_id, item_id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, item_id) AS INTEGER) AS rank "
-    "FROM s QUALIFY rank <= 10",
+    "FROM s QUALIFY rank <= 10"
 )
+
+
+@query("t4_j10_dense_top10", _DENSE_TOP10)
 def _(spark, sf):
     items = embeddings(spark, sf).withColumnRenamed("embedding", "vec")
     found = search_topk(items.withColumnRenamed("item_id", "query_id"), items, 10, "dense")
     return found.select("query_id", "item_id", r6("sim"), "rank")
 
 
+@query("t4_j10_cells_top10", _DENSE_TOP10)
+def _(spark, sf):
+    items = embeddings(spark, sf).withColumnRenamed("embedding", "vec")
+    found = search_cells(fit_cells(items, 64), items.withColumnRenamed("item_id", "query_id"), 10, exact=True)
+    return found.select("query_id", "item_id", r6("sim"), "rank")
+
+
 @query(
     "t6_w5_keyword_enrichment",
     with_(

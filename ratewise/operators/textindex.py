@@ -9,8 +9,9 @@ from ..contracts import as_items
 from ..functions.kernels import unit
 from ..functions.text import ENGLISH_STOP_WORDS, ngrams, summary, tokens
 from ..session import broadcast_if_small, cut_lineage, spread
+from .cells import fit_cells, search_cells
 from .model import Model
-from .ranking import rank_rows
+from .ranking import rank_rows, stable
 from .search import search_topk
 
 
@@ -97,16 +98,20 @@ def postings(index: Model) -> DataFrame:
     )
 
 
-def dense_index(items: DataFrame, embeddings: DataFrame) -> Model:
-    """Index over stored vectors: items without a vector drop out; nothing left is an error."""
+def dense_index(items: DataFrame, embeddings: DataFrame, cells: int | None = None) -> Model:
+    """Index over stored vectors: items without a vector drop out; nothing left is an error.
+
+    ``cells`` adds that many cells for approximate search.
+    """
     rows = as_items(items).join(embeddings.select("item_id", F.col("embedding").alias("vec")), "item_id")
     if not rows.limit(1).collect():
         raise ValueError("no item has an embedding; do the item_id columns match?")
-    return Model(
-        "index",
-        {"vectors": rows.select("item_id", "vec"), "texts": rows.select("item_id", "text")},
-        {"index_type": "dense"},
-    )
+    vectors = rows.select("item_id", "vec")
+    tables, meta = {"vectors": vectors, "texts": rows.select("item_id", "text")}, {"index_type": "dense"}
+    if cells is not None:
+        packed = fit_cells(vectors, cells)
+        tables, meta = tables | packed.tables, meta | packed.meta
+    return Model("index", tables, meta)
 
 
 def load_index(spark: SparkSession, path: str) -> Model:
@@ -129,11 +134,21 @@ def normalize_embeddings(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("item_id", unit("embedding").cast("array<float>").alias("embedding"))
 
 
-def search(index: Model, queries: DataFrame, k: int, fill: bool | None = None) -> DataFrame:
-    """Top-k items per query. Queries hold ``query_id, text`` (tfidf) or ``query_id, vec`` (dense)."""
+def search(
+    index: Model, queries: DataFrame, k: int, fill: bool | None = None, approximate: bool = False, probes: int = 16
+) -> DataFrame:
+    """Top-k items per query. Queries hold ``query_id, text`` (tfidf) or ``query_id, vec`` (dense).
+
+    ``approximate`` looks only into the ``probes`` most promising cells of a dense index that has cells.
+    """
+    if approximate and "blocks" not in index.tables:
+        raise ValueError("approximate search needs a dense index with cells")
     if index.meta.get("index_type", "dense") == "dense":
         if "vec" not in queries.columns:
             raise ValueError("a dense index needs query vectors (query_id, vec)")
+        if approximate:
+            found = search_cells(index, queries, k, probes)
+            return found.filter(stable("sim") > 0) if fill is False else found
         return search_topk(queries, index.tables["vectors"], k, "dense", fill)
     vectors = encode(queries.select("query_id", "text"), index.tables["vocabulary"], index.meta, "query_id")
     return search_topk(vectors, index.tables["vectors"], k, "sparse", fill)
