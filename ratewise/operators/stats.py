@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..contracts import as_ratings
 from ..functions.text import col, strip
+from ..session import broadcast_if_small
+from .quantiles import exact_percentiles
 
 
 def rating_features(ratings: DataFrame, side: str) -> DataFrame:
@@ -83,22 +85,28 @@ def describe(
     approximate: bool = False,
 ) -> DataFrame:
     """Count, mean, deviation, min, percentiles and max of each measure, one row per measure."""
-    quantile = F.percentile_approx if approximate else F.percentile
-    fields = []
-    for measure in measures:
-        fields.append(
-            F.struct(
-                F.lit(measure).alias("measure"),
-                F.count(measure).alias("n"),
-                F.avg(measure).alias("mean"),
-                F.stddev_samp(measure).alias("std"),
-                F.min(measure).cast("double").alias("min"),
-                *[quantile(F.col(measure), p).cast("double").alias(f"p{round(p * 100)}") for p in percentiles],
-                F.max(measure).cast("double").alias("max"),
-            ).alias(measure)
-        )
-    wide = df.select(*[c.alias(m) for m, c in measures.items()]).agg(*fields)
-    return wide.select(F.inline(F.array(*[F.col(m) for m in measures])))
+    plain = [
+        F.struct(
+            F.lit(measure).alias("measure"),
+            F.count(measure).alias("n"),
+            F.avg(measure).alias("mean"),
+            F.stddev_samp(measure).alias("std"),
+            F.min(measure).cast("double").alias("min"),
+            F.max(measure).cast("double").alias("max"),
+            *([F.percentile_approx(measure, list(percentiles)).cast("array<double>").alias("quantiles")] if approximate else []),
+        ).alias(measure)
+        for measure in measures
+    ]
+    wide = df.select(*[c.alias(m) for m, c in measures.items()])
+    rows = wide.agg(*plain).select(F.inline(F.array(*[F.col(m) for m in measures])))
+    if not approximate:
+        found = exact_percentiles(wide, {m: F.col(m) for m in measures}, list(percentiles))
+        rows = rows.join(broadcast_if_small(found, len(measures), 64 + 8 * len(percentiles)), "measure", "left")
+    return rows.select(
+        "measure", "n", "mean", "std", "min",
+        *[F.col("quantiles")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(percentiles)],
+        "max",
+    )
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -148,32 +156,39 @@ def rating_distribution(ratings: DataFrame) -> DataFrame:
 def data_health(ratings: DataFrame, head_share: float = 0.2, cold_below: int = 5) -> DataFrame:
     """Sparsity, share of the ratings held by the most rated items, share of cold users.
 
-    The long-tail share needs the items in order of popularity. Items with equal counts are
-    interchangeable, so it runs over the histogram "count -> number of items": with R ratings
-    that has at most sqrt(2R) rows, small enough for one ordered window.
+    All figures follow from two histograms "count -> number of items" and "count -> number of users".
+    Ids with equal counts are interchangeable, and with R ratings a histogram has at most sqrt(2R)
+    rows, small enough for one ordered window. Without ratings the shares and the sparsity are null.
     """
-    per_item = popularity(ratings)
-    histogram = per_item.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    n_items = per_item.agg(F.count(F.lit(1))).scalar()
-    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    head = histogram.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    head = head.withColumn("_limit", F.ceil(n_items * F.lit(head_share)))
-    taken = F.greatest(F.lit(0), F.least(F.col("m"), F.col("_limit") - F.col("_before")))
-    head_share_col = head.agg(
-        F.sum(F.col("n") * taken).cast("double") / F.sum(F.col("n") * F.col("m"))
-    ).scalar()
-    per_user = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    cold = per_user.agg(F.avg((F.col("n") < cold_below).cast("double"))).scalar()
-    totals = ratings.agg(
-        F.count(F.lit(1)).alias("n_ratings"),
-        F.countDistinct("user_id").alias("n_users"),
-        F.countDistinct("item_id").alias("n_items"),
+    items, users = (
+        ratings.groupBy(key).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(
+            F.count(F.lit(1)).alias("m"), F.count(key).alias("known")
+        )
+        for key in ("item_id", "user_id")
     )
-    cells = F.col("n_users").cast("double") * F.col("n_items")
-    return (
-        totals.withColumn("sparsity", 1.0 - F.col("n_ratings") / cells)
-        .withColumn("head_item_share", head_share_col)
-        .withColumn("cold_user_share", cold)
+    whole = Window.orderBy(F.desc("n"))
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    everything = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.ceil(F.sum("m").over(everything) * F.lit(head_share)) - F.coalesce(F.sum("m").over(before), F.lit(0))
+    head = items.withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("m"), left)))
+    total = F.sum(F.col("n") * F.col("m"))
+    of_items = head.agg(
+        F.struct(
+            F.coalesce(F.sum("known"), F.lit(0)).alias("n_items"),
+            F.try_divide(F.sum(F.col("n") * F.col("_taken")).cast("double"), total).alias("head_item_share"),
+        )
+    ).scalar()
+    cold = F.sum(F.when(F.col("n") < cold_below, F.col("m")).otherwise(0)).cast("double")
+    row = users.agg(
+        F.coalesce(total, F.lit(0)).alias("n_ratings"),
+        F.coalesce(F.sum("known"), F.lit(0)).alias("n_users"),
+        F.try_divide(cold, F.sum("m")).alias("cold_user_share"),
+    ).withColumn("_items", of_items)
+    cells = F.col("n_users").cast("double") * F.col("_items.n_items")
+    return row.select(
+        "n_ratings", "n_users", F.col("_items.n_items").alias("n_items"),
+        (1.0 - F.try_divide(F.col("n_ratings").cast("double"), cells)).alias("sparsity"),
+        F.col("_items.head_item_share").alias("head_item_share"), "cold_user_share",
     )
 
 
