@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import rerank
 from ..operators.cells import fit_cells, search_cells
 from ..operators.diversify import select_diverse
-from ..operators.judge import judge
+from ..operators.judge import AVOID_HIT, MUST_MISS, judge, sanitize_violations
 from ..operators.metrics import intra_list_diversity
 from ..operators.ranking import blend, minmax, stable, top_k
 from ..operators.recipes import recipe_metadata
@@ -573,3 +573,21 @@ def _(spark, sf):
         F.floor(F.col("item_id") / 8).alias("list_id"), R.ingredient_phrases("text").alias("ingredients")
     )
     return intra_list_diversity(rows, "list_id").select("list_id", "n_items", r6("diversity"))
+
+
+@query(
+    "e16_outside_labels",
+    with_(
+        "j AS (SELECT doc_id, doc_id % 2 = 0 AS has_must, doc_id % 3 = 0 AS has_avoid, text LIKE '%a%' AS one, text LIKE '%e%' AS two FROM documents)",
+    )
+    + f"SELECT doc_id, concat_ws(',', CASE WHEN one AND has_must THEN '{MUST_MISS}' END, CASE WHEN two AND has_avoid THEN '{AVOID_HIT}' END, 'tone') AS labels FROM j",
+)
+def _(spark, sf):
+    """Labels of another judge, which also names constraints that a case does not have."""
+    given = lambda share: F.when(F.col("doc_id") % share == 0, F.array(F.lit("egg"))).otherwise(F.array().cast("array<string>"))
+    found = F.filter(
+        F.array(F.when(F.contains("text", F.lit("a")), F.lit(MUST_MISS)), F.when(F.contains("text", F.lit("e")), F.lit(AVOID_HIT)), F.lit("tone")),
+        lambda x: x.isNotNull(),
+    )
+    cases = table(spark, sf, "documents").select("doc_id", given(2).alias("must"), given(3).alias("avoid"), found.alias("found"))
+    return cases.select("doc_id", F.array_join(sanitize_violations("found", "must", "avoid"), ",").alias("labels"))
