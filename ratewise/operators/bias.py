@@ -121,7 +121,12 @@ def predict_bias(model: Model, pairs: DataFrame, bound: bool = True) -> DataFram
 
 
 def update_bias_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20) -> Model:
-    """Fit the users in ``ratings`` anew, items frozen; all their ratings must be passed.
+    """Fit the users in ``ratings`` anew, items frozen; all their ratings must be passed."""
+    return replace_users(model, fold_bias_users(model, ratings, lr, n_epochs))
+
+
+def fold_bias_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20) -> DataFrame:
+    """New ``user_id, bias`` of the users in ``ratings``.
 
     With fixed items the epochs only repeat the same contraction, so n epochs of the expected
     update collapse into one closed form with exponent ``n_epochs * n``: a single aggregation.
@@ -134,8 +139,7 @@ def update_bias_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epoc
         F.count(F.lit(1)).alias("n"), F.avg(residual).alias("m")
     )
     decay = F.pow(F.lit(1.0 - lr * (1.0 + reg)), F.col("n") * n_epochs)
-    fresh = sums.select("user_id", ((1.0 - decay) / F.lit(1.0 + reg) * F.col("m")).alias("bias"))
-    return replace_users(model, fresh)
+    return sums.select("user_id", ((1.0 - decay) / F.lit(1.0 + reg) * F.col("m")).alias("bias"))
 
 
 def replace_users(model: Model, fresh: DataFrame) -> Model:

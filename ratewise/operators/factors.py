@@ -26,6 +26,7 @@ from ..contracts import training_ratings
 from ..functions.kernels import KERNELS, dot, kernel_score
 from ..functions.text import col, hash_bucket, hash_order
 from ..session import broadcast_if_small, cut_lineage
+from . import longfold
 from .bias import replace_users
 from .filters import known_only
 from .model import Model, attach_params
@@ -264,27 +265,51 @@ def recommend_factors(
 
 
 def update_factor_users(
-    model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, seed: int = 42, chunk: int | None = None
+    model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, seed: int = 42, chunk: int | None = None,
+    method: str = "sgd", part: int = longfold.PART,
 ) -> Model:
-    """Fit the users in ``ratings`` from a fresh start, items frozen; unknown items are dropped.
+    """Fit the users in ``ratings`` from a fresh start, items frozen; see ``fold_factor_users``."""
+    updated = replace_users(model, fold_factor_users(model, ratings, lr, n_epochs, seed, chunk, method, part))
+    updated.meta.update(fold_chunk=chunk, fold_method=method)
+    return updated
+
+
+def fold_factor_users(
+    model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, seed: int = 42, chunk: int | None = None,
+    method: str = "sgd", part: int = longfold.PART,
+) -> DataFrame:
+    """New ``user_id, bias, factors`` of the users in ``ratings``, items frozen; unknown items are dropped.
 
-    Given the items, users do not depend on each other. Each runs plain SGD over its ratings, in
+    ``sgd``: given the items, users do not depend on each other. Each runs plain SGD over its ratings, in
     an order that follows from the seed, the epoch and the user's own ratings, whoever else is in
     the batch; a task steps many users at once, one rating per user and round. A history is one
     row of (factors + 2) doubles per rating. ``chunk`` asks for histories to be cut into parts of
     about that many ratings, whose parameters are averaged by their number of ratings (parallel
     SGD, Zinkevich et al. 2010); it is another method, so only the caller chooses it.
+
+    ``expected``: the expected value of the same steps in closed form, from sums over the history
+    (``longfold``). For the linear kernel only. No order, no row that grows with the history, and
+    more than ``part`` ratings of a user are added up by several tasks.
     """
+    if method not in ("sgd", "expected"):
+        raise ValueError("method must be sgd or expected")
     meta = dict(model.meta, lr=lr)
+    start = random_normals("user_id", meta["n_factors"], meta["init_mean"], meta["init_sd"], seed)
     rows = known_only(training_ratings(ratings), model.items(), "item_id")
-    lengths = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    if method == "expected":
+        if meta["kernel"] != "linear" or chunk is not None:
+            raise ValueError("the expected pass needs the linear kernel and no chunk")
+        return longfold.fold_by_sums(rows, model.items(), meta["n_items"], meta, start, lr, n_epochs, part)
     fixed = broadcast_if_small(
         model.items().select("item_id", "bias", "factors"), meta["n_items"], 32 + 8 * meta["n_factors"]
     )
+    if chunk is None:
+        rows = rows.withColumn("_c", F.lit(0))
+    else:
+        lengths = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.join(lengths, "user_id").withColumn("_c", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("_n") / chunk)))
     chunks = (
-        rows.join(lengths, "user_id")
-        .withColumn("_c", F.lit(0) if chunk is None else F.pmod(F.xxhash64("item_id"), F.ceil(F.col("_n") / chunk)))
-        .join(fixed, "item_id")
+        rows.join(fixed, "item_id")
         .groupBy("user_id", "_c")
         .agg(
             F.array_sort(
@@ -299,8 +324,7 @@ def update_factor_users(
     )
     chunks = chunks.select(
         "user_id", F.transform("v", lambda x: x["r"]).alias("r"), F.transform("v", lambda x: x["b"]).alias("b"),
-        F.flatten(F.transform("v", lambda x: x["q"])).alias("q"),
-        random_normals("user_id", meta["n_factors"], meta["init_mean"], meta["init_sd"], seed).alias("start"),
+        F.flatten(F.transform("v", lambda x: x["q"])).alias("q"), start.alias("start"),
     )
     id_type = model.users().schema["user_id"].dataType.simpleString()
 
@@ -309,21 +333,20 @@ def update_factor_users(
             yield _fold_users(meta, batch, n_epochs, seed)
 
     fitted = chunks.mapInPandas(run, f"user_id {id_type}, n long, bias double, factors array<double>")
+    if chunk is None:
+        return fitted.select("user_id", "bias", "factors")
     parts = fitted.select(
         "user_id", "n", (F.col("bias") * F.col("n")).alias("b"), F.posexplode("factors").alias("f", "x")
     )
     per_factor = parts.groupBy("user_id", "f").agg(
         F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum(F.col("x") * F.col("n")).alias("x")
     )
-    fresh = per_factor.groupBy("user_id").agg(
+    return per_factor.groupBy("user_id").agg(
         F.max(F.col("b") / F.col("n")).alias("bias"),
         F.transform(
             F.array_sort(F.collect_list(F.struct("f", (F.col("x") / F.col("n")).alias("v")))), lambda y: y["v"]
         ).alias("factors"),
     )
-    updated = replace_users(model, fresh)
-    updated.meta["fold_chunk"] = chunk
-    return updated
 
 
 def _fold_users(meta: dict, batch: pd.DataFrame, n_epochs: int, seed: int) -> pd.DataFrame:

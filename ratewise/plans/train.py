@@ -79,13 +79,23 @@ def recommend(
     return out if include_user else out.drop("user_id")
 
 
-def update_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20) -> Model:
+def update_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, **options) -> Model:
     """Fold in new or changed users; pass all ratings of each of them."""
     check_unique_pairs(ratings)
     if model.kind == "bias":
-        return bias.update_bias_users(model, ratings, lr, n_epochs)
+        return bias.update_bias_users(model, ratings, lr, n_epochs, **options)
     if model.kind == "kernel_mf":
-        return factors.update_factor_users(model, ratings, lr, n_epochs)
+        return factors.update_factor_users(model, ratings, lr, n_epochs, **options)
+    raise ValueError(f"{model.kind} models are refitted, not updated")
+
+
+def fold_users(model: Model, ratings: DataFrame, lr: float = 0.01, n_epochs: int = 20, **options) -> DataFrame:
+    """The new parameters of the users in ``ratings`` alone; ``options`` go to ``fold_factor_users``."""
+    check_unique_pairs(ratings)
+    if model.kind == "bias":
+        return bias.fold_bias_users(model, ratings, lr, n_epochs, **options)
+    if model.kind == "kernel_mf":
+        return factors.fold_factor_users(model, ratings, lr, n_epochs, **options)
     raise ValueError(f"{model.kind} models are refitted, not updated")
 
 
