@@ -14,7 +14,7 @@ from .base import (
     EMBEDDINGS, RATINGS, TRAIN_TEST, als_ctes, bucket_sql, embeddings, hash_sql, query, r6, ratings, scratch, shared, table, with_,
 )
 from .data import cohort_ctes
-from .models import als3, als_train2
+from .models import als3, als_train2, fold_items_model, fold_steps_sql, folded_columns
 
 _MODEL = [RATINGS, *TRAIN_TEST, *als_ctes(2, source="train")]
 _CLIPPED = "least(5.0, greatest(0.0, (SELECT m FROM mu) + coalesce(bu, 0) + coalesce(bi, 0)))"
@@ -368,3 +368,26 @@ def _(spark, sf):
     started = job.start(stream, f"{folder}/stream")
     started.awaitTermination()
     return job.current(spark).users().select("user_id", r6("bias"))
+
+
+@query(
+    "q1_stream_factors",
+    "WITH RECURSIVE ev AS (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS item_id, "
+    "max(1 + event_id % 5)::DOUBLE AS rating FROM events GROUP BY 1, 2),\n" + fold_steps_sql("ev"),
+)
+def _(spark, sf):
+    """Factors of the events' users after two micro batches with a merge of the first in between."""
+    folder = scratch(spark, sf, "foldin-factors")
+    events = table(spark, sf, "events").select(
+        "event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"),
+        (1 + F.col("event_id") % 5).cast("double").alias("rating"),
+    )
+    arriving = ["user_id", "item_id", "rating"]
+    job = UserFoldIn(fold_items_model(spark, sf), f"{folder}/state", 0.01, 2, buckets=8, method="expected")
+    for half in range(2):  # what comes first is folded, merged, and folded again with the rest
+        events.filter(F.col("event_id") % 2 == half).select(*arriving).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.select(*arriving).schema).parquet(f"{folder}/in")
+        job.start(stream, f"{folder}/progress").awaitTermination()
+        if half == 0:
+            job.compact(spark)
+    return folded_columns(job.current(spark).users())

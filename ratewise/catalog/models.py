@@ -516,6 +516,55 @@ def _(spark, sf):
     return T.update_users(_trained(spark, sf, "linear"), changed, 0.01, 20).users()
 
 
+def fold_items_model(spark, sf):
+    """Parts with two given factors and customers with a given one, to check the fold alone."""
+    from ..operators.model import Model
+
+    part = table(spark, sf, "part")
+    centred = lambda column, modulus, scale: (F.col(column) % modulus - modulus // 2) / scale
+    items = part.select(
+        F.col("p_partkey").alias("item_id"), centred("p_partkey", 11, 20.0).alias("bias"),
+        F.array(centred("p_size", 7, 5.0), centred("p_partkey", 13, 10.0)).alias("factors"),
+    )
+    users = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.lit(0.5).alias("bias"), F.array(F.lit(0.2), F.lit(-0.2)).alias("factors")
+    )
+    meta = {
+        "kernel": "linear", "n_factors": 2, "gamma": 0.5, "global_mean": 3.0, "min_rating": 1, "max_rating": 5,
+        "n_users": users.count(), "n_items": items.count(), "lr": 0.01, "reg": 0.02, "init_mean": 0.1, "init_sd": 0.0,
+    }
+    return Model("kernel_mf", {"users": users, "items": items}, meta)
+
+
+def fold_steps_sql(rated: str) -> str:
+    """All expected steps, one by one, for the table ``rated`` (user_id, item_id, rating)."""
+    ctes = [
+        "it AS (SELECT p_partkey AS item_id, (p_partkey % 11 - 5) / 20.0 AS b, (p_size % 7 - 3) / 5.0 AS q, (p_partkey % 13 - 6) / 10.0 AS w FROM part)",
+        f"x AS (SELECT user_id, q::DOUBLE AS q, w::DOUBLE AS w, (rating - 3.0 - b)::DOUBLE AS y FROM {rated} JOIN it USING (item_id))",
+        "m AS (SELECT user_id, count(*) AS n, avg(q) AS q1, avg(w) AS w1, avg(q * q) AS qq, avg(q * w) AS qw, avg(w * w) AS ww, "
+        "avg(y) AS y1, avg(q * y) AS qy, avg(w * y) AS wy FROM x GROUP BY 1)",
+        "t AS (SELECT user_id, 0 AS k, 0.0::DOUBLE AS b, 0.1::DOUBLE AS f, 0.1::DOUBLE AS g FROM m UNION ALL "
+        "SELECT user_id, k + 1, b - 0.01 * (b + q1 * f + w1 * g - y1 + 0.02 * b), f - 0.01 * (q1 * b + qq * f + qw * g - qy + 0.02 * f), "
+        "g - 0.01 * (w1 * b + qw * f + ww * g - wy + 0.02 * g) FROM t JOIN m USING (user_id) WHERE k < 2 * n)",
+    ]
+    return ",\n".join(ctes) + (
+        "\nSELECT user_id, round(b, 6) AS bias, round(f, 6) AS factor_1, round(g, 6) AS factor_2 FROM t JOIN m USING (user_id) WHERE k = 2 * n "
+        "UNION ALL SELECT c_custkey, 0.5, 0.2, -0.2 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM m)"
+    )
+
+
+def folded_columns(users):
+    vector = F.col("factors")
+    return users.select("user_id", r6("bias"), r6(vector[0], "factor_1"), r6(vector[1], "factor_2"))
+
+
+@query("m7_fold_factors_by_sums", f"WITH RECURSIVE {RATINGS},\n" + fold_steps_sql("ratings"))
+def _(spark, sf):
+    """All customers, from sums over their whole histories."""
+    folded = T.update_users(fold_items_model(spark, sf), ratings(spark, sf), 0.01, 2, method="expected")
+    return folded_columns(folded.users())
+
+
 @query(
     "m16_train_dispatcher",
     with_(RATINGS, REQUESTS, *_sgd_ctes(2, 0.02, 0.01))
