@@ -83,3 +83,15 @@ def test_expected_factors_by_stream(spark, random_ratings, tmp_path):
     assert params(job.current(spark)) == pytest.approx(params(want))
     got, expected = vectors(job.current(spark)), vectors(want)
     assert got.keys() == expected.keys() and all(got[u] == pytest.approx(expected[u]) for u in got)
+
+
+def test_empty_batches_change_nothing(spark, random_ratings, tmp_path):
+    ratings, _ = random_ratings
+    model = bias.fit_bias(ratings.filter("user_id < 18"), "als", 2, 1.0)
+    job = UserFoldIn(model, str(tmp_path / "state"), buckets=4)
+    job.process(ratings.limit(0), 0)
+    assert params(job.current(spark)) == pytest.approx(params(model))
+    assert job.compact(spark) == 0
+    job.process(ratings.filter("user_id >= 18"), 1)
+    job.process(ratings.limit(0), 2)
+    assert params(job.current(spark)) == pytest.approx(params(T.update_users(model, ratings.filter("user_id >= 18"))))
