@@ -52,6 +52,37 @@ def test_excluded_pairs(spark, vectors):
     assert {(r["query_id"], r["rank"]): (r["item_id"], r["sim"]) for r in got} == brute(scores, 5, True, skip)
 
 
+@pytest.mark.parametrize("fill", [True, False])
+def test_equal_vectors_are_searched_once(spark, vectors, monkeypatch, fill):
+    queries, items, _ = vectors
+    items = items.unionByName(items.withColumn("item_id", 60 + 3 * F.col("item_id"))).unionByName(items.withColumn("item_id", 61 + 3 * F.col("item_id")))
+    queries = queries.unionByName(queries.withColumn("query_id", 40 - F.col("query_id")))
+    rows = lambda df: [r["vec"] for r in sorted(df.collect())]
+    ids = lambda df, key: sorted(r[key] for r in df.collect())
+    scores = np.array(rows(queries)) @ np.array(rows(items)).T
+    sent, real = [], S._search_blocks
+    monkeypatch.setattr(S, "_search_blocks", lambda q, i, *more: sent.append((q.count(), i.count())) or real(q, i, *more))
+    monkeypatch.setattr(S, "QUERY_BLOCK", 3)
+    got = S.search_topk(sparse(queries, "query_id"), sparse(items, "item_id"), 7, "sparse", fill).collect()
+    q_ids, i_ids = ids(queries, "query_id"), ids(items, "item_id")
+    want = {(q_ids[q], n): (i_ids[i], sim) for (q, n), (i, sim) in brute(scores, 7, fill).items()}
+    assert {(r["query_id"], r["rank"]): (r["item_id"], r["sim"]) for r in got} == want
+    assert sent and all(q <= 12 and i <= 60 for q, i in sent)
+
+
+def test_a_block_of_items_is_sent_to_few_blocks_of_queries(spark, vectors, monkeypatch):
+    """Items used to be copied once per QUERY_BLOCK queries."""
+    queries, items, scores = vectors
+    monkeypatch.setattr(S, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(S, "QUERIES_SENT", 12)
+    monkeypatch.setattr(S, "ITEM_BLOCK", 2)
+    cut = []
+    monkeypatch.setattr(S, "hash_bucket", lambda seed, n, *c, real=S.hash_bucket: cut.append((seed, n)) or real(seed, n, *c))
+    got = S.search_topk(queries, items, 4, "dense").collect()
+    assert {(r["query_id"], r["rank"]): (r["item_id"], r["sim"]) for r in got} == brute(scores, 4, True)
+    assert ("q", 1) in cut
+
+
 def test_edges_of_k(vectors):
     queries, items, _ = vectors
     assert S.search_topk(queries, items, 0).count() == 0
