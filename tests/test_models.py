@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ratewise.operators import bias, content, factors, neighbors
+from ratewise.operators import bias, content, factors, histories, neighbors
 from ratewise.operators.model import Model
 from ratewise.plans import train as T
 
@@ -151,6 +151,44 @@ def test_products_do_not_depend_on_the_blocks(random_ratings, monkeypatch, cell_
     assert got == want
 
 
+@pytest.mark.parametrize("block, expand", [(10, 4_000_000), (30, 7), (1, 50)])
+def test_products_of_histories_are_complete_in_their_block(random_ratings, monkeypatch, block, expand):
+    """Cells of contexts used to give a row per pair and cell, which were shuffled again to be added up."""
+    ratings, dense = random_ratings
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(histories, "BLOCK_RATINGS", block)
+    monkeypatch.setattr(histories, "EXPAND", expand)
+    products = neighbors.common_products(ratings, "item")
+    gram = dense.T @ dense
+    want = {(a, b): gram[a, b] for a in range(18) for b in range(a + 1, 18) if gram[a, b] != 0}
+    assert {(r["id_a"], r["id_b"]): r["dot"] for r in products.collect()} == want
+    assert "FlatMapGroupsInPandas" in products._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
+@pytest.mark.parametrize("axis", ["item", "user"])
+def test_predictions_make_only_the_products_they_meet(spark, random_ratings, monkeypatch, axis):
+    ratings, _ = random_ratings
+    pairs = spark.createDataFrame([(u, i) for u in range(0, 27, 2) for i in range(1, 20, 3)], "user_id long, item_id long")
+    rows = lambda df: {(r[0], r[1]): (round(r[2], 9), r[3]) for r in df.collect()}
+    want = rows(neighbors.predict_neighbors(neighbors.fit_neighbors(ratings, axis, 4), pairs))
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(histories, "BLOCK_RATINGS", 30)
+    model = neighbors.fit_neighbors(ratings, axis, 4)
+    assert rows(neighbors.predict_neighbors(model, pairs)) == want
+    assert "products_stored" not in model.meta
+
+
+@pytest.mark.parametrize("longest", [20_000, 5])
+def test_names_as_ids_and_long_histories(spark, random_ratings, monkeypatch, longest):
+    ratings, dense = random_ratings
+    named = ratings.selectExpr("user_id", "concat('i', item_id) AS item_id", "rating")
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(histories, "LONGEST", longest)
+    gram = dense.T @ dense
+    want = {tuple(sorted((f"i{a}", f"i{b}"))): gram[a, b] for a in range(18) for b in range(a + 1, 18) if gram[a, b] != 0}
+    assert {(r["id_a"], r["id_b"]): r["dot"] for r in neighbors.common_products(named, "item").collect()} == want
+
+
 def test_pair_similarity(spark):
     rows = [(1, "a", 5.0), (1, "b", 4.0), (1, "e", 3.0), (2, "a", 4.0), (2, "b", 5.0), (2, "e", 4.0), (3, "c", 5.0)]
     ratings = spark.createDataFrame(rows, "user_id long, item_id string, rating double")
