@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratewise.operators import neighborlists, neighbors, similarjoin
+from ratewise.operators import histories, neighborlists, neighbors, similarjoin
 from ratewise.operators.ranking import stable, top_k
 from ratewise.plans import train as T
 
@@ -45,6 +45,25 @@ def test_nearest_lists(spark, monkeypatch, axis, k, rows, entities, hot):
     assert as_lists(got, "id", value) == as_lists(all_edges(model, k), "id", value)
 
 
+@pytest.mark.parametrize("axis, k, named", [("item", 3, False), ("user", 4, False), ("item", 5, True)])
+def test_nearest_lists_from_histories(spark, monkeypatch, axis, k, named):
+    """With many blocks every rating used to be sent to nearly all of them."""
+    ratings = skewed(spark, 3)
+    if named:
+        ratings = ratings.selectExpr("user_id", "concat('i', item_id) AS item_id", "rating")
+    want = all_edges(neighbors.fit_neighbors(ratings, axis, 5), k)
+    monkeypatch.setattr(similarjoin, "BLOCK_ENTITIES", 2)
+    monkeypatch.setattr(similarjoin, "MOST_BLOCKS", 3)
+    monkeypatch.setattr(histories, "BLOCK_RATINGS", 60)
+    monkeypatch.setattr(histories, "EXPAND", 50)
+    cut, real = [], similarjoin.cut_lineage
+    monkeypatch.setattr(similarjoin, "cut_lineage", lambda df: cut.append(df.columns) or real(df))
+    got = neighbors.nearest_entities(neighbors.fit_neighbors(ratings, axis, 5), k)
+    value = ("neighbor", "sim", "rank")
+    assert as_lists(got, "id", value) == as_lists(want, "id", value)
+    assert not any("_b" in columns for columns in cut)
+
+
 def test_small_matrices_and_chunks():
     rng = np.random.default_rng(5)
     import pandas as pd
