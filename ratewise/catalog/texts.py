@@ -14,7 +14,7 @@ from ..operators.metrics import intra_list_diversity
 from ..operators.ranking import blend, minmax, stable, top_k
 from ..operators.recipes import recipe_metadata
 from ..operators.search import search_topk
-from ..operators.textindex import encode, fit_tfidf, keyword_enrichment, load_index, postings, search
+from ..operators.textindex import encode, fit_tfidf, keyword_enrichment, load_index, postings, search, stored_vectors
 from ..plans.evaluate import case_reports
 from ..plans.retrieve import answer_questionnaires, recommend_free_text
 from ..session import cut_lineage
@@ -27,21 +27,16 @@ from .models import als3
 
 
 def doc_index(spark, sf):
-    def build():
-        index = fit_tfidf(doc_items(spark, sf))
-        index.tables["vectors"] = cut_lineage(index.tables["vectors"])
-        return index
+    return stored_vectors(doc_terms(spark, sf))
 
-    return shared(spark, sf, "doc_index", build)
 
+def doc_terms(spark, sf):
+    """The same index for queries that need its vocabulary only: vectors stay a plan until ``doc_index`` asks for them."""
+    return shared(spark, sf, "doc_index", lambda: fit_tfidf(doc_items(spark, sf)))
 
-def recipe_index(spark, sf):
-    def build():
-        index = fit_tfidf(recipes(spark, sf))
-        index.tables["vectors"] = cut_lineage(index.tables["vectors"])
-        return index
 
-    return shared(spark, sf, "recipe_index", build)
+def recipe_index(spark, sf):
+    return stored_vectors(shared(spark, sf, "recipe_index", lambda: fit_tfidf(recipes(spark, sf))))
 
 
 # --- TF-IDF in SQL -------------------------------------------------------------------------------
@@ -92,7 +87,7 @@ _DOC_SEARCH = [DOC_ITEMS, _BENCH, *tfidf_ctes("items"), *encoded_ctes("qs"), *fo
 
 @query("t1_vocabulary", with_(DOC_ITEMS, *tfidf_ctes("items")) + "SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def _(spark, sf):
-    return doc_index(spark, sf).tables["vocabulary"].select("term", "df", r6("idf"))
+    return doc_terms(spark, sf).tables["vocabulary"].select("term", "df", r6("idf"))
 
 
 @query(
@@ -120,7 +115,7 @@ def _(spark, sf):
     with_(DOC_ITEMS, _BENCH, *tfidf_ctes("items"), *encoded_ctes("qs")) + "SELECT query_id, term, round(weight, 6) AS weight FROM enc",
 )
 def _(spark, sf):
-    index = doc_index(spark, sf)
+    index = doc_terms(spark, sf)
     vectors = encode(benchmark_queries(spark, sf), index.tables["vocabulary"], index.meta, "query_id")
     pairs = vectors.select("query_id", F.inline(F.arrays_zip("idx", "w"))).withColumnRenamed("idx", "term_no")
     return pairs.join(index.tables["vocabulary"], "term_no").select("query_id", "term", r6("w", "weight"))

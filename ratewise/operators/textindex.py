@@ -24,19 +24,19 @@ def _vocabulary(items: DataFrame, meta: dict) -> DataFrame:
     """``term, term_no, df, idf``: the most frequent terms with df >= min_df, numbered by term.
 
     Total and document frequency come from one exploded pass whose partial sums are combined
-    per task; the (document, term) pairs are not shuffled for it.
+    per task; the (document, term) pairs are not shuffled for it. Without a cut nobody asks for the
+    totals, and a text gives each of its terms once.
     """
     grams = _grams(items, meta)
-    marked = F.concat(
-        F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
-    terms = (
-        grams.select(F.inline(marked))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
-        .filter(F.col("df") >= meta["min_df"])
-    )
+    if meta["max_features"]:
+        marked = F.concat(
+            F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+            F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+        )
+        terms = grams.select(F.inline(marked)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+    else:
+        terms = grams.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = terms.filter(F.col("df") >= meta["min_df"])
     if meta["max_features"]:
         terms = terms.orderBy(F.desc("total"), F.asc("term")).limit(meta["max_features"])
     if meta["max_features"] and meta["max_features"] <= 1_000_000:
@@ -48,17 +48,20 @@ def _vocabulary(items: DataFrame, meta: dict) -> DataFrame:
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame, meta: dict, key: str) -> DataFrame:
-    """Sparse unit vectors ``key, idx, w``; texts without a known term are left out."""
+    """Sparse unit vectors ``key, idx, w``; texts without a known term are left out.
+
+    The texts are dealt out by key, so counting and packing stay where a text is: a term is never
+    shuffled while the vocabulary fits the broadcast bound, and beyond it once per text.
+    """
     lookup = broadcast_if_small(vocabulary.select("term", "term_no", "idf"), meta["n_terms"], 96)
     counted = (
-        _grams(texts, meta, key)
+        _grams(texts.repartition(key), meta, key)
         .select(key, F.explode("g").alias("term"))
-        .join(lookup, "term")
-        .groupBy(key, "term_no", "idf")
+        .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     weight = F.col("tf") * F.col("idf")
-    packed = counted.groupBy(key).agg(
+    packed = counted.join(lookup, "term").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("term_no", weight.alias("w")))).alias("v"),
         F.sqrt(F.sum(weight * weight)).alias("norm"),
     )
@@ -75,16 +78,25 @@ def fit_tfidf(
     stop_words: list[str] | None = ENGLISH_STOP_WORDS,
 ) -> Model:
     """Text index; max_features None or <= 0 keeps every term. Terms tied at the cut: by term."""
-    rows = spread(as_items(items))
+    texts = as_items(items)
+    rows = spread(texts)
     meta = {
         "index_type": "tfidf", "max_features": max_features if max_features and max_features > 0 else None,
         "min_df": min_df, "ngram_max": max(1, ngram_max), "stop_words": list(stop_words or []),
-        "n_items": rows.count(),
+        "n_items": texts.count(),
     }
     vocabulary = cut_lineage(_vocabulary(rows, meta))
     meta["n_terms"] = vocabulary.count()
-    vectors = encode(rows, vocabulary, meta, "item_id")
-    return Model("index", {"vocabulary": vocabulary, "vectors": vectors, "texts": rows}, meta)
+    vectors = encode(texts, vocabulary, meta, "item_id")
+    return Model("index", {"vocabulary": vocabulary, "vectors": vectors, "texts": texts}, meta)
+
+
+def stored_vectors(index: Model) -> Model:
+    """The index with its vectors written, on first use; what needs the vocabulary alone never makes them."""
+    if not index.meta.get("vectors_stored"):
+        index.tables["vectors"] = cut_lineage(index.tables["vectors"])
+        index.meta["vectors_stored"] = True
+    return index
 
 
 def postings(index: Model) -> DataFrame:

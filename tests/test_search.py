@@ -156,3 +156,26 @@ def test_enrichment(items):
     got = {r["item_id"]: r for r in keyword_enrichment(items).collect()}
     assert got[2]["tags"] == ["red"] and got[3]["tags"] == [] and got[4]["summary"] == ""
     assert got[0]["tags"] == ["red", "apple"]
+
+
+def test_terms_are_counted_where_the_text_is(spark, tmp_path):
+    """One shuffle, of texts: neither single terms nor (item, term) pairs are shuffled while the vocabulary is small."""
+    rows = [(i, " ".join(f"word{(i * 7 + j * j) % 40}" for j in range(30))) for i in range(50)]
+    index = fit_tfidf(spark.createDataFrame(rows, "item_id long, text string"))
+    plan = index.tables["vectors"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    plain = {i: {w: text.split().count(w) for w in text.split()} for i, text in rows}
+    idf = {r["term"]: (r["term_no"], r["idf"]) for r in index.tables["vocabulary"].collect()}
+    for r in index.tables["vectors"].collect():
+        want = {idf[w][0]: n * idf[w][1] for w, n in plain[r["item_id"]].items() if w in idf}
+        norm = sum(x * x for x in want.values()) ** 0.5
+        assert dict(zip(r["idx"], r["w"])) == pytest.approx({t: x / norm for t, x in want.items()})
+
+
+def test_vocabulary_alone_makes_no_vectors(spark, tmp_path):
+    from ratewise.catalog import texts as C
+
+    spark.createDataFrame([(i, f"some words and word{i % 3}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert not C.doc_terms(spark, str(tmp_path)).meta.get("vectors_stored")
+    assert C.doc_index(spark, str(tmp_path)).meta["vectors_stored"]
+    assert {r["term"] for r in C.doc_terms(spark, str(tmp_path)).tables["vocabulary"].collect()} == {"words", "word0", "word1", "word2"}
