@@ -26,11 +26,12 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,13 @@ LEVELS = 48
 CACHED_WORDS = 1 << 19
 ENCODED_AT_ONCE = 1 << 14
 PLAIN = re.compile("[a-z]+").fullmatch
+#: Printed ASCII signs and the letters of Latin-1: no normal form changes them, each is lowered on its own.
+LATIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PRINTED = re.compile(f"[{LATIN}]+").fullmatch
+#: The split of ``BY_WORD`` for these in lower case, and the signs that byte-level merges know their bytes by.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00ff]+").findall
+SIGNS = {chr(c): "\u00c3" + chr(b if b > 0xA0 and b != 0xAD else 323 if b == 0xAD else b + 162) for c in range(0xC0, 0x100) for b in [c - 0x40]}
+BYTES = str.maketrans(SIGNS)
 READ_BYTES = 8 << 20
 LEDGER = "doc_id long, copy long, shard int, offset long, n_tokens long"
 
@@ -96,18 +104,36 @@ def words_are_apart(tokenizer: str) -> bool:
     )
 
 
-def stem_and_tail(word: str) -> tuple[str, str]:
-    """A word without its closing punctuation, and that; ASCII stems in lower case.
+def stems_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word without its closing punctuation, and that; stems of ASCII and Latin-1 letters in lower case.
 
     The tokenizer lowers all letters and never merges letters with punctuation, so both parts can
-    be encoded on their own and are shared by many words. Marks such as ``<|`` stay as written.
+    be encoded on their own and are shared by many words. Marks such as ``<|`` stay as written, and
+    so does a word whose stem does not end in such a letter.
     """
-    stem = word.rstrip(".,;:!?")
-    if not stem.isascii():
-        return (stem, word[len(stem):]) if stem[-1].isascii() and stem[-1].isalpha() else (word, "")
-    if not stem[-1:].isalpha() or "<|" in stem:
-        return word, ""
-    return stem.lower(), word[len(stem):]
+    stem = pc.ascii_rtrim(words, ".,;:!?")
+    size, whole = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (stem, words))
+    data, last = np.concatenate([np.zeros(2, np.uint8), _bytes(stem)]), np.cumsum(size) + 1
+    letter = (data[last] | 0x20) - np.uint8(ord("a")) < 26
+    latin = (data[last - 1] == 0xC3) & (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7)
+    apart = (size > 0) & (letter | latin) & ~pc.match_substring(stem, "<|").to_numpy(zero_copy_only=False)
+    lower = pc.if_else(pc.match_substring_regex(stem, f"^[{LATIN}]+$"), pc.utf8_lower(stem), stem)
+    cut = np.where(apart, whole - size, 0)
+    tail = _bytes(words)[runs_of(np.cumsum(whole) - cut, cut)]
+    offsets = np.concatenate([[0], np.cumsum(cut)]).astype(np.int64)
+    tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(tail))
+    return pc.if_else(pa.array(apart), lower, words), tails
+
+
+def _bytes(strings: pa.Array) -> np.ndarray:
+    """The bytes of all strings, one after the other; the array has no nulls."""
+    low, high = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset + np.array([0, len(strings)])]
+    return np.frombuffer(strings.buffers()[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
+
+
+def runs_of(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... ``size`` places of each, one after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 @cache
@@ -125,30 +151,59 @@ class Encoder:
     """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = _tokenizer(path), np.dtype(dtype), {"": b""}
+        self.tokenizer, self.dtype = _tokenizer(path), np.dtype(dtype)
         self.by_word = words_are_apart(path)
-
-    def words(self, vocabulary: list[str]) -> list[bytes]:
-        """The ids of each word, as bytes."""
-        known = self.known
-        out = [known.get(w) for w in vocabulary]
-        new = {i: stem_and_tail(vocabulary[i]) for i, ids in enumerate(out) if ids is None}
-        fresh = list({p for pair in new.values() for p in pair if p not in known})
-        # lower-case ASCII letters are one piece for the tokenizer: its merges apply to them as they stand
-        plain, merge = [w for w in fresh if PLAIN(w)], self.tokenizer.model.tokenize
-        self._keep(plain, ([t.id for t in merge(w)] for w in plain))
-        rest = [w for w in fresh if not PLAIN(w)]
-        for low in range(0, len(rest), ENCODED_AT_ONCE):
-            part = rest[low : low + ENCODED_AT_ONCE]
-            self._keep(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        for i, (stem, tail) in new.items():
-            out[i] = known[stem] + known[tail] if tail else known[stem]
-        if len(known) > CACHED_WORDS:
-            self.known = {"": b""}
-        return out
-
-    def _keep(self, words: list[str], ids: Iterable[list[int]]) -> None:
-        self.known.update((w, np.array(x, self.dtype).tobytes()) for w, x in zip(words, ids))
+        self._forget()
+
+    def _forget(self) -> None:
+        """A piece has a number; its ids are ``ids[begin[n] : begin[n + 1]]``. The empty one is 0."""
+        self.known, self.ids, self.begin = {"": 0}, np.zeros(0, self.dtype), np.zeros(2, np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; pieces not remembered are encoded and remembered."""
+        known, merge = self.known, self.tokenizer.model.tokenize
+        out = list(map(known.get, pieces))
+        ids, sizes, later, merged = [], [], [], {}
+
+        def keep(at: int, piece: str, own: list[int]) -> None:
+            out[at] = known[piece] = len(self.begin) - 1 + len(sizes)
+            ids.extend(own)
+            sizes.append(len(own))
+
+        for at in [i for i, n in enumerate(out) if n is None]:
+            piece = pieces[at]
+            if PLAIN(piece):  # lower-case ASCII letters are one piece for the tokenizer: its merges apply to them as they stand
+                keep(at, piece, [t.id for t in merge(piece)])
+            elif PRINTED(piece) and "<|" not in piece:
+                own = []
+                for part in SPLIT(piece.lower()):
+                    if part not in merged:
+                        merged[part] = [t.id for t in merge(part.translate(BYTES))]
+                    own += merged[part]
+                keep(at, piece, own)
+            else:
+                later.append(at)
+        for low in range(0, len(later), ENCODED_AT_ONCE):
+            some = later[low : low + ENCODED_AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast([pieces[at] for at in some], add_special_tokens=False)
+            for at, e in zip(some, encoded):
+                keep(at, pieces[at], e.ids)
+        if sizes:
+            self.ids = np.concatenate([self.ids, np.array(ids, self.dtype)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        return np.array(out, np.int64)
+
+    def words(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and the number of ids of each."""
+        stem, tail = (x.dictionary_encode() for x in stems_and_tails(vocabulary))
+        both = np.empty((len(vocabulary), 2), np.int64)
+        for side, part in enumerate((stem, tail)):
+            both[:, side] = self.numbers(part.dictionary.to_numpy(zero_copy_only=False).tolist())[part.indices.to_numpy()]
+        size = self.begin[both + 1] - self.begin[both]
+        ids = self.ids[runs_of(self.begin[both].ravel(), size.ravel())]
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
+        return ids, size.sum(axis=1)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
         """All ids as bytes, each text's followed by the end id, and the number of ids per text."""
@@ -157,13 +212,13 @@ class Encoder:
             parts = [np.array([*e.ids, end_id], self.dtype) for e in whole]
             return b"".join(p.tobytes() for p in parts), np.array([len(p) for p in parts], np.int64)
         words, n = Words(column), len(column)
-        pieces = [*self.words(words.vocabulary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        ids, size = self.words(words.vocabulary)
+        ids, size = np.append(ids, np.array(end_id, self.dtype)), np.append(size, 1)
+        begin = np.cumsum(size) - size
         # the words of each text, then the end
-        code = np.insert(words.codes, words.starts[1:], len(pieces) - 1)
-        ids = b"".join(map(pieces.__getitem__, code.tolist()))
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
-        total = np.cumsum(length[code])[code == len(pieces) - 1]
-        return ids, np.diff(np.concatenate([[0], total])) if n else total
+        code = np.insert(words.codes, words.starts[1:], len(size) - 1)
+        total = np.cumsum(size[code])[code == len(size) - 1]
+        return ids[runs_of(begin[code], size[code])].tobytes(), np.diff(np.concatenate([[0], total])) if n else total
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed: int = 11) -> DataFrame:
