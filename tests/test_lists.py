@@ -233,3 +233,11 @@ def test_cross_validation_and_grid(random_ratings):
     grid = E.grid_search(ratings, "baseline", {"reg": [0.1, 5.0]}, folds=2, method="als", n_epochs=1).collect()
     assert sorted(r["rank"] for r in grid) == [1, 2]
     assert E.parameter_grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+
+
+def test_picks_hand_on_columns_of_their_candidate(spark):
+    """What the lists need later travels with the pick; the candidates are not joined a second time."""
+    rows = [("s", 0, p, p * 10, 1.0 - p / 10, [f"x{p}"], f"meal {p}", p / 7) for p in range(5)]
+    schema = "session_id string, meal_no int, position int, item_id long, score double, ingredients array<string>, meal_name string, sim double"
+    got = select_diverse(spark.createDataFrame(rows, schema), 3, 0.25, keep=["meal_name", "sim"]).collect()
+    assert sorted((r["rank"], r["item_id"], r["meal_name"], r["sim"]) for r in got) == [(p + 1, p * 10, f"meal {p}", p / 7) for p in range(3)]
