@@ -344,3 +344,16 @@ def test_ratings_that_are_no_numbers_are_not_learned(spark, name):
     want, got = (sorted((r["user_id"], r["item_id"], round(r["rating_pred"], 9)) for r in T.predict(m, pairs).collect()) for m in fits)
     assert want == got
     assert tuple(invalid_ratings(odd).first()) == (6, 3)
+
+
+def test_ratings_are_stepped_in_hash_order_by_a_short_key(spark):
+    """What is sent with a rating is eight bytes, and sorts as the hash it comes from."""
+    from pyspark.sql import functions as F
+    from ratewise.functions.text import hash_order
+    from ratewise.operators.factors import _place
+
+    rows = spark.range(2000).select(F.col("id").alias("u"), (F.col("id") * 7).alias("i"))
+    got = rows.select("u", _place("43", "u", "i").alias("short"), hash_order("43", "u", "i").alias("whole"))
+    assert got.schema["short"].dataType.simpleString() == "bigint"
+    got = got.collect()
+    assert [r["u"] for r in sorted(got, key=lambda r: r["short"])] == [r["u"] for r in sorted(got, key=lambda r: r["whole"])]
