@@ -17,8 +17,11 @@ SPACE = r"[\x20\x09-\x0D]"
 SLICE_BYTES = 2 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches where the text exceeds ``SLICE_BYTES``; a longer single text goes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches where the text exceeds ``size`` (``SLICE_BYTES`` by default); a longer single text goes alone.
+
+    A worker lives on between the stages of a job, so what a task has freed is given back at its end.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -26,9 +29,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at, total = 0, np.cumsum(sizes)
         while at < batch.num_rows:
             before = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(total, before + (size or SLICE_BYTES), "right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

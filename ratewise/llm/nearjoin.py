@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
-from .arrowtext import mix, slices, texts
+from .arrowtext import give_back, mix, slices, texts
 from .components import components
 from .names import columns, unused
 from .shingles import shingles
@@ -190,6 +190,8 @@ def places(batches: Iterator[pa.RecordBatch], rows: int = 16_384, size: int = 16
                 kept = table.slice(cut).to_batches()
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks()
+        kept = []
+    give_back()
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:

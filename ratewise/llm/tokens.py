@@ -45,6 +45,8 @@ GAMMA = 2.0
 LEVELS = 48
 CACHED_WORDS = 1 << 19
 ENCODED_AT_ONCE = 1 << 14
+#: Text encoded at once: the tables of a slice take some twenty times its bytes, in every worker.
+ENCODED_BYTES = 1 << 20
 PLAIN = re.compile("[a-z]+").fullmatch
 #: Printed ASCII signs and the letters of Latin-1: no normal form changes them, each is lowered on its own.
 LATIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -241,7 +243,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed
         fs, root = open_fs(folder)
         coder, out, offset, last = encoder(tokenizer, dtype), None, 0, (None, -1)
         own = f"{root}/.{shard}-{uuid.uuid4().hex}"
-        for batch in slices(batches):
+        for batch in slices(batches, size=ENCODED_BYTES):
+            give_back()  # beside the words it remembers, a worker keeps no more than one slice takes
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(own)
@@ -260,7 +263,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spread_seed
         if out is not None:
             out.close()
             fs.move(own, f"{root}/shard-{shard:06d}.bin")
-            give_back()
 
     ledger = cut_lineage(ranged.mapInArrow(run, LEDGER))
     return _finish(ledger, folder, dtype, end_id)

@@ -133,3 +133,14 @@ def test_printed_and_latin_words_need_no_tokenizer_run(monkeypatch):
     coder.tokenizer = Merges()
     data, counts = coder.encode(pa.array(words, pa.large_string()), 1)
     assert np.frombuffer(data, "<u2").tolist() == want and counts.tolist() == [len(e.ids) + 1 for e in whole]
+
+
+def test_memory_is_given_back_between_slices_and_at_the_end_of_tasks(monkeypatch):
+    from ratewise.llm import arrowtext, nearjoin
+
+    given = []
+    monkeypatch.setattr(arrowtext, "give_back", lambda: given.append("slices"))
+    monkeypatch.setattr(nearjoin, "give_back", lambda: given.append("places"))
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["a" * 40, None, "b" * 40], "place": [1, 1, 2]})
+    assert [b.num_rows for b in arrowtext.slices(iter([batch]), size=40)] == [2, 1] and given == ["slices"]
+    assert sum(t.num_rows for t in nearjoin.places(iter([batch]))) == 3 and given == ["slices", "places"]
