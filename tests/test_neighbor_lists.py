@@ -114,6 +114,18 @@ def test_lists_equal_scores_of_all_pairs(spark, monkeypatch, axis, k, amount, si
         assert as_lists(got, "user_id", value) == as_lists(want, "user_id", value)
 
 
+@pytest.mark.parametrize("axis", ["item", "user"])
+def test_lists_need_no_table_of_all_products(spark, monkeypatch, axis):
+    """The products of a tile's targets are made in the tile; histories too long for arrays take the stored ones."""
+    ratings, value = skewed(spark, 8), ("item_id", "rating_pred", "rank")
+    model = neighbors.fit_neighbors(ratings, axis, 6)
+    got = as_lists(T.recommend(model, ratings, ratings, 4), "user_id", value)
+    assert not model.meta.get("products_stored")
+    monkeypatch.setattr(histories, "LONGEST", 3)
+    assert got == as_lists(T.recommend(model, ratings, ratings, 4), "user_id", value)
+    assert model.meta["products_stored"]
+
+
 def test_only_promising_pairs_are_scored(spark, monkeypatch):
     """Items that cannot enter a list are dropped on their bounds."""
     import pandas as pd
