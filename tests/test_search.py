@@ -179,3 +179,24 @@ def test_vocabulary_alone_makes_no_vectors(spark, tmp_path):
     assert not C.doc_terms(spark, str(tmp_path)).meta.get("vectors_stored")
     assert C.doc_index(spark, str(tmp_path)).meta["vectors_stored"]
     assert {r["term"] for r in C.doc_terms(spark, str(tmp_path)).tables["vocabulary"].collect()} == {"words", "word0", "word1", "word2"}
+
+
+@pytest.mark.parametrize("above", [-np.inf, 0.0])
+def test_running_lists_sort_only_scores_that_can_enter(monkeypatch, above):
+    """Most scores are compared with the last place once; ties keep the lower id."""
+    from ratewise.operators import search as module
+
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.normal(size=(4000, 30)), 2) + rng.choice([0.0, 2e-10], size=(4000, 30))
+    sorted_ = []
+    real = module.np.argsort
+    monkeypatch.setattr(module.np, "argsort", lambda x, **more: sorted_.append(x.size) or real(x, **more))
+    best = module._Best(30, 5, above)
+    for at in range(0, 4000, 200):
+        best.add(np.arange(at, at + 200), scores[at : at + 200])
+    assert len(sorted_) <= 2
+    got = best.rows(np.arange(30))
+    for q in range(30):
+        order = np.lexsort((np.arange(4000), -np.round(scores[:, q], 9)))[:5]
+        mine = got[got["query_id"] == q]
+        assert mine["item_id"].tolist() == order.tolist() and (mine["sim"].to_numpy() == scores[order, q]).all()
