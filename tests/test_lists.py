@@ -235,6 +235,20 @@ def test_cross_validation_and_grid(random_ratings):
     assert E.parameter_grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
 
 
+def test_fits_of_a_grid_share_the_broadcast_bound(random_ratings, monkeypatch):
+    """What the driver may collect for broadcasts does not grow with the number of fits."""
+    from ratewise.operators import bias
+    from ratewise.session import broadcast_bytes
+
+    ratings, _ = random_ratings
+    spark = ratings.sparkSession
+    before, seen = broadcast_bytes(spark), []
+    real = bias.broadcast_if_small
+    monkeypatch.setattr(bias, "broadcast_if_small", lambda df, *size: seen.append(broadcast_bytes(df.sparkSession)) or real(df, *size))
+    E.grid_search(ratings, "baseline", {"reg": [0.1, 5.0]}, folds=2, method="als", n_epochs=1).collect()
+    assert seen and set(seen) == {before // 4} and broadcast_bytes(spark) == before
+
+
 def test_picks_hand_on_columns_of_their_candidate(spark):
     """What the lists need later travels with the pick; the candidates are not joined a second time."""
     rows = [("s", 0, p, p * 10, 1.0 - p / 10, [f"x{p}"], f"meal {p}", p / 7) for p in range(5)]
