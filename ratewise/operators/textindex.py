@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..contracts import as_items
 from ..functions.kernels import unit
 from ..functions.text import ENGLISH_STOP_WORDS, ngrams, summary, tokens
-from ..session import broadcast_if_small, cut_lineage, spread
+from ..session import broadcast_bytes, broadcast_if_small, cut_lineage, spread
 from .cells import fit_cells, search_cells
 from .model import Model
 from .ranking import rank_rows, stable
 from .search import search_topk
 
+#: Text whose terms one task counts in memory.
+TASK_CHARS = 8_000_000
+
 
 def _grams(texts: DataFrame, meta: dict, *keep: str) -> DataFrame:
     """``keep`` columns and ``g``, the index terms of each text."""
@@ -47,21 +50,26 @@ def _vocabulary(items: DataFrame, meta: dict) -> DataFrame:
     return numbered.select("term", F.col("term_no").cast("int").alias("term_no"), "df", idf.alias("idf"))
 
 
-def encode(texts: DataFrame, vocabulary: DataFrame, meta: dict, key: str) -> DataFrame:
+def encode(texts: DataFrame, vocabulary: DataFrame, meta: dict, key: str, parts: int | None = None) -> DataFrame:
     """Sparse unit vectors ``key, idx, w``; texts without a known term are left out.
 
+    ``parts`` is the number of tasks: each counts the terms of all its texts in memory.
+
     The texts are dealt out by key, so counting and packing stay where a text is: a term is never
     shuffled while the vocabulary fits the broadcast bound, and beyond it once per text.
     """
     lookup = broadcast_if_small(vocabulary.select("term", "term_no", "idf"), meta["n_terms"], 96)
     counted = (
-        _grams(texts.repartition(key), meta, key)
+        _grams(texts.repartition(*([parts] if parts else []), key), meta, key)
         .select(key, F.explode("g").alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     weight = F.col("tf") * F.col("idf")
-    packed = counted.join(lookup, "term").groupBy(key).agg(
+    known = counted.join(lookup, "term")
+    if parts and meta["n_terms"] * 96 > broadcast_bytes(texts.sparkSession):  # shuffled by term: back to as many tasks
+        known = known.repartition(parts, key)
+    packed = known.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("term_no", weight.alias("w")))).alias("v"),
         F.sqrt(F.sum(weight * weight)).alias("norm"),
     )
@@ -80,14 +88,16 @@ def fit_tfidf(
     """Text index; max_features None or <= 0 keeps every term. Terms tied at the cut: by term."""
     texts = as_items(items)
     rows = spread(texts)
+    n_items, n_chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     meta = {
         "index_type": "tfidf", "max_features": max_features if max_features and max_features > 0 else None,
         "min_df": min_df, "ngram_max": max(1, ngram_max), "stop_words": list(stop_words or []),
-        "n_items": texts.count(),
+        "n_items": n_items,
     }
     vocabulary = cut_lineage(_vocabulary(rows, meta))
     meta["n_terms"] = vocabulary.count()
-    vectors = encode(texts, vocabulary, meta, "item_id")
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chars // TASK_CHARS))
+    vectors = encode(texts, vocabulary, meta, "item_id", parts)
     return Model("index", {"vocabulary": vocabulary, "vectors": vectors, "texts": texts}, meta)
 
 

@@ -200,3 +200,20 @@ def test_running_lists_sort_only_scores_that_can_enter(monkeypatch, above):
         order = np.lexsort((np.arange(4000), -np.round(scores[:, q], 9)))[:5]
         mine = got[got["query_id"] == q]
         assert mine["item_id"].tolist() == order.tolist() and (mine["sim"].to_numpy() == scores[order, q]).all()
+
+
+@pytest.mark.parametrize("bound", ["67108864", "0"])
+def test_a_task_counts_the_terms_of_a_bounded_text(spark, items, monkeypatch, bound):
+    """Tasks grow in number with the text, whether the vocabulary is broadcast or not."""
+    from ratewise.operators import textindex
+
+    want = sorted(map(tuple, postings(fit_tfidf(items, min_df=1)).select("item_id", "term", F.round("weight", 9)).collect()))
+    monkeypatch.setattr(textindex, "TASK_CHARS", 4)
+    n_chars = items.agg(F.sum(F.length("text"))).first()[0]
+    spark.conf.set("spark.ratewise.broadcastBytes", bound)
+    try:
+        index = fit_tfidf(items, min_df=1)
+        assert index.tables["vectors"].rdd.getNumPartitions() == -(-n_chars // 4) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(map(tuple, postings(index).select("item_id", "term", F.round("weight", 9)).collect())) == want
+    finally:
+        spark.conf.unset("spark.ratewise.broadcastBytes")
