@@ -67,6 +67,44 @@ def test_sgd_step_equals_expected_sequential_updates(spark):
     assert as_dict(model.users(), "user_id", "bias")["u"] == pytest.approx(np.mean(results), abs=2e-3)
 
 
+@pytest.mark.parametrize("method, names, broadcast", [("als", False, "0"), ("als", True, "0"), ("sgd", True, "0"), ("als", False, "67108864")])
+def test_bias_in_cells_equals_plain(spark, random_ratings, monkeypatch, method, names, broadcast):
+    ratings, _ = random_ratings
+    if names:
+        name = lambda key: F.when(F.col(key) != 2, F.concat(F.lit("n"), key)).alias(key)  # one id is missing
+        ratings = ratings.select(name("user_id"), name("item_id"), "rating")
+    fit = lambda: bias.fit_bias(ratings, method, 3, 1.0)
+    want = fit()
+    monkeypatch.setattr(bias, "LAID_OUT", 1)
+    monkeypatch.setattr(bias, "BLOCKS", 3)
+    key, calls, sums = "spark.ratewise.broadcastBytes", [], bias._cell_sums
+    monkeypatch.setattr(bias, "_cell_sums", lambda *a: calls.append(1) or sums(*a))
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, broadcast)
+    try:
+        got = fit()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert len(calls) == (5 if broadcast == "0" else 0)
+    for side in ("user_id", "item_id"):
+        mine, theirs = (as_dict(m.tables[f"{side[:4]}s"], side, "bias") for m in (got, want))
+        assert mine == pytest.approx(theirs, abs=1e-12)
+    assert [e for e, _ in got.history] == [1, 2, 3] and [x for _, x in got.history] == pytest.approx([x for _, x in want.history])
+
+
+def test_bias_fit_sends_few_partial_sums(spark, monkeypatch):
+    """Ratings lie anywhere; the fit sends a sum per user and block, not one per user and task."""
+    monkeypatch.setattr(bias, "LAID_OUT", 1)
+    monkeypatch.setattr(bias, "BLOCKS", 2)
+    rows = spark.range(0, 40 * 60, 1, 60).select((F.col("id") % 40).alias("user_id"), F.floor(F.col("id") / 40).alias("item_id"), F.lit(1.0).alias("rating"))
+    seen, half = [], bias._half_epoch
+    monkeypatch.setattr(bias, "_half_epoch", lambda targets, *a: seen.append(targets.select("user_id", "item_id", F.spark_partition_id().alias("_p")).collect()) or half(targets, *a))
+    bias.fit_bias(rows, "als", 1, 1.0)
+    for laid in seen:
+        assert len({(r["user_id"], r["_p"]) for r in laid}) <= 2 * 40 and len({(r["item_id"], r["_p"]) for r in laid}) <= 2 * 60
+        assert len(laid) == 40 * 60
+
+
 def test_predict_unknown_and_bounds(small_ratings, spark):
     model = bias.fit_bias(small_ratings, "als", 2, 1.0, max_rating=4)
     pairs = spark.createDataFrame([("u1", "i1"), ("new", "i2"), ("u2", "new"), ("new", "new")], "user_id string, item_id string")
