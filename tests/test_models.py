@@ -342,6 +342,50 @@ def test_linear_als(random_ratings):
     assert error(model) < error(base)
 
 
+def test_linear_als_joins_a_rating_once_per_side(random_ratings, monkeypatch):
+    """ALS reads its input twice: it is held, and biases and numbers come with one join per side."""
+    from pyspark.ml.recommendation import ALS
+
+    seen, fit = [], ALS.fit
+
+    def look(self, rest):
+        seen.append((rest.storageLevel.useMemory, rest._jdf.queryExecution().analyzed().toString().count("Join "), rest.count()))
+        return fit(self, rest)
+
+    monkeypatch.setattr(ALS, "fit", look)
+    factors.fit_linear_als(random_ratings[0], 3, 2)
+    assert seen == [(True, 2, random_ratings[0].count())]
+
+
+@pytest.mark.parametrize("kernel", ["linear", "sigmoid", "rbf"])
+def test_predictions_in_cells_equal_joins(spark, monkeypatch, kernel):
+    vector = lambda key, salt: factors.random_normals(key, 3, 0.1, 0.5, salt).alias("factors")
+    users = spark.range(30).select(F.concat(F.lit("u"), "id").alias("user_id"), (F.col("id") / 50).alias("bias"), vector("id", 1))
+    items = spark.range(20).select(F.col("id").alias("item_id"), (F.col("id") / -40).alias("bias"), vector("id", 2))
+    meta = {"kernel": kernel, "n_factors": 3, "gamma": 0.3, "global_mean": 2.5, "min_rating": 1, "max_rating": 5, "n_users": 30, "n_items": 20}
+    model = Model("kernel_mf", {"users": users, "items": items}, meta)
+    pairs = spark.range(33 * 23).select(
+        F.when(F.col("id") % 33 != 32, F.concat(F.lit("u"), F.col("id") % 33)).alias("user_id"),
+        F.when(F.col("id") % 23 != 22, F.col("id") % 23).alias("item_id"), F.col("id").alias("row"),
+    )
+    pairs = pairs.unionByName(pairs.filter("row = 5"))
+    result = lambda: sorted(tuple(r) for r in factors.predict_factors(model, pairs, bound=False).select("row", "user_id", "item_id", "prediction_possible", "rating_pred").collect())
+    want, calls, cells = result(), [], factors._predict_in_cells
+    monkeypatch.setattr(bias, "LAID_OUT", 1)
+    monkeypatch.setattr(bias, "BLOCKS", 3)
+    monkeypatch.setattr(factors, "SCORED_AT_ONCE", 7)
+    monkeypatch.setattr(factors, "_predict_in_cells", lambda *a: calls.append(1) or cells(*a))
+    key = "spark.ratewise.broadcastBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "0")
+    try:
+        got = result()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert calls and len(got) == 33 * 23 + 1 and [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-12)
+
+
 # --- all -----------------------------------------------------------------------------------------
 
 
