@@ -386,6 +386,24 @@ def test_predictions_in_cells_equal_joins(spark, monkeypatch, kernel):
     assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-12)
 
 
+def test_candidates_are_scored_as_they_are(spark, small_ratings):
+    """Neither made distinct nor joined back; without user or item the score is 0, and copies stay."""
+    model = bias.fit_bias(small_ratings, "als", 2, 1.0)
+    rows = [(1, "u1", "i1"), (2, "u1", "i1"), (3, None, "i1"), (4, "u2", None), (5, "u9", "i2"), (6, None, None), (7, "u2", "i2")]
+    candidates = spark.createDataFrame(rows, "sim int, user_id string, item_id string")
+    scored = T.model_score(model, candidates)
+    assert scored.columns == ["user_id", "item_id", "sim", "model_score"]
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 2 and "Distinct" not in plan and "Deduplicate" not in plan
+    bu, bi = as_dict(model.users(), "user_id", "bias"), as_dict(model.items(), "item_id", "bias")
+    want = {n: 4.0 + bu.get(u, 0.0) + bi.get(i, 0.0) if u and i else 0.0 for n, u, i in rows}
+    assert as_dict(scored, "sim", "model_score") == pytest.approx(want) and scored.count() == 7
+    wanted = candidates.filter("item_id = 'i2'")
+    narrow = model.about(wanted)
+    assert narrow.meta["n_items"] == 1 and [r["item_id"] for r in narrow.items().collect()] == ["i2"] and model.meta["n_items"] == 2
+    assert as_dict(T.model_score(narrow, wanted), "sim", "model_score") == pytest.approx({n: want[n] for n in (5, 7)})
+
+
 # --- all -----------------------------------------------------------------------------------------
 
 
