@@ -386,6 +386,18 @@ def test_predictions_in_cells_equal_joins(spark, monkeypatch, kernel):
     assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-12)
 
 
+def test_predictions_in_cells_leave_the_table_of_pairs_as_it_is(spark, small_ratings, monkeypatch):
+    """The first prediction used to add its columns to the schema that the table keeps, so a second one failed."""
+    factors_of = lambda key: factors.random_normals(key, 2, 0.1, 0.5, 1).alias("factors")
+    sides = {f"{s}s": small_ratings.select(f"{s}_id").distinct().select(f"{s}_id", F.lit(0.5).alias("bias"), factors_of(f"{s}_id")) for s in ("user", "item")}
+    meta = {"kernel": "linear", "n_factors": 2, "gamma": 0.3, "global_mean": 2.5, "min_rating": 1, "max_rating": 5, "n_users": 2, "n_items": 2}
+    pairs = small_ratings.select("user_id", "item_id", "rating")
+    before, rows = list(pairs.schema.names), []
+    for _ in range(2):
+        rows.append(sorted(tuple(r) for r in factors._predict_in_cells(Model("kernel_mf", sides, meta), pairs, 2).collect()))
+    assert pairs.schema.names == before and rows[0] == rows[1] and len(rows[0]) == 3
+
+
 def test_candidates_are_scored_as_they_are(spark, small_ratings):
     """Neither made distinct nor joined back; without user or item the score is 0, and copies stay."""
     model = bias.fit_bias(small_ratings, "als", 2, 1.0)
