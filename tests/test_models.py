@@ -216,6 +216,29 @@ def test_predictions_make_only_the_products_they_meet(spark, random_ratings, mon
     assert "products_stored" not in model.meta
 
 
+@pytest.mark.parametrize("axis, named, lists, at_once", [("item", True, 2_000_000, 2_000_000), ("user", False, 9, 30), ("item", False, 5, 7)])
+def test_asked_pairs_are_scored_in_their_block(spark, random_ratings, monkeypatch, axis, named, lists, at_once):
+    """Requests used to be joined with all ratings of their context, and these with the products, as rows."""
+    ratings, _ = random_ratings
+    ratings = ratings.unionByName(spark.createDataFrame([(30, 2, 4.0), (31, 30, 3.0), (32, 31, 0.0), (1, 32, 0.0)], ratings.schema))
+    pairs = spark.createDataFrame([(u, i) for u in range(34) for i in range(0, 34, 2)], "user_id int, item_id int").filter("user_id <> 4")
+    if named:
+        name = lambda df: df.withColumns({c: F.concat(F.lit("n"), F.col(c)) for c in ("user_id", "item_id")})
+        ratings, pairs = name(ratings), name(pairs)
+    rows = lambda df: {(r[0], r[1]): (round(r[2], 9), r[3]) for r in df.collect()}
+    want = rows(neighbors.predict_neighbors(neighbors.fit_neighbors(ratings, axis, 4), pairs, bound=False))
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(histories, "BLOCK_RATINGS", 30)
+    monkeypatch.setattr(histories, "LIST_RATINGS", lists)
+    monkeypatch.setattr(histories, "ASKED_AT_ONCE", at_once)
+    monkeypatch.setattr(histories, "SCORED_AT_ONCE", at_once)
+    model = neighbors.fit_neighbors(ratings, axis, 4)
+    got = neighbors.predict_neighbors(model, pairs, bound=False)
+    assert rows(got) == want and len(want) == pairs.count()
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "dot#" not in plan and "products_stored" not in model.meta
+
+
 @pytest.mark.parametrize("longest", [20_000, 5])
 def test_names_as_ids_and_long_histories(spark, random_ratings, monkeypatch, longest):
     ratings, dense = random_ratings

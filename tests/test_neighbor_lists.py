@@ -64,6 +64,32 @@ def test_nearest_lists_from_histories(spark, monkeypatch, axis, k, named):
     assert not any("_b" in columns for columns in cut)
 
 
+@pytest.mark.parametrize("named, bound", [(False, "67108864"), (True, "0")])
+def test_histories_are_sent_in_few_bytes(spark, monkeypatch, named, bound):
+    """Each rating used to go to nearly all blocks as an id, the rating, a mean and a spread."""
+    ratings = skewed(spark, 5)
+    if named:
+        ratings = ratings.selectExpr("user_id", "concat('i', item_id) AS item_id", "rating")
+    want = all_edges(neighbors.fit_neighbors(ratings, "item", 5), 4)
+    monkeypatch.setattr(similarjoin, "BLOCK_ENTITIES", 2)
+    monkeypatch.setattr(similarjoin, "MOST_BLOCKS", 3)
+    monkeypatch.setattr(histories, "BLOCK_RATINGS", 60)
+    monkeypatch.setattr(histories, "ASKED_AT_ONCE", 40)
+    monkeypatch.setattr(histories, "SCORED_AT_ONCE", 30)
+    sent, real = [], histories.histories
+    monkeypatch.setattr(histories, "histories", lambda rows, *a: sent.append(rows.schema) or real(rows, *a))
+    key = "spark.ratewise.broadcastBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, bound)
+    try:
+        got = neighbors.nearest_entities(neighbors.fit_neighbors(ratings, "item", 5), 4)
+        value = ("neighbor", "sim", "rank")
+        assert as_lists(got, "id", value) == as_lists(want, "id", value)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert sent[-1]["e"].dataType.simpleString() == "int" and sent[-1]["r"].dataType.simpleString() == ("struct<r:double,m:double,s:double>" if named else "double")
+
+
 def test_small_matrices_and_chunks():
     rng = np.random.default_rng(5)
     import pandas as pd
