@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratewise.operators import histories, neighborlists, neighbors, similarjoin
+from ratewise.operators import content, contentlists, histories, neighborlists, neighbors, similarjoin
 from ratewise.operators.ranking import stable, top_k
 from ratewise.plans import train as T
 
@@ -192,3 +192,26 @@ def test_all_models_through_the_dispatcher(spark, small_ratings):
     assert got == {("u2", "i2"): (2.5, True), ("u2", "i3"): (4.0, True), ("u9", "i1"): (4.0, False)}
     lists = as_lists(T.recommend(model, asked, small_ratings, 2), "user_id", ("item_id", "rating_pred"))
     assert lists == {"u2": [("i3", 4.0), ("i2", 2.5)], "u9": [("i1", 4.0), ("i2", 4.0)]}
+
+
+@pytest.mark.parametrize("entries, rated, at_once, named", [(3_000_000, 3_000_000, 500_000, False), (30, 60, 7, True)])
+def test_similarity_lists_are_made_in_cells(spark, monkeypatch, entries, rated, at_once, named):
+    """Every scored pair used to be a row, which was shuffled, written and joined with the known ones."""
+    ratings = skewed(spark, 9)
+    features = spark.createDataFrame([(i, f"f{i * 7 % (5 + d)}-{d}", 1.0 + d) for i in range(2, 50) for d in range(2)], "item_id long, feature string, value double")
+    users = ratings.select("user_id").union(spark.createDataFrame([(777,)], "user_id long"))
+    if named:
+        ratings, features = (df.withColumn("item_id", F.concat(F.lit("i"), "item_id")) for df in (ratings, features))
+    model = T.fit_model("content", ratings, features=features, mode="similarity", n_neighbors=3)
+    pairs = users.distinct().crossJoin(model.items().select("item_id")).join(ratings, ["user_id", "item_id"], "left_anti")
+    scored = T.predict(model, pairs, bound=False)
+    want = top_k(scored, ["user_id"], [F.desc(stable("rating_pred")), F.asc("item_id")], 6)
+    monkeypatch.setattr(contentlists, "LIST_ENTRIES", entries)
+    monkeypatch.setattr(contentlists, "USER_RATINGS", rated)
+    monkeypatch.setattr(contentlists, "SUMMED_AT_ONCE", at_once)
+    cut, real = [], content.cut_lineage
+    monkeypatch.setattr(content, "cut_lineage", lambda df: cut.append(df.columns) or real(df))
+    got = T.recommend(model, users, ratings, 6, bound=False)
+    value = ("item_id", "rating_pred", "rank")
+    assert as_lists(got, "user_id", value) == as_lists(want, "user_id", value)
+    assert not any("item_id" in columns for columns in cut)
